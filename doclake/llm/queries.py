@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import language_id
+from doclake.llm import bitplane, language_id, packing
 from doclake.llm.common import key_mod, table
 
 
@@ -14,3 +15,12 @@ def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~held_out))
     found = language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_bitplane_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = bitplane.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return bitplane.read(files)
+
+
+def op7_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
