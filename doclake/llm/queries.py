@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import bitplane, language_id, mixing, packing, pii
+from doclake.llm import bitplane, language_id, mixing, packing, pii, topk, toxicity
 from doclake.llm.common import key_mod, table
 
 
@@ -23,6 +23,13 @@ def op5_bitplane_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read(files)
 
 
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = key_mod("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -35,3 +42,7 @@ def op8_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op3_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
