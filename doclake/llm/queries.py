@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import bitplane, language_id, mixing, packing, pii, pivots, topk, toxicity
+from doclake.llm import bitplane, language_id, minhash, mixing, packing, pii, pivots, topk, toxicity
 from doclake.llm.common import key_mod, table
 
 
@@ -50,3 +50,7 @@ def op3_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
