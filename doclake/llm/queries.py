@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import bitplane, language_id, minhash, mixing, packing, pii, pivots, topk, toxicity
+from doclake.llm import bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, topk, toxicity
 from doclake.llm.common import key_mod, table
 
 
@@ -54,3 +54,7 @@ def op4_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"), key_mod("doc_id", 7) == 2)
