@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from doclake.llm.common import char_class, chunks_of, codepoints, mix, saved, strings
 
@@ -159,8 +160,8 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
             rest = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    schema = docs.select(kept).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def accepted(least: float = 0.0) -> Column:

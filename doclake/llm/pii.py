@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from doclake.llm.common import saved, strings
 
@@ -294,7 +295,7 @@ def _each(docs: DataFrame, text: str, names: list[str], schema: str, f) -> DataF
             made = f(strings(batch.column("__text")), batch.column("__text"))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, *names])
 
-    out = docs.select(kept).schema
+    out = StructType([docs.schema[c] for c in kept])
     for part in schema.split(", "):
         out = out.add(*part.split())
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, out)
@@ -328,5 +329,5 @@ def redact(docs: DataFrame, model: SpanField, text: str = "text") -> DataFrame:
     def run(texts: list[str], column: pa.Array) -> list[pa.Array]:
         return [pa.array([masked(t, model.spans(t)) if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())]
 
-    out = _each(docs, text, [text], f"{text} string", run)
+    out = _each(docs, text, [text], f"{text} string", run)  # the masked text comes last, so put it back in its place
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

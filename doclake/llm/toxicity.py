@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from doclake.llm.common import char_class, chunks_of, codepoints, mix, run_hashes, runs, saved, strings
 
@@ -203,4 +204,4 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
             p = _sigmoid(held.value.logits(strings(batch.column("__text"))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, docs.select(kept).schema.add("score", "double").add("predicted", "integer"))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, StructType([docs.schema[c] for c in kept]).add("score", "double").add("predicted", "integer"))
