@@ -7,32 +7,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from doclake import constants as K
 from doclake.functions import text as T
 from doclake.functions.geometry import in_edge_zone
 
-IN_ORDER = Window.partitionBy("doc_id").orderBy("ord")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
-EARLIER = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
 
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("ord")
 
-def _last(value: str | Column, when: Column, over) -> Column:
-    return F.last(F.when(when, value), ignorenulls=True).over(over)
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def earlier() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
-HEADING = F.col("type") == "heading"
+def is_heading() -> Column:
+    return F.col("type") == "heading"
+
+
+def _last(value: str | Column, when: Column, over) -> Column:
+    return F.last(F.when(when, value), ignorenulls=True).over(over)
 
 
 def with_section(blocks: DataFrame) -> DataFrame:
     """Each block's section: the latest heading at or before it."""
-    return blocks.withColumn("section", _last(F.col("ord"), HEADING, SO_FAR))
+    return blocks.withColumn("section", _last(F.col("ord"), is_heading(), so_far()))
 
 
 def section_parents(blocks: DataFrame) -> DataFrame:
     """Headings with the latest earlier heading of a smaller level: one pass with the latest ordinal of each level."""
-    heads = blocks.where(HEADING)
-    levels = [_last(F.col("ord"), F.col("level") == n, EARLIER) for n in (1, 2)]
+    heads = blocks.where(is_heading())
+    levels = [_last(F.col("ord"), F.col("level") == n, earlier()) for n in (1, 2)]
     parent = F.when(F.col("level") == 2, levels[0]).when(F.col("level") == 3, F.greatest(*levels))
     return heads.select("doc_id", "ord", "level", parent.alias("parent"))
 
@@ -52,21 +62,21 @@ def section_ranges(blocks: DataFrame) -> DataFrame:
 
 def islands(blocks: DataFrame) -> DataFrame:
     """Runs of consecutive blocks of one type, with their cost."""
-    change = F.coalesce(F.col("type") != F.lag("type").over(IN_ORDER), F.lit(True))
-    runs = blocks.withColumn("new", change.cast("int")).withColumn("run", F.sum("new").over(SO_FAR))
+    change = F.coalesce(F.col("type") != F.lag("type").over(in_order()), F.lit(True))
+    runs = blocks.withColumn("new", change.cast("int")).withColumn("run", F.sum("new").over(so_far()))
     cost = T.approx_tokens(F.col("text")) + K.LINE_COST
     return runs.groupBy("doc_id", "run").agg(F.first("type").alias("type"), F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n_blocks"), F.sum(cost).alias("cost"))
 
 
 def previous_paragraph(blocks: DataFrame) -> DataFrame:
     """For each paragraph, the ordinal of the nearest earlier paragraph or abstract not cut off by a heading."""
-    before, heading = _last(F.col("ord"), F.col("type").isin("paragraph", "abstract"), EARLIER), _last(F.col("ord"), HEADING, EARLIER)
+    before, heading = _last(F.col("ord"), F.col("type").isin("paragraph", "abstract"), earlier()), _last(F.col("ord"), is_heading(), earlier())
     return blocks.select("doc_id", "ord", "type", F.when(F.coalesce(heading, F.lit(-1)) < before, before).alias("previous")).where("type = 'paragraph'").drop("type")
 
 
 def mark_references(blocks: DataFrame, word: str) -> DataFrame:
     """Paragraphs after a heading that contains ``word`` become reference entries, up to the next heading."""
-    flag = _last(F.contains(F.lower("text"), F.lit(word)), HEADING, SO_FAR)
+    flag = _last(F.contains(F.lower("text"), F.lit(word)), is_heading(), so_far())
     return blocks.select("doc_id", "ord", F.when((F.col("type") == "paragraph") & F.coalesce(flag, F.lit(False)), "reference_entry").otherwise(F.col("type")).alias("type"))
 
 
@@ -98,7 +108,7 @@ def repeated_edges(anchored: DataFrame) -> DataFrame:
 
 def nearest_captions(anchored: DataFrame) -> DataFrame:
     """For each heading, the nearest paragraph of its page by vertical gap, then by order."""
-    a = anchored.where(HEADING).select("doc_id", "page", F.col("ord").alias("caption"), F.col("y0").alias("cy"))
+    a = anchored.where(is_heading()).select("doc_id", "page", F.col("ord").alias("caption"), F.col("y0").alias("cy"))
     b = anchored.where("type = 'paragraph'").select("doc_id", "page", "ord", "y0")
     cost = F.abs(F.col("cy") - F.col("y0")) + 2 * F.abs(F.col("ord") - F.col("caption"))
     return a.join(b, ["doc_id", "page"]).groupBy("doc_id", "caption").agg(F.min_by("ord", F.struct(cost, "ord")).alias("target"))

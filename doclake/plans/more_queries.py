@@ -37,7 +37,7 @@ def context_neighbours(spark, d):
 @query
 def context_budget(spark, d):
     """The first blocks of a document whose running cost stays within the budget."""
-    cost = F.sum(T.approx_tokens(F.col("text")) + K.LINE_COST).over(B.SO_FAR)
+    cost = F.sum(T.approx_tokens(F.col("text")) + K.LINE_COST).over(B.so_far())
     return _blocks(spark, d).withColumn("spent", cost).where("spent <= 200").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("spent").alias("spent"))
 
 
@@ -106,7 +106,7 @@ def reference_ids(spark, d):
     number = F.length("text") % 50
     rows = _blocks(spark, d).where("type = 'paragraph'").select("doc_id", "ord", number.alias("number"))
     again = F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("ord"))
-    rows = rows.withColumn("extra", (again > 1).cast("int")).withColumn("k", F.sum("extra").over(B.SO_FAR))
+    rows = rows.withColumn("extra", (again > 1).cast("int")).withColumn("k", F.sum("extra").over(B.so_far()))
     return rows.select("doc_id", "ord", F.when(F.col("extra") == 0, F.concat(F.lit("r_"), F.col("number").cast("string"))).otherwise(F.concat(F.lit("r_x"), F.col("k").cast("string"))).alias("ref"))
 
 
@@ -114,7 +114,7 @@ def reference_ids(spark, d):
 def continuation_merge(spark, d):
     """A block that starts in lower case continues the one before: merged runs."""
     starts = ~F.col("text").rlike("^[a-z]")
-    run = _blocks(spark, d).withColumn("run", F.sum(starts.cast("int")).over(B.SO_FAR))
+    run = _blocks(spark, d).withColumn("run", F.sum(starts.cast("int")).over(B.so_far()))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
     return run.groupBy("doc_id", "run").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n"), F.md5(joined).alias("digest"))
 
