@@ -1,4 +1,8 @@
-"""The queries of this subpackage, each over the whole of its table, and the SQL that gives the same rows."""
+"""The queries of this subpackage, each over the whole of its table, and the SQL that gives the same rows.
+
+The other queries learn a model, draw coins or run a tokenizer, which SQL cannot express; tests hold them against brute
+force, round trips and held-out accuracy.
+"""
 
 from __future__ import annotations
 
@@ -10,4 +14,20 @@ from doclake.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in vars(q).items() if name.startswith("op")}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_norm_sorted_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS i FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.i, c.i)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
+    "op4_pivot_permutation": """WITH RECURSIVE links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id""",
+    "op9_dart_minhash": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: md5(array_to_string(w[i:i+4], ' ')))) AS g FROM w WHERE len(w) > 0),
+m AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS n FROM m GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS both_ FROM m a JOIN m b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE both_ / (x.n + y.n - both_) >= 0.8),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS component_id, a = min(b) AS kept FROM reach GROUP BY a""",
+}
