@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+from array import array
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
-#: Characters of words whose ids a Python worker keeps; beyond it the store starts anew, which changes no result.
-KEPT_CHARS = 6_000_000
+#: Bytes, roughly, of the words whose ids a Python worker keeps.  Beyond it only those of the texts at hand stay, the
+#: frequent words among them; no result changes.
+KEPT_BYTES = 160 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+_PIECES = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|()\"-]+\n?|\n")
 _OPEN: dict[str, TextTokenizer] = {}
 
 
@@ -18,7 +25,9 @@ class TextTokenizer:
 
     A text is cut before each space that follows a character other than white space.  No pre-token of a byte-level or
     a white-space-dropping BPE spans such a place, so the ids of the text are those of its parts, and each distinct
-    part is encoded once.  Texts with other white space before a space are cut by a slower pattern.
+    part is encoded once.  Texts with other white space before a space are cut by a slower pattern.  A new part such as
+    ``word.\nWord,`` is put together from its runs of letters and digits and its punctuation, between which these
+    pre-tokenizers cut as well (an apostrophe may start a contraction, so such parts are encoded whole).
     """
 
     def __init__(self, path: str) -> None:
@@ -27,37 +36,64 @@ class TextTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes | None] = {}
-        self.chars = 0
+        self.tails: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return [array("I", x).tobytes() for x in ids] if sys.byteorder == "little" else [np.array(x, "<u4").tobytes() for x in ids]
 
     def _learn(self, store: dict, words: list[str], lead: str) -> None:
         store.update(zip(words, self._encode([lead + w for w in words]), strict=True))
-        self.chars += sum(map(len, words)) + 8 * len(words)
+        self.bytes += sum(map(len, words)) + 200 * len(words)
+
+    def _learn_tails(self, words: list[str]) -> None:
+        """Parts that follow a space; those of several pieces from their pieces."""
+        whole, made = [], []
+        for w in words:
+            if w.isalpha():
+                whole.append(w)
+                continue
+            pieces = _PIECES.findall(w)
+            if len(pieces) > 1 and pieces[0][0].isalnum() and "\n\n" not in w and sum(map(len, pieces)) == len(w):
+                made.append((w, pieces))
+            else:
+                whole.append(w)
+        firsts = {p[0] for _, p in made} - self.tails.keys()
+        self._learn(self.tails, list(firsts.union(whole)), " ")
+        self._learn(self.heads, list({x for _, p in made for x in p[1:]} - self.heads.keys()), "")
+        self.tails.update((w, self.tails[p[0]] + b"".join(map(self.heads.__getitem__, p[1:]))) for w, p in made)
+        self.bytes += 250 * len(made)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.chars > KEPT_CHARS:
-            self.heads, self.tails, self.chars = {}, {}, 0
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and a full collection would walk all parts of all texts
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        if self.bytes > KEPT_BYTES:
+            keep = {w for t in texts for w in t.split(" ")}
+            self.heads, self.tails = {}, {w: self.tails[w] for w in keep if w in self.tails}
+            self.bytes = sum(map(len, self.tails)) + 200 * len(self.tails)
         parts = [t.split(" ") for t in texts]
-        heads = list({p[0] for p in parts} - self.heads.keys())
-        tails = set()
-        for p in parts:
-            tails.update(p[1:])
-        tails -= self.tails.keys()
-        unsafe = {w for w in tails if not w or w[-1].isspace()}
-        self.tails.update(dict.fromkeys(unsafe))
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, list(tails - unsafe), " ")
-        out, head, tail = [], self.heads, self.tails
-        for text, p in zip(texts, parts, strict=True):
-            try:
-                if len(p) > 1 and (not p[0] or p[0][-1].isspace()):
-                    raise TypeError
-                out.append(head[p[0]] + b"".join(map(tail.__getitem__, p[1:])))
-            except TypeError:  # a part that can't be cut off
+        found = [list(map(self.tails.get, p)) for p in parts]
+        gaps = [list(compress(range(len(p)), map(is_, f, repeat(None)))) for p, f in zip(parts, found, strict=True)]
+        new = dict.fromkeys(p[i] for p, g in zip(parts, gaps, strict=True) for i in g)
+        self._learn_tails([w for w in new if w and not w[-1].isspace()])
+        self._learn(self.heads, list({p[0] for p in parts} - self.heads.keys()), "")
+        get, out = self.tails.get, []
+        for text, p, f, g in zip(texts, parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = get(p[i])
+            f[0] = self.heads[p[0]]
+            if len(p) > 1 and (None in f or not p[0] or p[0][-1].isspace()):  # a part that can't be cut off
                 out.append(b"".join(self._encode(_BEFORE_SPACE.split(text))))
+            else:
+                out.append(b"".join(f))
         return out
 
 
