@@ -7,10 +7,11 @@ earliest dart at each coordinate, so two documents agree at a coordinate with a
 expected work is that of the cells plus the darts a signature needs, not their product.
 
 Texts that are equal as word sequences are folded into one first.  Signatures are cut into bands; documents that share
-a band are candidates.  All members of a band are held against a few leaders, exactly, and joined to classes.  Bands
-whose members are then still in different classes are looked at pair by pair: pairs in different classes whose
-signatures agree well enough are held against one another, exactly.  So no link between classes is lost (but by a
-chance below 1e-5 at the threshold itself), and a large group of copies never becomes all of its pairs.
+a band are candidates.  All members of a band are held against a few leaders, exactly, and joined to classes.  In
+bands whose members are then still in different classes, each class proposes its likeliest links by the signatures,
+which are held against one another, exactly, and join classes; at last every pair of different classes whose signatures
+agree well enough is.  So no link between classes is lost (but by a chance of about 3e-5 at the threshold itself), and
+a large group of copies never becomes all of its pairs.
 
 Defined cases: a text without a word, or null, is alone in its class; a text of fewer than five words is one run; equal
 rows are copies; an empty table gives no rows; other columns are kept out of the way.
@@ -35,8 +36,10 @@ FIRST_RANK = 2.0**-6
 #: Leaders that a band may have, by as many orders of the documents.
 LEADERS = 3
 #: Pairs of signatures that agree at a smaller share than the threshold by this much are not held against one another:
-#: five standard deviations.
-MARGIN = 0.16
+#: four standard deviations.
+MARGIN = 0.126
+#: Rounds in which every class proposes only its likeliest links in a band, and how many; then all are looked at.
+ROUNDS, PROPOSALS = 1, 3
 CELL = 1024
 
 
@@ -163,8 +166,8 @@ def _exact(least: float):
     return run
 
 
-def _pairs_of_classes(least: float):
-    """Pairs of a band's cell that are in different classes and whose signatures agree well enough."""
+def _pairs_of_classes(least: float, every: bool):
+    """Pairs of a band's cell in different classes whose signatures agree well enough: every one, or each class's best."""
 
     def run(cell: pa.Table) -> pa.Table:
         lo, hi = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
@@ -172,14 +175,24 @@ def _pairs_of_classes(least: float):
         sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint32).reshape(len(rep), COORDINATES)
         left = np.flatnonzero(own == lo)
         right = left if lo == hi else np.flatnonzero(own == hi)
-        a, b = [], []
+        found = [np.zeros((3, 0))]
         for i in left:
-            j = right[(comp[right] != comp[i]) & ((right > i) if lo == hi else True)]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= least - MARGIN]
-            a.append(np.minimum(rep[i], rep[j]))
-            b.append(np.maximum(rep[i], rep[j]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+            j = right[(comp[right] != comp[i]) & ((right > i) if lo == hi and every else True)]
+            agree = (sig[j] == sig[i]).mean(axis=1)
+            j, agree = j[agree >= least - MARGIN], agree[agree >= least - MARGIN]
+            if not every and len(j):
+                j, agree = j[[agree.argmax()]], agree[[agree.argmax()]]
+            found.append(np.stack([np.full(len(j), i), j, agree]))
+        i, j, agree = np.concatenate(found, axis=1)
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        if not every:
+            order = np.lexsort((rep[j], rep[i], -agree, comp[i]))
+            i, j = i[order], j[order]
+            place = np.arange(len(i))
+            first = np.concatenate([[True], comp[i][1:] != comp[i][:-1]]) if len(i) else np.zeros(0, bool)
+            near = place - np.maximum.accumulate(np.where(first, place, 0)) < PROPOSALS
+            i, j = i[near], j[near]
+        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
 
     return run
 
@@ -205,17 +218,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", key
 
     ends = [F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")]
     stars = verified(shared.where("rep <> leader").select(*ends).distinct())
-    links = stars.where("linked").select("a", "b")
+    links, tested = stars.where("linked").select("a", "b"), stars.select("a", "b")
     classes = saved(components(links), "classes")
-
-    placed = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).alias("blocks")).where("x <> y").select("key", "blocks")
-    open_ = placed.join(split, "key").join(reps.select("rep", "sig"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "sig")
-    more = cells.groupBy("key", "lo", "hi").applyInArrow(_pairs_of_classes(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    crossed = verified(saved(more, "more")).where("linked").select("a", "b")
-    if not crossed.isEmpty():
-        classes = components(links.unionByName(crossed))
+    for turn in range(ROUNDS + 1):
+        every = turn == ROUNDS
+        placed = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).alias("blocks")).where("x <> y").select("key", "blocks")
+        open_ = placed.join(split, "key").join(reps.select("rep", "sig"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+        cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "sig")
+        more = cells.groupBy("key", "lo", "hi").applyInArrow(_pairs_of_classes(least, every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        crossed = verified(saved(more, "more"))
+        if not crossed.where("linked").isEmpty():
+            links = links.unionByName(crossed.where("linked").select("a", "b"))
+            classes = saved(components(links), "classes")
+        tested = tested.unionByName(crossed.select("a", "b"))
 
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
     of_words = worded.select("id", "fp", "fp2").join(named, ["fp", "fp2"]).select("id", "component_id")
