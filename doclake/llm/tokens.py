@@ -14,7 +14,7 @@ import numpy as np
 
 #: Bytes, roughly, of the words whose ids a Python worker keeps.  Beyond it only those of the texts at hand stay, the
 #: frequent words among them; no result changes.
-KEPT_BYTES = 160 << 20
+KEPT_BYTES = 320 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _PIECES = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|()\"-]+\n?|\n")
 _OPEN: dict[str, TextTokenizer] = {}
