@@ -56,6 +56,24 @@ def test_pivots(vectors):
     assert pivots.near_duplicates(table.where("false")).count() == 0
 
 
+def test_pivots_hot_group(spark, monkeypatch):
+    """Unequal near-copies are a third of the vectors and of many references; every link is found."""
+    monkeypatch.setattr(pivots, "PER_PIVOT", 4)
+    draw = np.random.default_rng(9)
+    base = draw.normal(size=(2400, 32))
+    base[:800] = draw.normal(size=32) + 0.2 * draw.normal(size=(800, 32))
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    link = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
+    label = np.arange(len(unit))
+    for _ in range(20):
+        label = np.array([min([label[i], *label[link[i]]]) for i in range(len(unit))])
+    assert 0.3 < link[:800, :800].mean() < 0.99
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    rows = {r["vec_id"]: r for r in pivots.near_duplicates(table).collect()}
+    assert [rows[i]["n_links"] for i in range(2400)] == link.sum(1).tolist()
+    assert [rows[i]["component_id"] for i in range(2400)] == label.tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (200, 200)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
