@@ -2,9 +2,12 @@
 
 A token is drawn in the restaurant of its context: the classes of the last two characters of the token before it.
 Restaurants whose last class agrees share a parent, the parents share the root, and the root's base is uniform over the
-training words and one unknown word.  Seating arrangements are sampled by Gibbs steps: a customer of each dish rises
-and sits down again, at a table of the dish by its size less the discount, or at a new one by the parent's probability;
-every table is a customer of the parent.  Predictive probabilities are averaged over samples.
+training words and one unknown word.  Seating arrangements are sampled by Gibbs steps that revisit every customer of
+every dish: it sits at a table of the dish by its size less the discount, or at a new one by the parent's probability;
+every table is a customer of the parent.  Only the number of tables matters to a probability, so dishes of up to
+``EXACT`` customers draw it from its distribution given all else (generalised Stirling numbers); in larger ones all
+customers rise and sit down again in ``ROUNDS`` random groups.  Seating starts from one table a dish, whose parents'
+probabilities seat the levels below.  Predictive probabilities are averaged over samples.
 
 On a cluster, the dishes are dealt out by ranges of their hash.  Given how many customers and tables each restaurant
 has (a few numbers for each of at most 1057 restaurants), the seating of one word says nothing about that of another,
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,9 @@ BLOCK_CHARS, SHARD_CHARS = 4_000_000, 5_000_000
 CLASSES = 32
 CONTEXTS = CLASSES * CLASSES
 STRENGTH = 1.0
-#: Customers seated one after another before the rest is seated in doubling groups.
-SINGLY = 12
-BURN_IN, SAMPLES, STEPS = 2, 3, 1
+#: Most customers of a dish whose tables are drawn at once; groups in which the customers of larger ones move.
+EXACT, ROUNDS = 1024, 4
+BURN_IN, SAMPLES, STEPS = 2, 3, 2
 END = mix(np.array([0xE0D], np.uint64))[0]
 
 
@@ -153,99 +157,107 @@ class Shard:
         return Shard(uniq, pairs // CONTEXTS, pairs % CONTEXTS, np.bincount(at, count[seen], len(pairs)).astype(np.int64))
 
 
+@lru_cache(maxsize=4)
+def _stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of n customers at t tables."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    for n in range(1, EXACT):
+        t = np.arange(1, n + 1)
+        out[n + 1, 1 : n + 1] = np.log(n - t * discount) + out[n, 1 : n + 1]
+        out[n + 1, 1 : n + 2] = np.logaddexp(out[n + 1, 1 : n + 2], out[n, : n + 1])
+    return out
+
+
 class Seating:
-    """Tables of many dishes at once: the dish and size of each table, ordered by dish.
+    """Customers and tables of many dishes at once.
 
-    A dish that can never have a second customer has one table; only the others are kept here.
+    Of dishes that may have more than ``EXACT`` customers, the dish and size of each table are kept too, ordered by dish.
     """
 
     def __init__(self, customers: np.ndarray, possible: np.ndarray, drawn: np.random.Generator) -> None:
-        self.active, self.everyone, self.drawn = np.flatnonzero(possible > 1), len(customers), drawn
-        self.target = customers[self.active].astype(np.int64)
-        self.dish, self.size = np.arange(len(self.active)), np.ones(len(self.active), np.int64)
-
-    def _spread(self, x: np.ndarray) -> np.ndarray:
-        out = np.ones(self.everyone, np.int64)
-        out[self.active] = x
-        return out
-
-    @property
-    def tables(self) -> np.ndarray:
-        return self._spread(np.bincount(self.dish, minlength=len(self.target)))
-
-    @property
-    def customers(self) -> np.ndarray:
-        return self._spread(self.target)
+        self.customers, self.tables, self.everyone, self.drawn = customers.astype(np.int64), np.ones(len(customers), np.int64), len(customers), drawn
+        self.large = np.flatnonzero(possible > EXACT)
+        self.is_large = np.zeros(len(customers), bool)
+        self.is_large[self.large] = True
+        self.target = self.customers[self.large]
+        self.dish, self.size = np.arange(len(self.large)), self.target.copy()
 
     def _seated(self) -> np.ndarray:
         return np.bincount(self.dish, self.size, len(self.target)).astype(np.int64)
 
-    def _choose(self, weight: np.ndarray, dishes: np.ndarray) -> np.ndarray:
-        """A table of each dish by weight."""
-        total = np.concatenate([[0.0], np.cumsum(weight)])
+    def _shares(self, weight: np.ndarray, n: np.ndarray, replace: bool) -> np.ndarray:
+        """n of each dish dealt to its tables: by weight, or without replacement out of weight; by halves of the tables."""
+        out = np.zeros(len(self.dish), np.int64)
+        total = np.concatenate([[0], np.cumsum(weight)])
         ends = np.cumsum(np.bincount(self.dish, minlength=len(self.target)))
-        first, last = np.concatenate([[0], ends])[dishes], ends[dishes]
-        at = total[first] + self.drawn.random(len(dishes)) * (total[last] - total[first])
-        return np.clip(np.searchsorted(total, at, side="right") - 1, first, last - 1)
-
-    def _open(self, dishes: np.ndarray) -> None:
-        if len(dishes):
+        lo, hi = np.concatenate([[0], ends[:-1]]), ends
+        while True:
+            some = n > 0
+            lo, hi, n = lo[some], hi[some], n[some]
+            leaf = hi - lo == 1
+            out[lo[leaf]] += n[leaf]
+            lo, hi, n = lo[~leaf], hi[~leaf], n[~leaf]
+            if not len(n):
+                return out
+            mid = (lo + hi) // 2
+            a, b = total[mid] - total[lo], total[hi] - total[mid]
+            first = self.drawn.binomial(n, np.clip(a / (a + b), 0.0, 1.0)) if replace else self.drawn.hypergeometric(a, b, n)
+            lo, hi, n = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([first, n - first])
+
+    def _sit(self, n: np.ndarray, new: np.ndarray, discount: float, still: np.ndarray) -> np.ndarray:
+        """n more customers of each dish, in groups of a third of those there; ``still`` with a 0 for each new table."""
+        left = n.copy()
+        while left.any():
+            there, t = self._seated(), np.bincount(self.dish, minlength=len(self.target))
+            group = np.minimum(left, np.maximum(1, there // 3))
+            weight = np.maximum(0.0, there - discount * t) + new
+            # the mean over the group, whose later members find more customers
+            chance = np.where(group > 1, new * np.log1p(group / np.maximum(weight - 0.5, weight / 2)) / np.maximum(1, group), new / weight)
+            opens = np.where(there == 0, group, self.drawn.binomial(group, np.clip(chance, 0.0, 1.0)))
+            self.size = self.size + self._shares(self.size - discount, group - opens, True)
+            dishes = np.repeat(np.arange(len(opens)), opens)
             at = np.searchsorted(self.dish, dishes, side="right")
-            self.dish, self.size = np.insert(self.dish, at, dishes), np.insert(self.size, at, 1)
-
-    def _leave(self, dishes: np.ndarray) -> None:
-        """A random customer of each dish goes."""
-        self.size[self._choose(self.size.astype(float), dishes)] -= 1
+            self.dish, self.size, still = np.insert(self.dish, at, dishes), np.insert(self.size, at, 1), np.insert(still, at, 0)
+            left -= group
+        return still
+
+    def _leave(self, n: np.ndarray, still: np.ndarray) -> np.ndarray:
+        """n random customers of each dish go, of those counted in ``still``; what is left of these."""
+        gone = self._shares(still, n, False)
+        self.size, still = self.size - gone, still - gone
         keep = self.size > 0
         self.dish, self.size = self.dish[keep], self.size[keep]
-
-    def _sit(self, dishes: np.ndarray, new: np.ndarray, discount: float) -> None:
-        """One more customer of each dish; new: (strength + discount * tables) * the parent's probability."""
-        old = np.bincount(self.dish, self.size - discount, len(self.target))[dishes]
-        opens = self.drawn.random(len(dishes)) * (np.maximum(0, old) + new) < new
-        joins = dishes[~opens]
-        np.add.at(self.size, self._choose(self.size - discount, joins), 1)
-        self._open(dishes[opens])
-
-    def fill(self, new: np.ndarray, discount: float) -> None:
-        """Seat the customers up to ``target``: some singly, the rest in doubling groups."""
-        new = new[self.active]
-        for k in range(2, SINGLY + 1):
-            more = np.flatnonzero(self.target >= k)
-            if not len(more):
-                return
-            self._sit(more, new[more], discount)
-        while True:
-            n = self._seated()
-            more = np.flatnonzero(self.target > n)
-            if not len(more):
-                return
-            group = np.minimum(n, self.target - n)[more]
-            t = np.bincount(self.dish, minlength=len(self.target))[more]
-            opens = np.minimum(self.drawn.binomial(group, new[more] / (n[more] - discount * t + new[more])), group)
-            share = np.zeros(len(self.target))
-            share[more] = (group - opens) / n[more]
-            self.size = self.size + np.floor(self.size * share[self.dish] + self.drawn.random(len(self.size))).astype(np.int64)
-            self._open(np.repeat(more, opens))
-            over = self._seated() - self.target
-            order = np.lexsort((self.size, self.dish))
-            lead = order[np.concatenate([self.dish[order][1:] != self.dish[order][:-1], [True]])]
-            self.size[lead] -= np.minimum(np.maximum(0, over[self.dish[lead]]), self.size[lead] - 1)
+        return still[keep]
 
     def step(self, new: np.ndarray, discount: float) -> None:
-        """A Gibbs step: one customer of each dish with two or more rises and is seated again."""
-        dishes = np.flatnonzero(self._seated() >= 2)
-        if len(dishes):
-            self._leave(dishes)
-            self._sit(dishes, new[self.active][dishes], discount)
+        """A Gibbs step of every customer; new: (strength + discount * tables) * the parent's probability."""
+        small = np.flatnonzero((self.customers > 1) & ~self.is_large)
+        small = small[np.argsort(self.customers[small], kind="stable")]
+        cut = np.flatnonzero(np.diff(self.customers[small])) + 1
+        for dishes in np.split(small, cut) if len(small) else []:
+            n = self.customers[dishes[0]]
+            for part in np.array_split(dishes, 1 + len(dishes) * n // 1_000_000):
+                log = _stirling(discount)[n, 1 : n + 1] + np.log(new[part])[:, None] * np.arange(1, n + 1)
+                odds = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+                self.tables[part] = 1 + (odds < self.drawn.random((len(part), 1)) * odds[:, -1:]).sum(axis=1)
+        if not len(self.large):
+            return
+        for _ in range(STEPS):
+            still = self.size.copy()  # customers that have not moved yet
+            for k in range(ROUNDS, 0, -1):
+                group = -(-np.bincount(self.dish, still, len(self.target)).astype(np.int64) // k)
+                still = self._sit(group, new[self.large], discount, self._leave(group, still))
+        self.tables[self.large] = np.bincount(self.dish, minlength=len(self.target))
 
     def recount(self, customers: np.ndarray, new: np.ndarray, discount: float) -> None:
-        """Seat customers that came, and send away those that left."""
-        self.target = customers[self.active]
-        while len(less := np.flatnonzero(self._seated() > self.target)):
-            self._leave(less)
-        while len(more := np.flatnonzero(self._seated() < self.target)):
-            self._sit(more, new[self.active][more], discount)
+        """Customers that came or left; those of large dishes are seated or sent away."""
+        self.customers, self.target = customers, customers[self.large]
+        if len(self.large):
+            n = self._seated()
+            self._leave(np.maximum(0, n - self.target), self.size.copy())
+            self._sit(np.maximum(0, self.target - n), new[self.large], discount, self.size.copy())
+            self.tables[self.large] = np.bincount(self.dish, minlength=len(self.target))
 
 
 @dataclass(frozen=True)
@@ -269,16 +281,12 @@ class Sampler:
         parents, self.up = np.unique(shard.word * CLASSES + shard.context // CLASSES, return_inverse=True)
         self.context, self.parent, self.word = shard.context, parents % CLASSES, parents // CLASSES
         self.words = len(shard.words)
-        probability = [np.full(len(shard.word), 1e-4), np.full(len(parents), 1e-4), np.full(self.words, 1.0 / (sums.vocabulary + 1))]
         self.levels: list[Seating] = []
         customers = possible = shard.count
-        for level, (up, house) in enumerate(((self.up, self.context), (self.word, self.parent), (None, np.zeros(self.words, np.int64)))):
-            seats = Seating(customers, possible, drawn)
-            seats.fill(self._new(level, house, probability[level]), sums.discounts[level])
-            self.levels.append(seats)
+        for up, size in ((self.up, len(parents)), (self.word, self.words), (None, 0)):
+            self.levels.append(Seating(customers, possible, drawn))
             if up is not None:
-                size = len(probability[level + 1])
-                customers, possible = np.bincount(up, seats.tables, size).astype(np.int64), np.bincount(up, possible, size)
+                customers, possible = np.bincount(up, minlength=size), np.bincount(up, possible, size)
 
     def _new(self, level: int, house: np.ndarray, parent: np.ndarray) -> np.ndarray:
         return (STRENGTH + self.sums.discounts[level] * self.sums.tables[level][house]) * parent
@@ -299,9 +307,8 @@ class Sampler:
         above = [self.parents(root)[self.up], root[self.word], np.full(self.words, 1.0 / (self.sums.vocabulary + 1))]
         houses, ups = [self.context, self.parent, np.zeros(self.words, np.int64)], [self.up, self.word]
         for level in range(3):
-            seats, new = self.levels[level], self._new(level, houses[level], above[level])
-            for _ in range(STEPS):
-                seats.step(new, self.sums.discounts[level])
+            seats = self.levels[level]
+            seats.step(self._new(level, houses[level], above[level]), self.sums.discounts[level])
             if level < 2:
                 parent = self.levels[level + 1]
                 parent.recount(np.bincount(ups[level], seats.tables, parent.everyone).astype(np.int64), self._new(level + 1, houses[level + 1], above[level + 1]), self.sums.discounts[level + 1])

@@ -138,3 +138,42 @@ def test_language_model_is_a_distribution():
         seen = sampler.parent == p
         rest = root.sum() - root[sampler.word[seen]].sum() + sums.backoff(2)[0] / (len(names) + 1)
         assert math.isclose(above[seen].sum() + sums.backoff(1)[p] * rest, 1.0, rel_tol=1e-9) or not seen.any()
+
+
+def exact_tables(n, new, d):
+    """Mean number of tables of n customers, given the weight of a new one."""
+    weight = np.zeros(n + 1)
+    weight[1] = new
+    for k in range(1, n):
+        weight[1:] = weight[:-1] * new + np.maximum(0.0, k - np.arange(1, n + 1) * d) * weight[1:]
+        weight /= weight.sum()
+    return (weight * np.arange(n + 1)).sum()
+
+
+def test_language_model_revisits_every_customer():
+    """A frequent word's tables follow its parent's probability, not how it was first seated."""
+    n, rest = 3000, 400
+    context = np.concatenate([[17], np.arange(rest) % 6 + 17])
+    shard = pitman_yor.Shard(np.arange(rest + 1, dtype=np.uint64), np.arange(rest + 1), context, np.concatenate([[n], np.full(rest, 3)]))
+    sizes = (pitman_yor.CONTEXTS, pitman_yor.CLASSES, 1)
+    sums = pitman_yor.Sums([np.full(k, 20_000.0) for k in sizes], [np.full(k, 10_000.0) for k in sizes], [0.7, 0.6, 0.5], rest + 1)
+    sampler = pitman_yor.Sampler(shard, sums, 1)
+    found, wanted = [], []
+    for _ in range(12):
+        new = float(sampler._new(0, context, sampler.parents(sampler.root())[sampler.up])[0])
+        sampler.sweep()
+        found.append(int(sampler.levels[0].tables[0]))
+        wanted.append(exact_tables(n, new, 0.7))
+    assert abs(np.mean(found[4:]) / np.mean(wanted[4:]) - 1) < 0.15, (found, wanted)
+
+
+def test_language_model_table_counts():
+    """Tables of small dishes and of large ones against the exact distribution of 600 customers."""
+    n, d, new, found = 600, 0.6, 3.0, []
+    exact = exact_tables(n, new, d)
+    for possible in (n, 10**6):
+        seats = pitman_yor.Seating(np.full(300, n), np.full(300, possible), np.random.default_rng(4))
+        for _ in range(6):
+            seats.step(np.full(300, new), d)
+        found.append(seats.tables.mean())
+    assert abs(found[0] / exact - 1) < 0.05 and abs(found[1] / exact - 1) < 0.1, (found, exact)
