@@ -35,6 +35,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_ids(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number of its own for each row, and the name of that column.
+
+    Written once, as the numbers follow the partitions; two reads of the table agree.
+    """
+    name = f"__row_{uuid.uuid4().hex}"
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table made by ``saved`` that nothing reads any more."""
     jvm = df.sparkSession._jvm

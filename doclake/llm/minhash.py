@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import char_class, chunks_of, codepoints, components, mix, run_hashes, runs, saved, strings
+from doclake.llm.common import char_class, chunks_of, codepoints, components, mix, run_hashes, runs, saved, strings, with_row_ids
 
 WORDS = 5
 ROWS, BANDS = 5, 32
@@ -240,6 +240,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", key
 
 
 def kept(docs: DataFrame, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of one with a smaller key; of equal keys one stays."""
-    gone = near_duplicates(docs, least, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each class of near-duplicates, that with the smallest key; keys may be null (the last) or repeat."""
+    numbered, place = with_row_ids(docs)
+    found = near_duplicates(numbered, least, text, place)
+    classes = found.select(F.col("doc_id").alias(place), F.col("component_id").alias("__class"))
+    order = F.struct(F.col(key).isNull(), F.col(key).cast("long"), F.col(place))
+    first = numbered.select(place, key).join(classes, place).groupBy("__class").agg(F.min_by(place, order).alias(place)).select(place)
+    return numbered.join(first, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

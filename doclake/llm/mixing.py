@@ -22,17 +22,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import mix, saved
+from doclake.llm.common import mix, saved, with_row_ids
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a group and groups of a node: the most rows that a task holds.
 GROUP = 50_000
 FAN = 64
-_ROW = "id long, group long, source string, size long, p double, copies long, open boolean"
+_ROW = "id long, row long, group long, source string, size long, p double, copies long, open boolean"
 
 
 def words(text: str = "text") -> Column:
@@ -107,15 +107,21 @@ def _node(level: int, last: bool, fan: int) -> Callable[[pa.Table], pa.Table]:
 
 def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, copies) of each row of ``docs``."""
-    spark: SparkSession = docs.sparkSession
-    rows = saved(docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(text).alias("size")), "sizes")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col(source).cast("string").alias("source"), words(text).alias("size"))
+    return _copies(rows, weights, most).withColumnRenamed("id", "doc_id").drop("row")
+
+
+def _copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """(id, row, size, source_size, target, copies); groups and coins are hashes of id, row is only carried."""
+    spark: SparkSession = rows.sparkSession
+    rows = saved(rows, "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
     aim = targets({r["source"]: r["source_size"] for r in by_source}, weights, most)
     facts = spark.createDataFrame([(r["source"], r["source_size"], aim[r["source"]], min(float(most), aim[r["source"]] / r["source_size"]) if r["source_size"] else 0.0) for r in by_source], "source string, source_size long, target double, rate double")
     groups = max(1, math.ceil(sum(r["n"] for r in by_source) / GROUP * 4))
     joined = rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["source"])).drop(facts["source"])
     whole = F.floor("rate")
-    sized = joined.select("id", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), F.lit(7)), F.lit(groups)).alias("group"), "source", "size", F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("p"), F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("copies"), F.lit(True).alias("open"))
+    sized = joined.select("id", "row", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), F.lit(7)), F.lit(groups)).alias("group"), "source", "size", F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("p"), F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("copies"), F.lit(True).alias("open"))
     done, level, fan = [], 0, 1
     while True:
         last = groups == 1
@@ -127,11 +133,21 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.join(F.broadcast(facts), out["source"].eqNullSafe(facts["source"])).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "copies")
+    return out.join(F.broadcast(facts), out["source"].eqNullSafe(facts["source"])).select("id", "row", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; keys are taken to be unique."""
-    times = copies(docs, text, source, key).where("copies > 0").select(F.col("doc_id").alias("__key"), F.col("copies").alias("__copies"))
-    joined = docs.join(times, F.col(key).cast("long").eqNullSafe(F.col("__key")))
+    """``docs`` with each row repeated as often as the mix takes it; keys may be null or repeat.
+
+    A key's first row is rounded by the key, others by a hash of key, text, source and which of equal rows they are;
+    copies are joined by a row's own number.
+    """
+    numbered, place = with_row_ids(docs)
+    same = Window.partitionBy("hash").orderBy("row")
+    rows = numbered.select(F.col(place).alias("row"), F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), words(text).alias("size"), F.xxhash64(F.col(key), F.col(text), F.col(source)).alias("hash"))
+    first = rows.groupBy("key").agg(F.min(F.struct("hash", "row")).alias("s")).select(F.col("s.row").alias("row"), F.lit(True).alias("first"))
+    ranked = rows.withColumn("nth", F.row_number().over(same)).join(first, "row", "left")
+    named = ranked.select(F.when(F.col("first"), F.col("key")).otherwise(F.xxhash64("hash", "nth")).alias("id"), "row", "source", "size")
+    times = _copies(named).where("copies > 0").select(F.col("row").alias(place), F.col("copies").alias("__copies"))
+    joined = numbered.join(times, place)
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -100,6 +100,27 @@ def test_minhash(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_kept_with_repeated_and_null_keys(spark):
+    text = lambda i: " ".join(f"w{(i * 131 + k * k) % 9973}" for k in range(40))
+    rows = [(1, text(1))] * 3 + [(None, text(2))] * 4 + [(5, text(3)), (5, text(4)), (3, text(3) + " more")] + [(None, text(1))]
+    left = minhash.kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(left, key=lambda r: r["text"]) == sorted([(1, text(1)), (None, text(2)), (5, text(4)), (3, text(3) + " more")], key=lambda r: r[1])
+
+
+def test_mixed_with_repeated_and_null_keys(spark):
+    rows = [(None if i % 3 == 0 else i % 20, f"t{i // 2} a b c", f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, there, sizes = (defaultdict(int) for _ in range(3))
+    for r in mixing.mixed(docs).collect():
+        taken[tuple(r)] += 1
+        sizes[r["source"]] += 4
+    for r in rows:
+        there[r] += 1
+    assert set(taken) <= set(there) and all(n <= mixing.MOST * there[r] for r, n in taken.items())
+    aim = mixing.targets({f"s{i}": 400 for i in range(3)})
+    assert all(abs(sizes[s] - aim[s]) <= 2 for s in aim)
+
+
 def test_dart_signatures_estimate_similarity():
     words = [f"w{i}" for i in range(400)]
     other = [w if i % 37 else f"x{i}" for i, w in enumerate(words)]
