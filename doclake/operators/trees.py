@@ -1,7 +1,7 @@
 """Question-and-answer trees and collection trees.
 
-Trees are walked by repeated self joins, a level at a time, until nothing is left to walk; each level is a join on the
-node key.  ``levels`` bounds the depth and so guards against cycles.
+Trees are walked by repeated self joins on the node key, until a join adds no row; each round is a table.  In a cycle
+a node's ancestors are those it meets on its way round, once each and without itself.
 """
 
 from __future__ import annotations
@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclake.llm.common import saved
 
-def ancestors(turns: DataFrame, levels: int = 64) -> DataFrame:
+
+def ancestors(turns: DataFrame) -> DataFrame:
     """conv_id, node, ancestor, distance of every node's proper ancestors, by doubling: paths of 1, 2, 4, ... steps."""
-    step = turns.where("parent is not null").select("conv_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out, reach = step, 1
-    while reach < levels:
+    step = turns.where("parent is not null and parent <> node").select("conv_id", "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    out, reach = saved(step, "ancestors"), 1
+    while True:
         a, b = out.alias("a"), out.alias("b")
-        far = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.ancestor") == F.col("b.node")) & (F.col("a.distance") == reach))
-        out = out.unionByName(far.select("a.conv_id", "a.node", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance")))
-        reach *= 2
-        if reach >= 8:  # binary trees of at most 2^8 turns
-            break
-    return out
+        far = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.ancestor") == F.col("b.node")) & (F.col("a.distance") == reach) & (F.col("a.node") != F.col("b.ancestor")))
+        far = far.select("a.conv_id", "a.node", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        more = saved(far.join(out, ["conv_id", "node", "ancestor"], "left_anti"), "ancestors")
+        if more.isEmpty():
+            return out
+        out, reach = out.unionByName(more), reach * 2
 
 
 def latest_leaf(turns: DataFrame) -> DataFrame:

@@ -90,3 +90,12 @@ def test_streams(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "in")).orderBy("job", "ts", "event_id").collect()
     want = {j: jobs.advance(None, [r["status"] for r in rows if r["job"] == j])[0] for j in {r["job"] for r in rows}}
     assert got == want
+
+
+def test_ancestors_of_a_long_chain_and_a_cycle(spark):
+    from doclake.operators import trees
+
+    turns = [(1, i, i - 1 if i else None) for i in range(40)] + [(2, i, (i + 1) % 5) for i in range(5)]
+    found = {(r["conv_id"], r["node"], r["ancestor"]): r["distance"] for r in trees.ancestors(spark.createDataFrame(turns, "conv_id long, node long, parent long")).collect()}
+    chain = {(1, i, j): i - j for i in range(40) for j in range(i)}
+    assert found == chain | {(2, i, (i + k) % 5): k for i in range(5) for k in range(1, 5)}
