@@ -10,7 +10,7 @@ Texts that are equal as word sequences are folded into one first.  Signatures ar
 a band are candidates.  All members of a band are held against a few leaders, exactly, and joined to classes.  In
 bands whose members are then still in different classes, each class proposes its likeliest links by the signatures,
 which are held against one another, exactly, and join classes; at last every pair of different classes whose signatures
-agree well enough is.  So no link between classes is lost (but by a chance of about 3e-5 at the threshold itself), and
+agree well enough is.  So no link between classes is lost (but by a chance of about 3e-7 at the threshold itself), and
 a large group of copies never becomes all of its pairs.
 
 Defined cases: a text without a word, or null, is alone in its class; a text of fewer than five words is one run; equal
@@ -36,8 +36,8 @@ FIRST_RANK = 2.0**-6
 #: Leaders that a band may have, by as many orders of the documents.
 LEADERS = 3
 #: Pairs of signatures that agree at a smaller share than the threshold by this much are not held against one another:
-#: four standard deviations.
-MARGIN = 0.126
+#: five standard deviations.
+MARGIN = 0.16
 #: Rounds in which every class proposes only its likeliest links in a band, and how many; then all are looked at.
 ROUNDS, PROPOSALS = 1, 3
 CELL = 1024

@@ -131,6 +131,10 @@ def test_dart_signatures_estimate_similarity():
     assert (sig[2] == sig[3]).all()
 
 
+def test_margin_is_five_standard_deviations():
+    assert minhash.MARGIN >= 5 * (0.8 * 0.2 / minhash.COORDINATES) ** 0.5
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     draw, sink = np.random.default_rng(4), io.BytesIO()
