@@ -26,6 +26,11 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def data():
+    return DATA
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA
 
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
@@ -21,8 +20,8 @@ def test_each_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_rows(spark, duck, name):
-    df = QUERIES[name](spark, DATA)
+def test_rows(spark, duck, data, name):
+    df = QUERIES[name](spark, data)
     found = duck.execute(ORACLES[name])
     names = [c[0] for c in found.description]
     kinds = {c[0]: str(c[1]) for c in found.description}
