@@ -7,11 +7,12 @@ earliest dart at each coordinate, so two documents agree at a coordinate with a
 expected work is that of the cells plus the darts a signature needs, not their product.
 
 Texts that are equal as word sequences are folded into one first.  Signatures are cut into bands; documents that share
-a band are candidates.  All members of a band are held against a few leaders, exactly, and joined to classes.  In
-bands whose members are then still in different classes, each class proposes its likeliest links by the signatures,
-which are held against one another, exactly, and join classes; at last every pair of different classes whose signatures
-agree well enough is.  So no link between classes is lost (but by a chance of about 3e-7 at the threshold itself), and
-a large group of copies never becomes all of its pairs.
+a band are candidates.  All members of a band are held against a few leaders, exactly, and joined to classes.  Bands
+whose members are then still in different classes are worked off in cells: blocks of the members outside the band's
+largest class meet one another and the blocks of that class.  A cell first compares signatures and passes on, once,
+each row that has a partner in another class; those rows then meet again with the sets of their runs of words, and only
+links that join two classes leave the cell.  So no link between classes is lost (but by a chance of about 3e-7 at the
+threshold itself), no pair is ever a row unless it is such a link, and members of one class are not compared.
 
 Defined cases: a text without a word, or null, is alone in its class; a text of fewer than five words is one run; equal
 rows are copies; an empty table gives no rows; other columns are kept out of the way.
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import char_class, chunks_of, codepoints, components, mix, run_hashes, runs, saved, strings, with_row_ids
+from doclake.llm.common import char_class, chunks_of, codepoints, components, drop_saved, mix, numbered, place_of, run_hashes, runs, saved, strings
 
 WORDS = 5
 ROWS, BANDS = 5, 32
@@ -38,9 +39,10 @@ LEADERS = 3
 #: Pairs of signatures that agree at a smaller share than the threshold by this much are not held against one another:
 #: five standard deviations.
 MARGIN = 0.16
-#: Rounds in which every class proposes only its likeliest links in a band, and how many; then all are looked at.
-ROUNDS, PROPOSALS = 1, 3
-CELL = 1024
+#: Rows of a block and bytes of their sets.
+CELL, CELL_BYTES = 1024, 24_000_000
+#: Candidates of a row that are verified first, likeliest first: most rows are then in the class of all others.
+FIRST = 16
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +84,7 @@ def _unit(h: np.ndarray) -> np.ndarray:
 
 def signatures(owner: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
     """The dart kept at each coordinate, as 32 bits; (n, COORDINATES).  Owners without cells keep zeros."""
-    with np.errstate(over="ignore"):
-        cell = mix(found + np.uint64(0x9E3779B97F4A7C15) * _occurrence(owner, found).astype(np.uint64))
+    cell = cells_of(owner, found)
     out, filled = np.zeros(n * COORDINATES, np.uint32), np.zeros(n * COORDINATES, bool)
     low, high, layer = 0.0, FIRST_RANK, 1
     while len(cell):
@@ -127,6 +128,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / float(a[1].sum() + b[1].sum() - both)
 
 
+def cells_of(owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """A hash of each unit cell of ordered (owner, hash) pairs: a run of words and which of its occurrences it is."""
+    with np.errstate(over="ignore"):
+        return mix(found + np.uint64(0x9E3779B97F4A7C15) * _occurrence(owner, found).astype(np.uint64))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = strings(batch.column("t"))
@@ -134,104 +141,168 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, found, whole, again = shingles(texts[lo:hi])
             sigs = signatures(owner, found, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(lo, hi - lo), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), pa.array([s.tobytes() for s in sigs], pa.binary())],
-                ["id", "fp", "fp2", "sig"],
+                [batch.column("id").slice(lo, hi - lo), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), pa.array(np.bincount(owner, minlength=hi - lo)), pa.array([s.tobytes() for s in sigs], pa.binary())],
+                ["id", "fp", "fp2", "n", "sig"],
             )
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ordered cells of each text."""
+    for batch in batches:
+        texts = strings(batch.column("t"))
+        for lo, hi in chunks_of(texts):
+            owner, found, _, _ = shingles(texts[lo:hi])
+            cells = cells_of(owner, found)
+            cells = cells[np.lexsort((cells, owner))]
+            cut = np.searchsorted(owner, np.arange(hi - lo + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([cells[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["rep", "cells"])
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, len(batch), 2048):
             part = batch.slice(lo, 2048)
-            keys = band_keys(np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(len(part), COORDINATES))
+            keys = band_keys(_signatures_of(part.column("sig")))
             each = pa.array(np.repeat(np.arange(len(part)), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS) % LEADERS, len(part))), part.column("rep").take(each)], ["key", "turn", "rep"])
-
-
-def _exact(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in batches:
-            out = []
-            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            own = batch.column("a").to_pylist()
-            for i in range(len(ta)):
-                texts = [tb[i]] if own[i] == last else [tb[i], ta[i]]
-                owner, found, _, _ = shingles(texts)
-                if len(texts) == 2:
-                    last, kept = own[i], np.unique(found[owner == 1], return_counts=True)
-                out.append(similarity(kept, np.unique(found[owner == 0], return_counts=True)) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(part))), part.column("rep").take(each), part.column("n").take(each)], ["key", "band", "rep", "n"])
+
+
+def _signatures_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDINATES)
+
+
+class _Sets:
+    """The cells of some rows end to end, to count what each shares with another."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        self.sets = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard of row i with each of some other rows."""
+        own, every = self.sets[i], np.concatenate([self.sets[j] for j in others])
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        both = np.bincount(np.repeat(np.arange(len(others)), self.size[others]), own[at] == every, len(others))
+        return both / (len(own) + self.size[others] - both)
+
+
+def _with_leader(least: float):
+    """Links of a leader with the members of a block."""
+
+    def run(block: pa.Table) -> pa.Table:
+        rep, leader = block.column("rep").to_numpy(), block.column("leader")[0].as_py()
+        own = np.flatnonzero(rep == leader)
+        members = np.flatnonzero(rep != leader)
+        if len(own) and len(members):
+            members = members[_Sets(block.column("cells")).similar(own[0], members) >= least]
+        return pa.table({"a": np.minimum(rep[members], leader), "b": np.maximum(rep[members], leader)})
 
     return run
 
 
-def _pairs_of_classes(least: float, every: bool):
-    """Pairs of a band's cell in different classes whose signatures agree well enough: every one, or each class's best."""
+def _partners(i: int, right: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, band: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of another class that may be similar enough to row i, and share no earlier band with it; and how their signatures agree."""
+    j = right[comp[right] != comp[i]]
+    j = j[np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i])]
+    same = sig[j] == sig[i]
+    agree = same.mean(axis=1)
+    near = agree >= least - MARGIN
+    j, agree, same = j[near], agree[near], same[near]
+    first = same.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    return j[first], agree[first]
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    lo, hi, own = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py(), cell.column("own").to_numpy()
+    left = np.flatnonzero(own == lo)
+    return left, left if lo == hi else np.flatnonzero(own == hi), lo == hi
+
+
+_OPEN = ["key", "lo", "hi", "own", "band", "rep", "comp", "n", "sig"]
+
+
+def _hopeful(least: float):
+    """The rows of a cell that have a partner."""
 
     def run(cell: pa.Table) -> pa.Table:
-        lo, hi = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
-        own, rep, comp = (cell.column(c).to_numpy() for c in ("own", "rep", "comp"))
-        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint32).reshape(len(rep), COORDINATES)
-        left = np.flatnonzero(own == lo)
-        right = left if lo == hi else np.flatnonzero(own == hi)
-        found = [np.zeros((3, 0))]
+        left, right, one = _sides(cell)
+        comp, n, sig, band = cell.column("comp").to_numpy(), cell.column("n").to_numpy(), _signatures_of(cell.column("sig")), cell.column("band")[0].as_py()
+        some = np.zeros(len(cell), bool)
         for i in left:
-            j = right[(comp[right] != comp[i]) & ((right > i) if lo == hi and every else True)]
-            agree = (sig[j] == sig[i]).mean(axis=1)
-            j, agree = j[agree >= least - MARGIN], agree[agree >= least - MARGIN]
-            if not every and len(j):
-                j, agree = j[[agree.argmax()]], agree[[agree.argmax()]]
-            found.append(np.stack([np.full(len(j), i), j, agree]))
-        i, j, agree = np.concatenate(found, axis=1)
-        i, j = i.astype(np.int64), j.astype(np.int64)
-        if not every:
-            order = np.lexsort((rep[j], rep[i], -agree, comp[i]))
-            i, j = i[order], j[order]
-            place = np.arange(len(i))
-            first = np.concatenate([[True], comp[i][1:] != comp[i][:-1]]) if len(i) else np.zeros(0, bool)
-            near = place - np.maximum.accumulate(np.where(first, place, 0)) < PROPOSALS
-            i, j = i[near], j[near]
-        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+            j, _ = _partners(i, right[right > i] if one else right, comp, n, sig, band, least)
+            some[j] = True
+            some[i] |= len(j) > 0
+        return cell.select(_OPEN).filter(pa.array(some))
 
     return run
 
 
+def _joining(least: float):
+    """Links that join classes of a cell, verified on the sets; a row stops looking among the classes that it has joined."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        left, right, one = _sides(cell)
+        _, comp = np.unique(cell.column("comp").to_numpy(), return_inverse=True)
+        n, sig, band, rep = cell.column("n").to_numpy(), _signatures_of(cell.column("sig")), cell.column("band")[0].as_py(), cell.column("rep").to_numpy()
+        sets, links = _Sets(cell.column("cells")), []
+        for i in left:
+            j, agree = _partners(i, right[right > i] if one else right, comp, n, sig, band, least)
+            j, take = j[np.argsort(-agree, kind="stable")], FIRST
+            while len(j):
+                now, j = j[:take], j[take:]
+                for k in now[sets.similar(i, now) >= least]:
+                    if comp[k] != comp[i]:
+                        links.append((i, k))
+                        comp[comp == comp[k]] = comp[i]
+                j, take = j[comp[j] != comp[i]], CELL
+        i, k = (rep[np.array([x[s] for x in links], np.int64)] for s in (0, 1))
+        return pa.table({"a": np.minimum(i, k), "b": np.maximum(i, k)})
+
+    return run
+
+
+def _blocks(rows: str, cells: str) -> Column:
+    return F.ceil(F.greatest(F.col(rows) / CELL, F.col(cells) * 8 / CELL_BYTES)).cast("long")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, component_id (smallest doc_id of its class), kept of every row of ``docs``."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    sketched = saved(rows.mapInArrow(_sketch, "id long, fp long, fp2 long, sig binary"), "sketches")
+    sketched = saved(rows.mapInArrow(_sketch, "id long, fp long, fp2 long, n long, sig binary"), "sketches")
     worded = sketched.where("fp <> 0 and id is not null")
-    reps = saved(worded.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    banded = reps.select("rep", "sig").mapInArrow(_bands, "key long, turn long, rep long")
-    order = F.xxhash64("rep", "turn")
-    leaders = banded.groupBy("key").agg(F.min_by("rep", order).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(banded.join(leaders, "key").select("key", "rep", "leader", "n"), "shared")
+    reps = saved(worded.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    banded = reps.select("rep", "n", "sig").mapInArrow(_bands, "key long, band int, rep long, n long")
+    order = F.xxhash64("rep", F.col("band") % LEADERS)
+    leaders = banded.groupBy("key").agg(F.min_by(F.struct("rep", "n"), order).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    shared = saved(banded.join(leaders, "key").select("key", "band", "rep", "n", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n")), "shared")
 
     involved = shared.select(F.col("rep").alias("id")).distinct()
-    texts = saved(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    sets = saved(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "rep long, cells binary"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-        full = pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb")
-        return saved(full.mapInArrow(_exact(least), "a long, b long, linked boolean"), "verified")
-
-    ends = [F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")]
-    stars = verified(shared.where("rep <> leader").select(*ends).distinct())
-    links, tested = stars.where("linked").select("a", "b"), stars.select("a", "b")
+    stars = shared.where((F.col("rep") != F.col("leader")) & (F.least("n", "leader_n") >= least * F.greatest("n", "leader_n"))).select("rep", "leader", "n").distinct()
+    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("cells")).select("leader", _blocks("rows", "cells").alias("blocks"))
+    members = stars.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep")
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("rep"))
+    links = saved(members.unionByName(heads).join(sets, "rep").groupBy("leader", "block").applyInArrow(_with_leader(least), "a long, b long"), "links")
     classes = saved(components(links), "classes")
-    for turn in range(ROUNDS + 1):
-        every = turn == ROUNDS
-        placed = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).alias("blocks")).where("x <> y").select("key", "blocks")
-        open_ = placed.join(split, "key").join(reps.select("rep", "sig"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-        cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "sig")
-        more = cells.groupBy("key", "lo", "hi").applyInArrow(_pairs_of_classes(least, every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        crossed = verified(saved(more, "more"))
-        if not crossed.where("linked").isEmpty():
-            links = links.unionByName(crossed.where("linked").select("a", "b"))
-            classes = saved(components(links), "classes")
-        tested = tested.unionByName(crossed.select("a", "b"))
+
+    placed = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("cells"))
+    split = parts.groupBy("key").agg(F.max(F.struct("rows", "comp", "cells")).alias("main"), F.sum("rows").alias("rows"), F.sum("cells").alias("cells"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = split.select("key", F.col("main.comp").alias("main"), F.col("main.rows").alias("m_rows"), F.col("main.cells").alias("m_cells"), (F.col("rows") - F.col("main.rows")).alias("rows"), (F.col("cells") - F.col("main.cells")).alias("cells"))
+    split = split.select("key", "main", _blocks("rows", "cells").alias("minor"), _blocks("m_rows", "m_cells").alias("major"))
+    place, is_main = F.xxhash64("rep"), F.col("comp") == F.col("main")
+    own = F.when(is_main, F.col("minor") + F.pmod(place, "major")).otherwise(F.pmod(place, "minor"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1))
+    open_ = placed.join(split, "key").select("key", "band", "rep", "n", "comp", own.alias("own"), others.alias("other"))
+    cells = open_.join(reps.select("rep", "sig"), "rep").select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "rep", "comp", "n", "sig")
+    at = ("key", "lo", "hi")
+    hopeful = saved(cells.groupBy(*at).applyInArrow(_hopeful(least), "key long, lo long, hi long, own long, band int, rep long, comp long, n long, sig binary"), "hopeful")
+    more = saved(hopeful.join(sets, "rep").groupBy(*at).applyInArrow(_joining(least), "a long, b long"), "links")
+    if not more.isEmpty():
+        classes = saved(components(links.unionByName(more)), "classes")
+    for done in (shared, sets, links, hopeful, more):
+        drop_saved(done)
 
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
     of_words = worded.select("id", "fp", "fp2").join(named, ["fp", "fp2"]).select("id", "component_id")
@@ -241,9 +312,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", key
 
 def kept(docs: DataFrame, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class of near-duplicates, that with the smallest key; keys may be null (the last) or repeat."""
-    numbered, place = with_row_ids(docs)
-    found = near_duplicates(numbered, least, text, place)
-    classes = found.select(F.col("doc_id").alias(place), F.col("component_id").alias("__class"))
-    order = F.struct(F.col(key).isNull(), F.col(key).cast("long"), F.col(place))
-    first = numbered.select(place, key).join(classes, place).groupBy("__class").agg(F.min_by(place, order).alias(place)).select(place)
-    return numbered.join(first, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, k = numbered(docs), place_of(docs, key)
+    found = near_duplicates(rows, least, place_of(docs, text), "row")
+    order = F.struct(F.col(k).isNull(), F.col(k).cast("long"), F.col("row"))
+    first = rows.select("row", k).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row").groupBy("component_id").agg(F.min_by("row", order).alias("row")).select("row")
+    return rows.join(first, "row", "left_semi").drop("row").toDF(*docs.columns)
