@@ -218,14 +218,37 @@ def test_mixing(docs, rows, empty):
     size = lambda t: len((t or "").split())
     assert sorted((r["doc_id"] or -1, r["size"]) for r in found) == sorted((r[0] or -1, size(r[1])) for r in rows)
     source = {r[0]: r[3] for r in rows}
-    taken, aim, largest = defaultdict(int), {}, defaultdict(int)
+    taken, aim, shortest, longest, total = defaultdict(int), {}, defaultdict(lambda: 10**9), defaultdict(int), defaultdict(int)
     for r in found:
         s = source[r["doc_id"]]
         assert 0 <= r["copies"] <= 3
         taken[s] += r["copies"] * r["size"]
         aim[s] = r["target"]
-        largest[s] = max(largest[s], r["size"])
-    assert all(abs(taken[s] - aim[s]) <= largest[s] for s in aim)
+        shortest[s], longest[s], total[s] = min(shortest[s], r["size"] or 10**9), max(longest[s], r["size"]), total[s] + r["size"]
+    # a document that is longer than all others of its source together can't be made up for
+    assert all(abs(taken[s] - aim[s]) <= max(0.01 * aim[s], shortest[s], (2 * longest[s] - total[s]) / 2) for s in aim), (dict(taken), aim)
+
+
+@pytest.mark.parametrize("group", [mixing.GROUP, 200])
+def test_mixing_is_near_its_targets(spark, monkeypatch, group):
+    """Heavy-tailed sizes, one source a third of all rows, through one node and through a tree of them."""
+    monkeypatch.setattr(mixing, "GROUP", group)
+    draw = np.random.default_rng(5)
+    sizes = np.minimum(3000, draw.pareto(1.1, 3000) * 20 + 1).astype(int)
+    docs = spark.createDataFrame([(i, "w " * int(n), "hot" if i % 3 == 0 else f"s{i % 7}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    rows = mixing.copies(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(rows) == 8 and all(abs(r["taken"] - r["target"]) <= max(0.002 * r["target"], 20) for r in rows), rows
+
+
+def test_settling_keeps_expectations():
+    draw, taken = np.random.default_rng(1), np.zeros(40)
+    sizes = draw.integers(1, 500, 40)
+    for salt in range(4000):
+        p = np.full(40, 0.3)
+        mixing._settle(np.arange(40) * 7919, sizes, p, salt)
+        assert set(p) <= {0.0, 1.0} and abs((p * sizes).sum() - 0.3 * sizes.sum()) <= 40
+        taken += p
+    assert np.sort(abs(taken / 4000 - 0.3))[:-3].max() < 0.04  # the shortest are rounded to the nearer side
     again = {(r["doc_id"], r["copies"]) for r in mixing.copies(docs.repartition(5)).collect()}
     assert again == {(r["doc_id"], r["copies"]) for r in found}
     assert mixing.mixed(docs).columns == docs.columns
