@@ -6,12 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _OWN_DIR: list[str] = []
 
@@ -35,13 +36,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_ids(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a number of its own for each row, and the name of that column.
+def place_of(docs: DataFrame, name: str) -> str:
+    """The name that ``plain`` gives to a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by place, so that none can clash with a name of our own or be misread."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``plain(docs)`` with a number of its own for each row, in the column ``row``.
 
     Written once, as the numbers follow the partitions; two reads of the table agree.
     """
-    name = f"__row_{uuid.uuid4().hex}"
-    return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return saved(plain(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def with_made(docs: DataFrame, text: str, made: list[tuple[str, str]], f: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``docs`` with columns made of each text: (name, type) of each; a column that has the name already is replaced."""
+    names = [n for n, _ in made]
+    kept = [i for i, c in enumerate(docs.columns) if c not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [*batch.columns[1:], *f(batch.column(0))]
+            yield pa.RecordBatch.from_arrays(columns, [f"m{i}" for i in range(len(columns))])
+
+    schema = StructType([StructField(f"m{n}", docs.schema[i].dataType) for n, i in enumerate(kept)])
+    for n, (_, kind) in enumerate(made, len(kept)):
+        schema = schema.add(f"m{n}", kind)
+    rows = plain(docs).select(F.col(place_of(docs, text)).alias("text"), *[f"c{i}" for i in kept])
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in kept], *names)
 
 
 def drop_saved(df: DataFrame) -> None:
@@ -149,8 +176,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges``.
 
     Alternating large-star and small-star contraction: every round is two grouped minima over the edges that are left,
-    a hub is never gathered in one task (a node's least neighbour is a partial aggregate), and rounds grow with the
-    logarithm of the longest path.  Each round is checkpointed, so a lost executor costs one round.
+    a node's least neighbour is a partial aggregate, and rounds grow with the logarithm of the longest path.  The edges
+    of a hub meet one row in a join; they are two numbers each, and adaptive execution splits a partition that is large.
+    Each round is written, so a lost executor costs one round.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = saved(e, "edges")

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from doclake.llm.common import char_class, chunks_of, codepoints, mix, saved, strings
+from doclake.llm.common import char_class, chunks_of, codepoints, mix, saved, strings, with_made
 
 UNKNOWN = "und"
 SIZES = (2, 3)
@@ -150,18 +149,13 @@ def identify(texts: list[str], model: LanguageFilter) -> tuple[list[str], list[f
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # its size is bounded by LEAST
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = identify(strings(batch.column("__text")), held.value)
-            rest = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
-
-    schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by LEAST
+
+    def made(texts: pa.Array) -> list[pa.Array]:
+        names, scores = identify(strings(texts), held.value)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+    return with_made(docs, text, [("lang_pred", "string"), ("score", "double")], made)
 
 
 def accepted(least: float = 0.0) -> Column:

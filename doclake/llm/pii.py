@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from doclake.llm.common import saved, strings
+from doclake.llm.common import plain, saved, strings, with_made
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
@@ -286,31 +285,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> SpanField:
     return train(examples + joined)
 
 
-def _each(docs: DataFrame, text: str, names: list[str], schema: str, f) -> DataFrame:
-    """``docs`` with columns made of each text."""
-    kept = [c for c in docs.columns if c not in names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = f(strings(batch.column("__text")), batch.column("__text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, *names])
-
-    out = StructType([docs.schema[c] for c in kept])
-    for part in schema.split(", "):
-        out = out.add(*part.split())
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, out)
-
-
 def detect(docs: DataFrame, model: SpanField, text: str = "text") -> DataFrame:
     """``docs`` with counts of base spans, base_sha256 and spans."""
 
-    def run(texts: list[str], _: pa.Array) -> list[pa.Array]:
+    def made(column: pa.Array) -> list[pa.Array]:
+        texts = strings(column)
         base, every = [base_spans(t) for t in texts], [model.spans(t) for t in texts]
         counts = [pa.array([sum(k == kind for k, _, _ in s) for s in base], pa.int64()) for kind in KINDS]
         return [*counts, pa.array([hashlib.sha256(written(s).encode()).hexdigest() for s in base], pa.string()), pa.array([written(s) for s in every], pa.string())]
 
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-    return _each(docs, text, names, ", ".join([*(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string"]), run)
+    return with_made(docs, text, [*((f"n_{k}", "long") for k in KINDS), ("base_sha256", "string"), ("spans", "string")], made)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -326,8 +310,9 @@ def masked(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, model: SpanField, text: str = "text") -> DataFrame:
     """``docs`` with the spans of its texts masked; null texts stay null."""
 
-    def run(texts: list[str], column: pa.Array) -> list[pa.Array]:
-        return [pa.array([masked(t, model.spans(t)) if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())]
+    def made(column: pa.Array) -> list[pa.Array]:
+        return [pa.array([None if t is None else masked(t, model.spans(t)) for t in column.to_pylist()], pa.string())]
 
-    out = _each(docs, text, [text], f"{text} string", run)  # the masked text comes last, so put it back in its place
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    i = docs.columns.index(text)
+    out = with_made(docs, text, [(text, "string")], made)  # the masked text comes last, so put it back in its place
+    return plain(out).select(*[f"c{n - (n > i)}" if n != i else f"c{len(docs.columns) - 1}" for n in range(len(docs.columns))]).toDF(*docs.columns)

@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from doclake.llm.common import char_class, chunks_of, codepoints, mix, run_hashes, runs, saved, strings
+from doclake.llm.common import char_class, chunks_of, codepoints, mix, run_hashes, runs, saved, strings, with_made
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -197,11 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = _sigmoid(held.value.logits(strings(batch.column("__text"))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+    def made(texts: pa.Array) -> list[pa.Array]:
+        p = _sigmoid(held.value.logits(strings(texts)))
+        return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, StructType([docs.schema[c] for c in kept]).add("score", "double").add("predicted", "integer"))
+    return with_made(docs, text, [("score", "double"), ("predicted", "int")], made)
