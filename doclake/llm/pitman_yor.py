@@ -1,21 +1,25 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
-A token is drawn in the restaurant of its context: the classes of the last two characters of the token before it.
-Restaurants whose last class agrees share a parent, the parents share the root, and the root's base is uniform over the
-training words and one unknown word.  Seating arrangements are sampled by Gibbs steps that revisit every customer of
-every dish: it sits at a table of the dish by its size less the discount, or at a new one by the parent's probability;
-every table is a customer of the parent.  Only the number of tables matters to a probability, so dishes of up to
-``EXACT`` customers draw it from its distribution given all else (generalised Stirling numbers); in larger ones all
-customers rise and sit down again in ``ROUNDS`` random groups.  Seating starts from one table a dish, whose parents'
-probabilities seat the levels below.  Predictive probabilities are averaged over samples.
-
-On a cluster, the dishes are dealt out by ranges of their hash.  Given how many customers and tables each restaurant
-has (a few numbers for each of at most 1057 restaurants), the seating of one word says nothing about that of another,
-so a shard samples all restaurants for its own words, and only those sums are exchanged between passes.
-
-Texts are tokenised once, in blocks; a block sends each shard the distinct (word, context) pairs that it needs with its
-training counts, packed, and gets their probabilities back.  Everything that depends on the size of the vocabulary or
-of the corpus stays in such shards and blocks.
+A token is drawn in the restaurant of its context, the word before it (or the start of the text); all contexts share
+their parent, the root, whose base is uniform over the training words and one unknown word.  Seating arrangements are
+sampled by Gibbs steps that revisit every customer of every dish: it sits at a table of the dish by its size less the
+discount, or at a new one by the parent's probability; every table is a customer of the root.  Only the number of tables
+matters to a probability, so dishes of up to ``EXACT`` customers draw it from its distribution given all else
+(generalised Stirling numbers); in larger ones all customers rise and sit down again in ``ROUNDS`` random groups.
+Seating starts from one table a dish.  A pass is ``SWEEPS`` steps of all customers; after ``BURN_IN`` passes, the
+predictive probabilities of ``SAMPLES`` more are averaged.  Discounts are estimated once from the numbers of dishes with
+one and two customers, the strength is a constant.
+
+On a cluster, pairs (word, context) are dealt out by ranges of the word's hash, so that a shard seats all dishes of its
+words and their root.  Words that make up at least 1 / ``HOT`` of all tokens (at most 2 * ``HOT`` words, a list that is
+broadcast) are dealt by pair instead, as one of them may be a large part of the corpus; their root is seated from the sum
+over the shards.  What a step needs of other shards is how many tables each context has: a table of the size of the
+distinct pairs, summed by context and sent back after every pass.  Within a pass, other shards' tables are held fixed.
+Probabilities are taken with the sums of the very arrangement that they are made of, so those of a context add up to 1.
+
+Texts are tokenised once, in blocks; a block sends each shard the distinct pairs that it needs with its training counts,
+packed, and gets their probabilities back.  Contexts are known by 48 bits of their hash.  Everything that depends on the
+size of the vocabulary or of the corpus stays in such shards and blocks.
 
 Defined cases: a null text is empty and has the end token alone; without training rows every token is unknown and has
 probability 1; equal rows are scored alike; a null key counts as the empty text when rows are held out.
@@ -33,128 +37,158 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import chunks_of, mix, run_hashes, runs, saved, strings
+from doclake.llm.common import chunks_of, drop_saved, mix, run_hashes, runs, saved, strings
 
 #: Characters of a block, and of the corpus for each shard.
-BLOCK_CHARS, SHARD_CHARS = 4_000_000, 5_000_000
-CLASSES = 32
-CONTEXTS = CLASSES * CLASSES
+BLOCK_CHARS, SHARD_CHARS = 4_000_000, 16_000_000
 STRENGTH = 1.0
+HOT = 4096
 #: Most customers of a dish whose tables are drawn at once; groups in which the customers of larger ones move.
 EXACT, ROUNDS = 1024, 4
-BURN_IN, SAMPLES, STEPS = 2, 3, 2
+BURN_IN, SAMPLES, SWEEPS, STEPS = 1, 2, 2, 1
 END = mix(np.array([0xE0D], np.uint64))[0]
 
 
-def _table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte: its lower case, whether it is white space, its class as the last character of a token."""
-    low, space, kind = np.arange(256, dtype=np.uint8), np.zeros(256, bool), np.full(256, 30, np.int64)
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: its lower case, and whether it is white space."""
+    low, space = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
     low[65:91] += 32
     space[[0x20, *range(0x09, 0x0E)]] = True
-    kind[97:123] = np.arange(1, 27)
-    kind[ord(".")], kind[ord(",")], kind[128:] = 27, 28, 31
-    kind[48:58] = 29
-    return low, space, kind
+    return low, space
 
 
-_LOW, _SPACE, _KIND = _table()
+_LOW, _SPACE = _table()
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of every token of all texts, in order, and the number of tokens of each text."""
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token of all texts, in order, and the number of tokens of each text; an end token closes a text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     buffer = _LOW[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
     at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     start, end = runs(~_SPACE[buffer])
     owner = np.searchsorted(at, start, side="right") - 1
-    count = np.bincount(owner, minlength=len(texts))
-    place = np.arange(len(start)) + owner  # an end token after each text
-    total = len(start) + len(texts)
-    hashes, last = np.full(total, END, np.uint64), np.zeros(total, np.int64)
-    hashes[place] = run_hashes(buffer, start, end)
-    before = np.where(end - start > 1, _KIND[buffer[np.maximum(end - 2, 0)]], 0)
-    last[place] = _KIND[buffer[end - 1]] * CLASSES + before
-    context = np.concatenate([[0], last[:-1]])  # after an end token: 0, the start of a text
-    return hashes, context, count + 1
+    hashes = np.full(len(start) + len(texts), END, np.uint64)
+    hashes[np.arange(len(start)) + owner] = run_hashes(buffer, start, end)
+    return hashes, np.bincount(owner, minlength=len(texts)) + 1
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 
 
 def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-_BLOCK_ROW = "block long, shard long, ids array<long>, held array<boolean>, a binary, b binary, c binary, d binary"
+def _pack48(a: np.ndarray) -> bytes:
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _blocks(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of texts: a row (shard -1) with the token numbers of its documents, and rows with the pairs for each shard."""
+def _unpack48(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
-    def one(block: int, ids: list, held: list[bool], texts: list[str]) -> pa.RecordBatch:
-        parts = [tokens(texts[lo:hi]) for lo, hi in chunks_of(texts)]
-        hashes, context, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        words, word = np.unique(hashes, return_inverse=True)
-        pairs, pair = np.unique(word * CONTEXTS + context, return_inverse=True)
-        train = np.bincount(pair[np.repeat(~np.array(held), count)], minlength=len(pairs)).astype(np.uint32)
-        per_word = np.bincount(pairs // CONTEXTS, minlength=len(words)).astype(np.uint16)
-        first = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
-        shard = _shard_of(words, shards)
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(block, -1, ids, held, _pack(count.astype(np.uint32)), _pack(pair.astype(np.uint32)), None, None)]
-        for s in range(shards):
-            lo, hi = cut[s], cut[s + 1]
-            if lo < hi:
-                mine = slice(first[lo], first[hi])
-                rows.append((block, s, None, None, words[lo:hi].tobytes(), _pack(per_word[lo:hi]), _pack((pairs[mine] % CONTEXTS).astype(np.uint16)), _pack(train[mine])))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "shard", "ids", "held", "a", "b", "c", "d"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+# --- blocks of texts -------------------------------------------------------------------------------------------------
 
-        block, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
-        for batch in batches:
-            for i, h, t in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), strings(batch.column("t")), strict=True):
-                ids.append(i)
-                held.append(h)
-                texts.append(t)
-                size += len(t)
-                if size >= BLOCK_CHARS:
-                    yield one(block, ids, held, texts)
-                    block, ids, held, texts, size = block + 1, [], [], [], 0
-        if ids:
-            yield one(block, ids, held, texts)
+_BLOCK_ROW = "block long, ids array<long>, held array<boolean>, words binary, count binary, token binary"
 
-    return run
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts: their words, the number of tokens of each text, and each token's place among the words."""
+    from pyspark import TaskContext
 
-def _shard_of(words: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of the hash, so that ordered words have ordered shards."""
-    return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    def one(block: int, ids: list, held: list[bool], texts: list[str]) -> pa.RecordBatch:
+        hashes, count = (np.concatenate(x) for x in zip(*(tokens(texts[lo:hi]) for lo, hi in chunks_of(texts)), strict=True))
+        words, token = np.unique(hashes, return_inverse=True)
+        row = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
+        row += [pa.array([x], pa.binary()) for x in (words.tobytes(), _pack(count.astype(np.uint32)), _pack(token.astype(np.uint32)))]
+        return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "words", "count", "token"])
+
+    block, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+    for batch in batches:
+        for i, h, t in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), strings(batch.column("t")), strict=True):
+            ids.append(i)
+            held.append(h)
+            texts.append(t)
+            size += len(t)
+            if size >= BLOCK_CHARS:
+                yield one(block, ids, held, texts)
+                block, ids, held, texts, size = block + 1, [], [], [], 0
+    if ids:
+        yield one(block, ids, held, texts)
 
 
 @dataclass(frozen=True)
-class Shard:
-    """Training counts of the words of a shard."""
+class Block:
+    """A block's texts as pairs, ordered by shard, word, context."""
 
-    words: np.ndarray  # ascending hashes
-    word: np.ndarray  # of each pair, an index into words
+    words: np.ndarray
+    sizes: np.ndarray  # tokens of each text
+    pair: np.ndarray  # of each token
+    word: np.ndarray  # of each pair
     context: np.ndarray
-    count: np.ndarray
+    train: np.ndarray  # count of each pair
+    cut: np.ndarray  # pairs of each shard
 
     @staticmethod
-    def of(group: pa.Table) -> Shard:
-        rows = group.sort_by("block").to_pylist()
-        words = [np.frombuffer(r["a"], np.uint64) for r in rows]
-        every = np.concatenate(words)
-        per, context, count = np.concatenate([_unpack(r["b"], np.uint16) for r in rows]), np.concatenate([_unpack(r["c"], np.uint16) for r in rows]).astype(np.int64), np.concatenate([_unpack(r["d"], np.uint32) for r in rows]).astype(np.int64)
-        seen = count > 0
-        code_word = np.repeat(every, per)[seen]
-        uniq, word = np.unique(code_word, return_inverse=True)
-        pairs, at = np.unique(word * CONTEXTS + context[seen], return_inverse=True)
-        return Shard(uniq, pairs // CONTEXTS, pairs % CONTEXTS, np.bincount(at, count[seen], len(pairs)).astype(np.int64))
+    def of(row: dict, shards: int, hot: np.ndarray) -> Block:
+        words, sizes, token = np.frombuffer(row["words"], np.uint64), _unpack(row["count"], np.uint32).astype(np.int64), _unpack(row["token"], np.uint32).astype(np.int64)
+        before = np.concatenate([[np.searchsorted(words, END)], token[:-1]])  # after an end token: the start of a text
+        codes, pair = np.unique(token * len(words) + before, return_inverse=True)
+        word, context = codes // len(words), codes % len(words)
+        train = np.bincount(pair[np.repeat(~np.array(row["held"]), sizes)], minlength=len(codes)).astype(np.uint32)
+        shard = _shard_of(np.where(np.isin(words, hot)[word], mix(words[word] ^ mix(words[context])), words[word]), shards)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return Block(words, sizes, place[pair], word[order], context[order], train[order], np.searchsorted(shard[order], np.arange(shards + 1)))
+
+    def part(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a shard's pairs, ascending, and how many pairs each has."""
+        return np.unique(self.word[self.cut[s] : self.cut[s + 1]], return_counts=True)
+
+
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of the hash, so that ordered words have ordered shards."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with a share of at least 1 / (2 * HOT) of a block's tokens; and the number of those (word 0)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = np.bincount(_unpack(row["token"], np.uint32))
+            some = np.flatnonzero(n * 2 * HOT >= n.sum())
+            words = np.frombuffer(row["words"], np.uint64)[some].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([words, [0]]), pa.int64()), pa.array(np.concatenate([n[some], [n.sum()]]), pa.int64())], ["word", "n"])
+
+
+_ASK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("per", pa.binary()), ("contexts", pa.binary()), ("train", pa.binary())])
+
+
+def _asks(shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A block's pairs for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b, out = Block.of(row, shards, hot), []
+                for s in np.flatnonzero(np.diff(b.cut)):
+                    words, per = b.part(s)
+                    mine = slice(b.cut[s], b.cut[s + 1])
+                    out.append({"shard": int(s), "block": row["block"], "words": b.words[words].tobytes(), "per": _pack(per.astype(np.uint32)), "contexts": _pack48(b.words[b.context[mine]] >> np.uint64(16)), "train": _pack(b.train[mine])})
+                yield _batch(out, _ASK)
+
+    return run
+
+
+# --- seating ---------------------------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=4)
@@ -232,6 +266,7 @@ class Seating:
 
     def step(self, new: np.ndarray, discount: float) -> None:
         """A Gibbs step of every customer; new: (strength + discount * tables) * the parent's probability."""
+        self.tables[(self.customers == 1) & ~self.is_large] = 1
         small = np.flatnonzero((self.customers > 1) & ~self.is_large)
         small = small[np.argsort(self.customers[small], kind="stable")]
         cut = np.flatnonzero(np.diff(self.customers[small])) + 1
@@ -262,182 +297,213 @@ class Seating:
 
 @dataclass(frozen=True)
 class Sums:
-    """Customers and tables of each restaurant, over all words; discounts of the three levels; training words."""
+    """What all shards know: discounts of contexts and root, training words and tokens, customers and tables of the root, and those of the hot words."""
 
-    customers: list[np.ndarray]  # contexts, parents, root
-    tables: list[np.ndarray]
-    discounts: list[float]
+    discounts: tuple[float, float]
     vocabulary: int
+    tokens: int
+    customers: float
+    tables: float
+    hot: np.ndarray
+    hot_count: np.ndarray
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
 
-    def backoff(self, level: int) -> np.ndarray:
-        return (STRENGTH + self.discounts[level] * self.tables[level]) / (STRENGTH + self.customers[level])
-
-
-class Sampler:
-    """All restaurants, for the words of a shard."""
-
-    def __init__(self, shard: Shard, sums: Sums, seed: int) -> None:
-        self.sums, drawn = sums, np.random.default_rng(seed)
-        parents, self.up = np.unique(shard.word * CLASSES + shard.context // CLASSES, return_inverse=True)
-        self.context, self.parent, self.word = shard.context, parents % CLASSES, parents // CLASSES
-        self.words = len(shard.words)
-        self.levels: list[Seating] = []
-        customers = possible = shard.count
-        for up, size in ((self.up, len(parents)), (self.word, self.words), (None, 0)):
-            self.levels.append(Seating(customers, possible, drawn))
-            if up is not None:
-                customers, possible = np.bincount(up, minlength=size), np.bincount(up, possible, size)
-
-    def _new(self, level: int, house: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (STRENGTH + self.sums.discounts[level] * self.sums.tables[level][house]) * parent
-
-    def _level(self, level: int, house: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        s, d = self.levels[level], self.sums.discounts[level]
-        return np.maximum(0, s.customers - d * s.tables) / (STRENGTH + self.sums.customers[level][house]) + self.sums.backoff(level)[house] * parent
-
-    def root(self) -> np.ndarray:
-        return self._level(2, np.zeros(self.words, np.int64), np.full(self.words, 1.0 / (self.sums.vocabulary + 1)))
-
-    def parents(self, root: np.ndarray) -> np.ndarray:
-        return self._level(1, self.parent, root[self.word])
-
-    def sweep(self) -> None:
-        """Gibbs steps from the contexts to the root; a changed number of tables changes the parent's customers."""
-        root = self.root()
-        above = [self.parents(root)[self.up], root[self.word], np.full(self.words, 1.0 / (self.sums.vocabulary + 1))]
-        houses, ups = [self.context, self.parent, np.zeros(self.words, np.int64)], [self.up, self.word]
-        for level in range(3):
-            seats = self.levels[level]
-            seats.step(self._new(level, houses[level], above[level]), self.sums.discounts[level])
-            if level < 2:
-                parent = self.levels[level + 1]
-                parent.recount(np.bincount(ups[level], seats.tables, parent.everyone).astype(np.int64), self._new(level + 1, houses[level + 1], above[level + 1]), self.sums.discounts[level + 1])
-
-    def sums_of(self) -> list[tuple[int, int, float, float]]:
-        """(level, restaurant, customers, tables) of this shard's words."""
-        out = []
-        for level, house in enumerate((self.context, self.parent, np.zeros(self.words, np.int64))):
-            size = (CONTEXTS, CLASSES, 1)[level]
-            c, t = np.bincount(house, self.levels[level].customers, size), np.bincount(house, self.levels[level].tables, size)
-            out += [(level, int(i), float(c[i]), float(t[i])) for i in np.flatnonzero(c)]
-        return out
-
+    def new_at_root(self) -> float:
+        """The weight of a new table of any word at the root."""
+        return (STRENGTH + self.discounts[1] * self.tables) / (self.vocabulary + 1)
 
-_SUMS = "level long, house long, customers double, tables double, ones double, twos double, words double"
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (np.maximum(0.0, customers - self.discounts[1] * tables) + self.new_at_root()) / (STRENGTH + self.customers)
 
 
-def _sum_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    kinds = [pa.int64()] * 2 + [pa.float64()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["level", "house", "customers", "tables", "ones", "twos", "words"])
-
-
-def _first_sums(shard: Shard) -> list[tuple]:
-    """Sums as if every dish had one table, counts of counts, and the number of words."""
-    parents, up = np.unique(shard.word * CLASSES + shard.context // CLASSES, return_inverse=True)
-    c1 = np.bincount(up, minlength=len(parents))
-    c0 = np.bincount(parents // CLASSES, minlength=len(shard.words))
-    rows = []
-    for level, (house, c) in enumerate(((shard.context, shard.count), (parents % CLASSES, c1), (np.zeros(len(c0), np.int64), c0))):
-        size = (CONTEXTS, CLASSES, 1)[level]
-        sums = [np.bincount(house, x, size) for x in (c, np.ones(len(c)), c == 1, c == 2)]
-        rows += [(level, int(i), *(float(s[i]) for s in sums), float(len(shard.words)) if level == 2 else 0.0) for i in np.flatnonzero(sums[1])]
-    return rows
-
-
-def _collect(rows: DataFrame, discounts: list[float] | None = None, vocabulary: int = 0) -> Sums:
-    """At most 1057 rows of sums."""
-    total = rows.groupBy("level", "house").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "ones", "twos", "words")]).toPandas()
-    customers, tables = ([np.zeros(n) for n in (CONTEXTS, CLASSES, 1)] for _ in range(2))
-    for level, house, c, t in zip(total["level"], total["house"], total["customers"], total["tables"], strict=True):
-        customers[level][house], tables[level][house] = c, t
-    if discounts is None:
-        ones, twos = (total.groupby("level")[c].sum().reindex(range(3), fill_value=0.0) for c in ("ones", "twos"))
-        discounts = [float(np.clip(ones[i] / max(1.0, ones[i] + 2 * twos[i]), 0.05, 0.95)) for i in range(3)]
-        vocabulary = int(total["words"].sum())
-    return Sums(customers, tables, discounts, vocabulary)
-
-
-def _shard_row(batch: pa.RecordBatch, i: int) -> tuple[int, Shard]:
-    r = batch.slice(i, 1).to_pylist()[0]
-    return r["shard"], Shard(np.frombuffer(r["words"], np.uint64), _unpack(r["word"], np.int64), _unpack(r["context"], np.int64), _unpack(r["count"], np.int64))
-
-
-_STATE = "shard long, words binary, word binary, context binary, count binary"
-
-
-def _state(group: pa.Table) -> pa.Table:
-    s = Shard.of(group)
-    return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "words": pa.array([s.words.tobytes()], pa.binary()), "word": pa.array([_pack(s.word)], pa.binary()), "context": pa.array([_pack(s.context)], pa.binary()), "count": pa.array([_pack(s.count)], pa.binary())})
+@dataclass(frozen=True)
+class Shard:
+    """The pairs of a shard that some block asks for."""
 
+    number: int
+    words: np.ndarray  # ascending hashes
+    word: np.ndarray  # of each pair, an index into words
+    contexts: np.ndarray  # ascending
+    context: np.ndarray  # of each pair, an index into contexts
+    count: np.ndarray  # training count of each pair, may be 0
 
-def _each_shard(f: Callable[[int, Shard], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                yield _sum_rows(f(*_shard_row(batch, i)))
+    @staticmethod
+    def of(row: dict) -> Shard:
+        per = _unpack(row["a"], np.uint32).astype(np.int64)
+        return Shard(row["shard"], np.frombuffer(row["b"], np.uint64), np.repeat(np.arange(len(per)), per), _unpack48(row["c"]), _unpack(row["d"], np.uint32).astype(np.int64), _unpack(row["e"], np.uint32).astype(np.int64))
+
+    def row(self) -> dict:
+        per = np.bincount(self.word, minlength=len(self.words)).astype(np.uint32)
+        return _row(SHARD, self.number, a=_pack(per), b=self.words.tobytes(), c=_pack48(self.contexts), d=_pack(self.context.astype(np.uint32)), e=_pack(self.count.astype(np.uint32)))
+
+
+#: Kinds of rows: a shard's pairs, what a block asks, an arrangement, tables by context (of a shard; summed), numbers to add up.
+SHARD, ASKED, SEATED, TABLES, SUMMED, NUMBERS = range(6)
+_MESSAGE = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("other", pa.int64()), *((c, pa.binary()) for c in "abcdef"), ("x", pa.float64()), ("y", pa.float64())])
+_MESSAGE_ROW = "kind int, shard long, other long, a binary, b binary, c binary, d binary, e binary, f binary, x double, y double"
+#: Numbers that are added up besides those of the hot words: root, counts of counts of contexts and of the root, words and tokens.
+ROOT, ONES, ROOT_ONES, WORDS = -1, -2, -3, -4
+
+
+def _row(kind: int, shard: int, other: int = 0, x: float = 0.0, y: float = 0.0, **packed: bytes) -> dict:
+    return {"kind": kind, "shard": shard, "other": other, "x": float(x), "y": float(y)} | dict.fromkeys("abcdef") | packed
+
+
+def _messages(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _MESSAGE)
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """A shard's pairs from what blocks ask, and each block's pairs as places among them."""
+    rows = group.to_pylist()
+    words, word_at = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), return_inverse=True)
+    contexts, context = np.unique(np.concatenate([_unpack48(r["contexts"]) for r in rows]), return_inverse=True)
+    per = np.concatenate([_unpack(r["per"], np.uint32) for r in rows]).astype(np.int64)
+    codes, at = np.unique(np.repeat(word_at, per) * len(contexts) + context, return_inverse=True)
+    count = np.bincount(at, np.concatenate([_unpack(r["train"], np.uint32) for r in rows]), len(codes)).astype(np.int64)
+    shard = Shard(rows[0]["shard"], words, codes // len(contexts), contexts, codes % len(contexts), count)
+    ends = np.concatenate([[0], np.cumsum([len(r["contexts"]) // 6 for r in rows])])
+    steps = [np.diff(at[a:b], prepend=0).astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return _messages([shard.row(), *(_row(ASKED, shard.number, r["block"], a=_pack(s)) for r, s in zip(rows, steps, strict=True))])
+
+
+class Restaurants:
+    """The dishes of a shard and their root."""
+
+    def __init__(self, shard: Shard, sums: Sums, drawn: np.random.Generator) -> None:
+        self.shard, self.sums = shard, sums
+        self.pairs = np.flatnonzero(shard.count)  # trained ones
+        count, word = shard.count[self.pairs], shard.word[self.pairs]
+        place = np.minimum(np.searchsorted(sums.hot, shard.words), max(0, len(sums.hot) - 1))
+        self.is_hot = sums.hot[place] == shard.words if len(sums.hot) else np.zeros(len(shard.words), bool)
+        self.hot = np.where(self.is_hot, place, -1)
+        self.seats = Seating(count, count, drawn)
+        every = np.bincount(word, count, len(shard.words))
+        self.rooted = np.flatnonzero((every > 0) & ~self.is_hot)
+        self.root = Seating(self._root_customers()[self.rooted], every[self.rooted], drawn)
+
+    def _root_customers(self) -> np.ndarray:
+        return np.bincount(self.shard.word[self.pairs], self.seats.tables, len(self.shard.words)).astype(np.int64)
+
+    def restore(self, row: dict) -> None:
+        for seats, (t, dish, size) in ((self.seats, "abc"), (self.root, "def")):
+            seats.tables, seats.dish, seats.size = (_unpack(row[c], np.uint32).astype(np.int64) for c in (t, dish, size))
+        self.root.customers = self._root_customers()[self.rooted]
+        self.root.target = self.root.customers[self.root.large]
+
+    def row(self) -> dict:
+        packed = {c: _pack(x.astype(np.uint32)) for c, x in zip("abcdef", (self.seats.tables, self.seats.dish, self.seats.size, self.root.tables, self.root.dish, self.root.size), strict=True)}
+        return _row(SEATED, self.shard.number, **packed)
+
+    def root_probability(self) -> np.ndarray:
+        """Of each word of the shard."""
+        customers, tables = np.zeros(len(self.shard.words)), np.zeros(len(self.shard.words))
+        customers[self.rooted], tables[self.rooted] = self.root.customers, self.root.tables
+        if self.is_hot.any():
+            customers[self.is_hot], tables[self.is_hot] = self.sums.hot_customers[self.hot[self.is_hot]], self.sums.hot_tables[self.hot[self.is_hot]]
+        return self.sums.root(customers, tables)
+
+    def sweep(self, context_tables: np.ndarray) -> None:
+        """A step of every customer of every dish, then of the root's, given how many tables each context has."""
+        d0, d1 = self.sums.discounts
+        p = self.root_probability()[self.shard.word[self.pairs]]
+        self.seats.step((STRENGTH + d0 * context_tables[self.shard.context[self.pairs]]) * p, d0)
+        new = np.full(len(self.rooted), self.sums.new_at_root())
+        self.root.recount(self._root_customers()[self.rooted], new, d1)
+        self.root.step(new, d1)
+
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each context, of this shard's words."""
+        at, n = self.shard.context[self.pairs], len(self.shard.contexts)
+        return np.bincount(at, self.shard.count[self.pairs], n), np.bincount(at, self.seats.tables, n)
+
+    def messages(self, shards: int) -> list[dict]:
+        """The arrangement, and its sums for others."""
+        customers, tables = self.by_context()
+        ranges = np.searchsorted(_shard_of(self.shard.contexts << np.uint64(16), shards), np.arange(shards + 1))
+        out = [self.row()]
+        for s in np.flatnonzero(np.diff(ranges)):
+            mine = slice(ranges[s], ranges[s + 1])
+            out.append(_row(TABLES, int(s), self.shard.number, a=_pack48(self.shard.contexts[mine]), b=_pack(customers[mine].astype(np.uint32)), c=_pack(tables[mine].astype(np.uint32))))
+        out.append(_row(NUMBERS, 0, ROOT, self.root.customers.sum(), self.root.tables.sum()))
+        hot = self._root_customers()
+        counts = np.bincount(self.shard.word, self.shard.count, len(self.shard.words))
+        return out + [_row(NUMBERS, 0, int(self.hot[i]), hot[i], counts[i]) for i in np.flatnonzero(self.is_hot)]
+
+    def first_numbers(self) -> list[dict]:
+        """Counts of counts, words and tokens; the hot words are counted where their sums are."""
+        count, root = self.shard.count[self.pairs], self.root.customers
+        hot = self.is_hot[self.shard.word[self.pairs]]
+        return [_row(NUMBERS, 0, k, x, y) for k, x, y in ((ONES, (count == 1).sum(), (count == 2).sum()), (ROOT_ONES, (root == 1).sum(), (root == 2).sum()), (WORDS, len(self.rooted), count[~hot].sum()))]
+
+
+def _context_sums(group: pa.Table) -> pa.Table:
+    """Customers and tables of each context of a range over all shards, for each shard in the order it sent them."""
+    rows = group.sort_by("other").to_pylist()
+    contexts, at = np.unique(np.concatenate([_unpack48(r["a"]) for r in rows]), return_inverse=True)
+    customers, tables = (np.bincount(at, np.concatenate([_unpack(r[c], np.uint32) for r in rows]), len(contexts)).astype(np.uint64) for c in "bc")
+    ends = np.concatenate([[0], np.cumsum([len(r["a"]) // 6 for r in rows])])
+    return _messages([_row(SUMMED, r["other"], r["shard"], b=_pack(customers[at[a:b]]), c=_pack(tables[at[a:b]])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)])
+
+
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of a shard's contexts."""
+    rows = sorted(rows, key=lambda r: r["other"])
+    return tuple(np.concatenate([_unpack(r[c], np.uint64) for r in rows]).astype(float) for c in "bc")
+
+
+def _start(shards: int, hot: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """One table for each dish."""
+    none = np.zeros(len(hot))
+
+    def run(group: pa.Table) -> pa.Table:
+        at = Restaurants(Shard.of(group.to_pylist()[0]), Sums((0.5, 0.5), 0, 0, 0.0, 0.0, hot, none, none, none), np.random.default_rng(0))
+        return _messages(at.messages(shards) + at.first_numbers())
 
     return run
 
 
-def _pass(sums: Sums, seed: int) -> Callable[[int, Shard], list[tuple]]:
-    def run(number: int, shard: Shard) -> list[tuple]:
-        sampler = Sampler(shard, sums, seed + number)
-        for _ in range(BURN_IN):
-            sampler.sweep()
-        return [(*r, 0.0, 0.0, 0.0) for r in sampler.sums_of()]
+def _pass(shards: int, sums: Sums, seed: int) -> Callable[[pa.Table], pa.Table]:
+    """All customers of a shard move, SWEEPS times."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        shard = Shard.of(next(r for r in rows if r["kind"] == SHARD))
+        at = Restaurants(shard, sums, np.random.default_rng([seed, shard.number]))
+        at.restore(next(r for r in rows if r["kind"] == SEATED))
+        _, tables = _summed([r for r in rows if r["kind"] == SUMMED])
+        own = at.by_context()[1]
+        for _ in range(SWEEPS):
+            at.sweep(np.maximum(0.0, tables - own + at.by_context()[1]))
+        return _messages(at.messages(shards))
 
     return run
 
 
-def _answers(sums: Sums, seed: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _answers(samples: list[Sums]) -> Callable[[pa.Table], pa.Table]:
     """For each block's pairs: log10 of the averaged predictive probability; for each of its words: the training count."""
 
-    def run(state: pa.Table, asked: pa.Table) -> pa.Table:
-        if len(state):
-            number, shard = _shard_row(state.combine_chunks().to_batches()[0], 0)
-        else:
-            number, shard = 0, Shard(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-        rows = asked.to_pylist()
-        words = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
-        per = np.concatenate([_unpack(r["b"], np.uint16) for r in rows])
-        context = np.concatenate([_unpack(r["c"], np.uint16) for r in rows]).astype(np.int64)
-        at = np.searchsorted(shard.words, words)
-        known = np.zeros(len(words), bool)
-        known[at < len(shard.words)] = shard.words[at[at < len(shard.words)]] == words[at < len(shard.words)]
-        at = np.where(known, at, 0)
-        count = np.where(known, np.bincount(shard.word, shard.count, max(1, len(shard.words)))[at], 0).astype(np.uint32)
-        pair_word, pair_known = np.repeat(at, per), np.repeat(known, per)
-        unknown = np.full(len(context), 1.0 / (sums.vocabulary + 1))
-        for level, house in ((2, np.zeros(len(context), np.int64)), (1, context // CLASSES), (0, context)):
-            unknown = sums.backoff(level)[house] * unknown
-        total = np.where(pair_known, 0.0, unknown * SAMPLES)
-        if len(shard.words):
-            sampler = Sampler(shard, sums, seed + number)
-            for _ in range(BURN_IN):
-                sampler.sweep()
-            own2, own1 = shard.word * CONTEXTS + shard.context, sampler.word * CLASSES + sampler.parent
-            ask2, ask1 = pair_word * CONTEXTS + context, pair_word * CLASSES + context // CLASSES
-            i2, i1 = np.minimum(np.searchsorted(own2, ask2), len(own2) - 1), np.minimum(np.searchsorted(own1, ask1), len(own1) - 1)
-            in2, in1 = (own2[i2] == ask2) & pair_known, (own1[i1] == ask1) & pair_known
-            for _ in range(SAMPLES):
-                sampler.sweep()
-                root = sampler.root()
-                above = sampler.parents(root)
-                full = sampler._level(0, sampler.context, above[sampler.up])
-                p1 = np.where(in1, above[i1], sums.backoff(1)[context // CLASSES] * root[pair_word])
-                p2 = np.where(in2, full[i2], sums.backoff(0)[context] * p1)
-                total = np.where(pair_known, total + p2, total)
-        log = np.log10(total / SAMPLES).astype(np.float32)
-        ends = np.cumsum([len(r["a"]) // 8 for r in rows])
-        pair_ends = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])[np.concatenate([[0], ends])]
-        starts = np.concatenate([[0], ends[:-1]])
-        return pa.table({
-            "block": pa.array([r["block"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int64()),
-            "log": pa.array([log[a:b].tobytes() for a, b in zip(pair_ends[:-1], pair_ends[1:], strict=True)], pa.binary()),
-            "count": pa.array([_pack(count[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-            "per": pa.array([r["b"] for r in rows], pa.binary()),
-        })
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        shard = Shard.of(next(r for r in rows if r["kind"] == SHARD))
+        total = np.zeros(len(shard.count))
+        for n, sums in enumerate(samples):
+            at = Restaurants(shard, sums, np.random.default_rng(0))
+            at.restore(next(r for r in rows if r["kind"] == SEATED and r["sample"] == n))
+            customers, tables = _summed([r for r in rows if r["kind"] == SUMMED and r["sample"] == n])
+            own = np.zeros(len(shard.count))
+            own[at.pairs] = np.maximum(0.0, shard.count[at.pairs] - sums.discounts[0] * at.seats.tables)
+            total += (own + ((STRENGTH + sums.discounts[0] * tables)[shard.context]) * at.root_probability()[shard.word]) / (STRENGTH + customers)[shard.context]
+        log = np.log10(total / len(samples))
+        count = np.bincount(shard.word, shard.count, len(shard.words))
+        count[at.is_hot] = samples[0].hot_count[at.hot[at.is_hot]]
+        out = []
+        for r in rows:
+            if r["kind"] == ASKED:
+                place = np.cumsum(_unpack(r["a"], np.int32))
+                out.append({"block": r["other"], "shard": shard.number, "log": log[place].astype(np.float32).tobytes(), "count": _pack(count[np.unique(shard.word[place])].astype(np.uint64))})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("log", pa.binary()), ("count", pa.binary())]))
 
     return run
 
@@ -445,37 +511,110 @@ def _answers(sums: Sums, seed: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 _ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(train_tokens: int, vocabulary: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score(shards: int, hot: np.ndarray, train_tokens: int, vocabulary: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The documents of a block from the answers of all shards."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        r, got = block.to_pylist()[0], answers.sort_by("shard").to_pylist()
-        log = np.concatenate([np.frombuffer(x["log"], np.float32) for x in got]).astype(float)
-        per = np.concatenate([_unpack(x["per"], np.uint16) for x in got])
-        count = np.repeat(np.concatenate([_unpack(x["count"], np.uint32) for x in got]).astype(float), per)
+        r, got = block.to_pylist()[0], {x["shard"]: x for x in answers.to_pylist()}
+        b = Block.of(r, shards, hot)
+        asked = np.flatnonzero(np.diff(b.cut))
+        log = np.concatenate([np.frombuffer(got[s]["log"], np.float32) for s in asked]).astype(float)
+        count = np.concatenate([np.repeat(_unpack(got[s]["count"], np.uint64).astype(float), b.part(s)[1]) for s in asked])
         base = np.log10((count + 1) / (train_tokens + vocabulary + 1))
-        sizes, pair = _unpack(r["a"], np.uint32).astype(np.int64), _unpack(r["b"], np.uint32)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        add = lambda x: np.add.reduceat(x[pair], first)
+        first = np.concatenate([[0], np.cumsum(b.sizes)[:-1]])
+        add = lambda x: np.add.reduceat(x[b.pair], first)
         return pa.table({
-            "doc_id": pa.array(r["ids"], pa.int64()), "held_out": pa.array(r["held"], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(add((count > 0).astype(np.int64))),
-            "train_tokens": pa.array([train_tokens] * len(sizes), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(log)),
+            "doc_id": pa.array(r["ids"], pa.int64()), "held_out": pa.array(r["held"], pa.bool_()), "n_tokens": pa.array(b.sizes), "n_known": pa.array(add((count > 0).astype(np.int64))),
+            "train_tokens": pa.array([train_tokens] * len(b.sizes), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(log)),
         })
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", seed: int = 1, passes: int = 1) -> DataFrame:
+# --- passes ----------------------------------------------------------------------------------------------------------
+
+
+def _numbers(messages: DataFrame, hot: np.ndarray, seed: int, before: Sums | None) -> Sums:
+    """The sums of an arrangement: a few rows and at most 2 * HOT of the hot words; their root tables are drawn here."""
+    added = {r["other"]: (r["x"], r["y"]) for r in messages.where(F.col("kind") == NUMBERS).groupBy("other").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    customers, count = (np.array([added.get(i, (0.0, 0.0))[k] for i in range(len(hot))]) for k in (0, 1))
+    root, root_tables = added.get(ROOT, (0.0, 0.0))
+    there = np.flatnonzero(customers)
+    if before is None:
+        share = lambda x: float(np.clip(x[0] / max(1.0, x[0] + 2 * x[1]), 0.05, 0.95))
+        words, tokens_ = added.get(WORDS, (0.0, 0.0))
+        ones = added.get(ROOT_ONES, (0.0, 0.0))
+        discounts = share(added.get(ONES, (0.0, 0.0))), share((ones[0] + (customers == 1).sum(), ones[1] + (customers == 2).sum()))
+        before = Sums(discounts, int(words) + len(there), int(tokens_ + count.sum()), root, root_tables + len(there), hot, count, customers, (customers > 0).astype(float))
+    tables = np.zeros(len(hot))
+    if len(there):
+        seats = Seating(customers[there], customers[there], np.random.default_rng(seed))
+        for _ in range(SWEEPS):
+            seats.step(np.full(len(there), before.new_at_root()), before.discounts[1])
+        tables[there] = seats.tables
+    return Sums(before.discounts, before.vocabulary, before.tokens, root + customers.sum(), root_tables + tables.sum(), hot, count, customers, tables)
+
+
+@dataclass(frozen=True)
+class Model:
+    """The pairs by shard, and the arrangements that are averaged with their sums."""
+
+    shards: int
+    hot: np.ndarray
+    pairs: DataFrame
+    seated: list[DataFrame]
+    summed: list[DataFrame]
+    sums: list[Sums]
+
+    def answers(self) -> DataFrame:
+        """block, shard, log, count: for every block and shard."""
+        rows = self.pairs.withColumn("sample", F.lit(-1))
+        for n, (a, b) in enumerate(zip(self.seated, self.summed, strict=True)):
+            rows = rows.unionByName(a.unionByName(b).withColumn("sample", F.lit(n)))
+        return rows.groupBy("shard").applyInArrow(_answers(self.sums), "block long, shard long, log binary, count binary")
+
+
+def _forget(spark) -> None:
+    """Let the driver's collector find shuffles that nothing refers to, whose files are then deleted."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def learn(blocks: DataFrame, shards: int, seed: int = 1) -> Model:
+    """Gather the pairs of ``blocks`` and sample seating arrangements of the trained ones."""
+    spark = blocks.sparkSession
+    frequent = blocks.select("words", "token").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = frequent.where("word = 0").agg(F.max("n")).first()[0] or 0
+    hot = np.sort(np.array([r["word"] for r in frequent.where((F.col("word") != 0) & (F.col("n") * HOT >= total)).collect()], np.int64).view(np.uint64))
+    asks = blocks.mapInArrow(_asks(shards, hot), "shard long, block long, words binary, per binary, contexts binary, train binary")
+    pairs = saved(asks.groupBy("shard").applyInArrow(_gather, _MESSAGE_ROW), "pairs")
+    _forget(spark)
+    own = pairs.where(F.col("kind") == SHARD)
+
+    def arranged(rows: DataFrame, f: Callable[[pa.Table], pa.Table], n: int, before: Sums | None) -> tuple[DataFrame, DataFrame, DataFrame, Sums]:
+        messages = saved(rows.groupBy("shard").applyInArrow(f, _MESSAGE_ROW), "arrangement")
+        summed = saved(messages.where(F.col("kind") == TABLES).groupBy("shard").applyInArrow(_context_sums, _MESSAGE_ROW), "contexts")
+        sums = _numbers(messages, hot, seed + n, before)
+        _forget(spark)
+        return messages, messages.where(F.col("kind") == SEATED), summed, sums
+
+    now = arranged(own, _start(shards, hot), 0, None)
+    samples = []
+    for n in range(1, BURN_IN + SAMPLES + 1 if now[3].tokens else 1):
+        after = arranged(own.unionByName(now[1]).unionByName(now[2]), _pass(shards, now[3], seed + n), n, now[3])
+        if n > BURN_IN:
+            samples.append(after)
+        if n - 1 <= BURN_IN:
+            drop_saved(now[0])
+            drop_saved(now[2])
+        now = after
+    samples = samples or [now]
+    return Model(shards, hot, pairs, [s[1] for s in samples], [s[2] for s in samples], [s[3] for s in samples])
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows not held out are learned from."""
     shards = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD_CHARS
-    rows = docs.select(F.col(key).cast("long").alias("id"), held_out.alias("held"), F.col(text).alias("t"))
-    blocks = saved(rows.mapInArrow(_blocks(shards), _BLOCK_ROW), "blocks")
-    asked = blocks.where("shard >= 0").select("block", "shard", "a", "b", "c", "d")
-    state = saved(asked.groupBy("shard").applyInArrow(_state, _STATE), "state")
-    sums = _collect(state.mapInArrow(_each_shard(lambda _, s: _first_sums(s)), _SUMS))
-    train_tokens = int(sums.customers[0].sum())
-    for i in range(passes if train_tokens else 0):
-        sums = _collect(state.mapInArrow(_each_shard(_pass(sums, seed + 1000 * i)), _SUMS), sums.discounts, sums.vocabulary)
-    answers = state.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answers(sums, seed + 7777), "block long, shard long, log binary, count binary, per binary")
-    whole = blocks.where("shard < 0").select("block", "ids", "held", "a", "b")
-    return whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(train_tokens, sums.vocabulary), _ROW)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("t"))
+    blocks = saved(rows.mapInArrow(_blocks, _BLOCK_ROW), "blocks")
+    model = learn(blocks, shards, seed)
+    return blocks.groupBy("block").cogroup(model.answers().groupBy("block")).applyInArrow(_score(shards, model.hot, model.sums[0].tokens, model.sums[0].vocabulary), _ROW)

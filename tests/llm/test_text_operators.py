@@ -116,28 +116,35 @@ def test_language_model(docs, rows, empty):
     assert pitman_yor.score(empty, key_mod("doc_id", 7) == 2).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    """For each context, the probabilities of all words and the unknown one add up to 1, whatever the seating."""
-    draw = np.random.default_rng(3)
-    word, context = draw.integers(0, 40, 4000) ** 2 // 50, draw.integers(0, 6, 4000) * 17
-    pairs, count = np.unique(word * pitman_yor.CONTEXTS + context, return_counts=True)
-    names, at = np.unique(pairs // pitman_yor.CONTEXTS, return_inverse=True)
-    shard = pitman_yor.Shard(names.astype(np.uint64), at, pairs % pitman_yor.CONTEXTS, count)
-    sums = pitman_yor.Sums([np.ones(n) for n in (pitman_yor.CONTEXTS, pitman_yor.CLASSES, 1)], [np.ones(n) for n in (pitman_yor.CONTEXTS, pitman_yor.CLASSES, 1)], [0.7, 0.6, 0.5], len(names))
-    sampler = pitman_yor.Sampler(shard, sums, 1)
-    sampler.sweep()
-    for level, seats in enumerate(sampler.levels):
-        assert (np.bincount(seats.dish, seats.size, len(seats.target)) == seats.target).all()
-        for l, house, c, t in sampler.sums_of():
-            if l == level:
-                sums.customers[l][house], sums.tables[l][house] = c, t
-    root = sampler.root()
-    assert math.isclose(root.sum() + sums.backoff(2)[0] / (len(names) + 1), 1.0, rel_tol=1e-9)
-    above, full = sampler.parents(root), None
-    for p in range(pitman_yor.CLASSES):
-        seen = sampler.parent == p
-        rest = root.sum() - root[sampler.word[seen]].sum() + sums.backoff(2)[0] / (len(names) + 1)
-        assert math.isclose(above[seen].sum() + sums.backoff(1)[p] * rest, 1.0, rel_tol=1e-9) or not seen.any()
+def pair_probabilities(blocks, model):
+    """(word, context) -> probability of everything that the blocks ask."""
+    answers, out = {(r["block"], r["shard"]): r["log"] for r in model.answers().collect()}, {}
+    for row in blocks.collect():
+        b = pitman_yor.Block.of(row.asDict(), model.shards, model.hot)
+        for s in np.flatnonzero(np.diff(b.cut)):
+            mine, log = slice(b.cut[s], b.cut[s + 1]), np.frombuffer(answers[row["block"], s], np.float32)
+            out |= {(int(b.words[w]), int(b.words[c])): 10.0 ** float(x) for w, c, x in zip(b.word[mine], b.context[mine], log, strict=True)}
+    return out
+
+
+def test_language_model_is_a_distribution(spark, monkeypatch):
+    """For each context, the probabilities of all words and an unknown one add up to 1: code, sums and seating of production, with and without hot words."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[min(59, int(draw.expovariate(0.1)))] for _ in range(120)) for _ in range(40)]
+    seen = sorted({w for t in texts for w in t.split()})
+    held = [f"{c} {w}" for c in [*seen[:12], "never"] for w in [*seen, "never"]]
+    rows = spark.createDataFrame([(i, i >= len(texts), t) for i, t in enumerate(texts + held + [*seen, "never", "never never"])], "id long, held boolean, t string").repartition(2)
+    blocks = pitman_yor.saved(rows.mapInArrow(pitman_yor._blocks, pitman_yor._BLOCK_ROW), "blocks")
+    ids = {w: int(pitman_yor.tokens([w])[0][0]) for w in [*seen, "never"]}
+    for hot, shards in ((10**6, 1), (30, 3)):
+        monkeypatch.setattr(pitman_yor, "HOT", hot)
+        model = pitman_yor.learn(blocks, shards)
+        assert (len(model.hot) > 3) and (len(model.hot) < 20 or hot > 30)
+        p = pair_probabilities(blocks, model)
+        for c in [*seen[:12], "never"]:
+            mass = sum(p[ids[w], ids[c]] for w in ids) + p[int(pitman_yor.END), ids[c]]
+            assert math.isclose(mass, 1.0, abs_tol=1e-6), (c, mass)
 
 
 def exact_tables(n, new, d):
@@ -151,18 +158,17 @@ def exact_tables(n, new, d):
 
 
 def test_language_model_revisits_every_customer():
-    """A frequent word's tables follow its parent's probability, not how it was first seated."""
+    """A frequent pair's tables follow the root's probability, not how it was first seated."""
     n, rest = 3000, 400
-    context = np.concatenate([[17], np.arange(rest) % 6 + 17])
-    shard = pitman_yor.Shard(np.arange(rest + 1, dtype=np.uint64), np.arange(rest + 1), context, np.concatenate([[n], np.full(rest, 3)]))
-    sizes = (pitman_yor.CONTEXTS, pitman_yor.CLASSES, 1)
-    sums = pitman_yor.Sums([np.full(k, 20_000.0) for k in sizes], [np.full(k, 10_000.0) for k in sizes], [0.7, 0.6, 0.5], rest + 1)
-    sampler = pitman_yor.Sampler(shard, sums, 1)
-    found, wanted = [], []
+    count = np.concatenate([[n], np.full(rest, 3)])
+    shard = pitman_yor.Shard(0, np.arange(1, rest + 2, dtype=np.uint64), np.arange(rest + 1), np.arange(7, dtype=np.uint64), np.concatenate([[0], np.arange(rest) % 6 + 1]), count)
+    none = np.zeros(0)
+    sums = pitman_yor.Sums((0.7, 0.5), rest + 1, int(count.sum()), 20_000.0, 10_000.0, none.astype(np.uint64), none, none, none)
+    at, found, wanted = pitman_yor.Restaurants(shard, sums, np.random.default_rng(1)), [], []
     for _ in range(12):
-        new = float(sampler._new(0, context, sampler.parents(sampler.root())[sampler.up])[0])
-        sampler.sweep()
-        found.append(int(sampler.levels[0].tables[0]))
+        new = (pitman_yor.STRENGTH + 0.7 * 60_000) * float(at.root_probability()[0])
+        at.sweep(np.full(7, 60_000.0))
+        found.append(int(at.seats.tables[0]))
         wanted.append(exact_tables(n, new, 0.7))
     assert abs(np.mean(found[4:]) / np.mean(wanted[4:]) - 1) < 0.15, (found, wanted)
 
