@@ -5,10 +5,13 @@ labelled texts counts features by label and keeps those tied to the label; logis
 
 * an l1 penalty, so that a weight needs evidence, and
 * a counterfactual penalty: each labelled text that names a group is paired with copies that name other groups
-  instead, and the squared change of the score between them is added to the loss.
+  instead, and the squared change of the score between them is added to the loss.  As few texts name a group by
+  themselves, one labelled text in ``MENTION_EVERY``, drawn by a hash of the text, is also learned from, with its label,
+  with a neutral sentence about a group added to it; this copy is paired with those about other groups.  And for every
+  group that a toxic text names, some clean text is learned from with a neutral sentence about that group.
 
-A neutral mention of a group thus can't carry the score: weights of group terms, and of words that only travel with
-one of them, are pulled together.
+A neutral mention of a group thus can't carry the score: it comes with both labels, and weights of group terms, and of
+words that only travel with one of them, are pulled together.
 
 Defined cases: a null or empty text gets the score of a text without known features; rows without a label, or with
 one that contradicts a duplicate, count by their largest label; with no label of either kind to learn from, all scores
@@ -17,6 +20,7 @@ are the share of toxic labels (0.5 without labels); other columns of the input a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +35,8 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 #: Labelled texts to learn from, drawn by a hash of the key: the bound of the sample.
 SAMPLE = 60_000
+#: Characters of the sample, which bound what of it the driver holds.
+SAMPLE_CHARS = 80_000_000
 #: A feature is kept if at least so many texts have it and its z-score against the label is at least this.
 LEAST_TEXTS = 6
 LEAST_Z = 4.0
@@ -51,6 +57,9 @@ IDENTITY = (
 _OTHERS = {w: [v for v in line if v != w] for line in IDENTITY for w in line}
 #: Copies made of a text that names a group.
 SWAPS = 2
+#: Neutral sentences about a group, and how many labelled texts there are for each that one is added to.
+NEUTRAL = ("Some {} live here.", "We met {} today.", "Our neighbours are {}.", "There were {} at the market.")
+MENTION_EVERY = 3
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +72,38 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (mix(np.concatenate(found)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+_TERMS = [w for line in IDENTITY for w in line]
+
+
+def _bare(text: str) -> list[str]:
+    return [w.lower().strip(".,;:!?\"'()") for w in text.split()]
+
+
+def named(text: str) -> list[int]:
+    """Groups that ``text`` names, as places among all terms."""
+    words = {*_bare(text)} & _OTHERS.keys()
+    return sorted(_TERMS.index(w) for w in words)
+
+
 def counterfactuals(text: str) -> list[str]:
     """Copies of ``text`` that name other groups in place of those that it names."""
-    words = text.split()
-    bare = [w.lower().strip(".,;:!?\"'()") for w in words]
+    words, bare = text.split(), _bare(text)
     hit = [i for i, w in enumerate(bare) if w in _OTHERS]
     return [" ".join(_OTHERS[bare[i]][k % len(_OTHERS[bare[i]])] if i in hit else w for i, w in enumerate(words)) for k in range(SWAPS)] if hit else []
 
 
+def mentions(text: str) -> list[str]:
+    """A neutral sentence to add to ``text``, and the same about other groups; none for most texts."""
+    draw = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    if draw % MENTION_EVERY:
+        return []
+    draw //= MENTION_EVERY
+    line = IDENTITY[draw % len(IDENTITY)]
+    at = draw // len(IDENTITY)
+    sentence = NEUTRAL[at % len(NEUTRAL)]
+    return [sentence.format(line[(at + k) % len(line)]) for k in range(min(len(line), SWAPS + 1))]
+
+
 @dataclass(frozen=True)
 class Classifier:
     kept: np.ndarray  # buckets, ascending
@@ -142,12 +175,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(every[part].astype(np.int64)), pa.array(toxic[part].astype(np.int64))], ["bucket", "n", "n_toxic"])
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as views of its flat values."""
+    out = []
+    for chunk in column.chunks:
+        out += np.split(chunk.flatten().to_numpy().astype(np.int64), np.cumsum(chunk.value_lengths().to_numpy())[:-1])[: len(chunk)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, swap: float = 1.0) -> Classifier:
     """Learn from the texts of ``docs`` that ``labels`` marks, or a hashed sample of about ``sample`` of them."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     n = marks.count()
     part = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    drawn = saved(marks.where(part < min(1.0, sample / max(1, n))).select(F.col(key).alias("__key"), "toxic"), "marks")
+    words = docs.select(F.col(key).alias("__key"), F.length(text).alias("chars")).join(marks.select(F.col(key).alias("__key")), "__key").agg(F.sum("chars")).first()[0] or 0
+    drawn = saved(marks.where(part < min(1.0, sample / max(1, n), SAMPLE_CHARS / max(1, words))).select(F.col(key).alias("__key"), "toxic"), "marks")
     share, size = drawn.agg(F.avg("toxic"), F.count(F.lit(1))).first()
     empty = Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0)
     if share is None:
@@ -159,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counted = rows.mapInArrow(_count, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("x"))
     z = (F.col("x") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     tied = counted.where((F.col("n") >= LEAST_TEXTS) & (F.abs(z) >= LEAST_Z)).select("bucket").toArrow()  # at most BUCKETS
-    terms = [w for line in IDENTITY for w in line]
-    kept = np.union1d(tied.column(0).to_numpy(), np.unique(features(terms)[1]))
+    neutral = [n.format("") for n in NEUTRAL]
+    kept = np.union1d(tied.column(0).to_numpy(), np.unique(features(_TERMS + neutral)[1]))
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
@@ -177,18 +219,35 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column("t"))
-            swapped = [counterfactuals(t) for t in texts]
-            others = columns([c for cs in swapped for c in cs])
-            at = np.concatenate([[0], np.cumsum([len(cs) for cs in swapped])])
+
+            def several(of: list[list[str]]) -> pa.Array:
+                flat = columns([c for cs in of for c in cs])
+                at = np.concatenate([[0], np.cumsum([len(cs) for cs in of])])
+                return pa.array([[c.tolist() for c in flat[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.list_(pa.int32())))
+
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([c.tolist() for c in columns(texts)], pa.list_(pa.int32())), pa.array([[c.tolist() for c in others[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.list_(pa.int32())))],
-                ["toxic", "own", "swapped"],
+                [batch.column("toxic"), pa.array([c.tolist() for c in columns(texts)], pa.list_(pa.int32())), several([counterfactuals(t) for t in texts]), several([mentions(t) for t in texts]), pa.array([named(t) for t in texts], pa.list_(pa.int32()))],
+                ["toxic", "own", "swapped", "added", "named"],
             )
 
-    seen = rows.mapInArrow(extract, "toxic int, own array<int>, swapped array<array<int>>").toArrow()
-    own = [np.array(x, np.int64) for x in seen.column("own").to_pylist()]
+    seen = rows.mapInArrow(extract, "toxic int, own array<int>, swapped array<array<int>>, added array<array<int>>, named array<int>").toArrow()  # of at most about SAMPLE_CHARS characters
+    own, labels_ = _lists(seen.column("own")), seen.column("toxic").to_numpy().astype(float)
     pairs = [(i, np.array(c, np.int64)) for i, cs in enumerate(seen.column("swapped").to_pylist()) for c in cs]
-    weights, bias = learn(own, seen.column("toxic").to_numpy().astype(float), pairs, len(kept), swap)
+    copies = []
+    for i, added in enumerate(seen.column("added").to_pylist()):
+        if added:
+            pairs += [(len(own) + len(copies), np.union1d(own[i], np.array(c, np.int64))) for c in added[1:]]
+            copies.append((i, np.union1d(own[i], np.array(added[0], np.int64))))
+    clean = np.flatnonzero(labels_ == 0)
+    told = [g for i, gs in enumerate(_lists(seen.column("named"))) if labels_[i] for g in gs]
+    for n, g in enumerate(told):
+        i, sentence = int(clean[n % len(clean)]), NEUTRAL[n % len(NEUTRAL)]
+        own_, *others = columns([sentence.format(w) for w in (_TERMS[g], *_OTHERS[_TERMS[g]][:SWAPS])])
+        pairs += [(len(own) + len(copies), np.union1d(own[i], c.astype(np.int64))) for c in others]
+        copies.append((i, np.union1d(own[i], own_.astype(np.int64))))
+    labels_ = np.concatenate([labels_, labels_[[i for i, _ in copies]]])
+    own += [c for _, c in copies]
+    weights, bias = learn(own, labels_, pairs, len(kept), swap)
     used = np.flatnonzero(weights)
     return Classifier(kept[used], weights[used], bias)
 
@@ -201,4 +260,4 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
         p = _sigmoid(held.value.logits(strings(texts)))
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    return with_made(docs, text, [("score", "double"), ("predicted", "int")], made)
+    return with_made(docs, text, [("score", "double"), ("predicted", "integer")], made)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from doclake.llm import language_id, pii, pitman_yor, toxicity
@@ -65,6 +66,26 @@ def test_counterfactual_penalty_shrinks_the_gap():
     assert toxicity.counterfactuals("nothing") == []
 
 
+def test_neutral_mentions_score_low(spark):
+    """Toxic texts name one group, clean ones none: a plain classifier learns the group's name, this one doesn't."""
+    draw = random.Random(8)
+    filler = [f"w{i}" for i in range(60)]
+    say = lambda: " ".join(draw.choice(filler) for _ in range(12))
+    toxic = [f"{say()} muslims {draw.choice(['scum', 'vermin', 'idiots'])} {say()}" for _ in range(150)]
+    clean = [say() for _ in range(300)]
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    neutral = [f"{say()} muslims {say()}" for _ in range(100)]
+    insults = [f"{say()} {draw.choice(['christians', 'jews', ''])} {draw.choice(['scum', 'vermin', 'idiots'])} {say()}" for _ in range(100)]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(neutral + insults)], "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    found = {r["doc_id"]: r for r in toxicity.score(asked, model).collect()}
+    assert sum(found[i]["predicted"] for i in range(100)) <= 2
+    assert sum(found[i]["predicted"] for i in range(100, 200)) >= 95
+    assert abs(np.diff(model.logits(["so muslims too", "so christians too"]))[0]) < 2
+
+
 def brute_spans(t):
     found = []
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -100,6 +121,58 @@ def test_field_splits_what_the_patterns_swallow(spark):
     assert masked[-2] == "<PHONE> <CARD> at <IP>" and masked[-1] is None
 
 
+def brute_added(model, text):
+    """The field's spans by comparing every region with every base span."""
+    found, more, free = pii.base_spans(text), [], 0
+    for a, b in pii.regions(text):
+        if not any(s <= a and b <= e for _, s, e in found):
+            more += [(k, a + s, a + e) for k, s, e in model.best(text[a:b], text[a - 1 : a], text[b : b + 1]) if all(a + e <= s2 or e2 <= a + s for _, s2, e2 in found)]
+    for k, a, b in sorted(more, key=lambda s: (s[1], -s[2])):
+        if a >= free:
+            found.append((k, a, b))
+            free = b
+    return sorted(found, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.fit(spark.createDataFrame([], "doc_id long, text string"))
+
+
+def test_field_finds_what_the_patterns_do_not_know(field):
+    right = wrong = n = clean = 0
+    for region, spans in pii.made_up(800, seed=99):
+        text = f"so {region} it is"
+        wanted = [(k, a + 3, b + 3) for k, a, b in spans]
+        got = field.spans(text)
+        if wanted:
+            n, right = n + 1, right + (got == wanted)
+        else:
+            clean, wrong = clean + 1, wrong + bool(got)
+    assert right >= 0.95 * n and wrong <= 0.02 * clean, (right, n, wrong, clean)
+    assert field.spans("we look at things. A dot is at the end, at 12 or at 3.14 percent") == []
+
+
+def test_added_spans_against_brute_force(field):
+    draw = random.Random(3)
+    for _ in range(3000):
+        t = "".join(draw.choice(["a", "@", " at ", " dot ", ".", "555", "-", " ", "12", "(", ")", "+1", "99", "x"]) for _ in range(draw.randrange(30)))
+        assert field.spans(t) == brute_added(field, t)
+
+
+def test_spans_of_a_long_text_take_linear_time(field):
+    import time
+
+    def seconds(n):
+        text = "call (555) 123-4567 or +1 645 555 3345, 10.20.30.40 x@y.example " * n
+        start = time.perf_counter()
+        found = field.spans(text)
+        assert len(found) == 4 * n
+        return time.perf_counter() - start
+
+    assert seconds(4000) < 10 * max(0.05, seconds(1000))
+
+
 def test_language_model(docs, rows, empty):
     found = pitman_yor.score(docs, key_mod("doc_id", 7) == 2).collect()
     held = {r["doc_id"]: r["held_out"] for r in found}
