@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import saved
+from doclake.sources.shared import saved
 
 
 def ancestors(turns: DataFrame) -> DataFrame:
