@@ -11,5 +11,6 @@ BM25_K1, BM25_B = 1.2, 0.75
 KG_MAX, KG_CONCEPTS = 60, 15
 MAP_IOU, MAP_SIMILARITY = 0.5, 0.9
 PAGE_WIDTH, PAGE_HEIGHT, LINES_PER_PAGE = 612, 792, 10
+MOST_LEVELS = 4
 KIND_LIMITS = {"purchase": 2}
 MAX_RUNNING = 4

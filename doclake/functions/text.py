@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # English words that carry no search.
-STOP_WORDS = frozenset("a an and are as at be but by for from how in is it its of on or that the their this to was we were what when where which who why will with you".split())
+STOP_WORDS = frozenset("a an and are as at be by can did do does for from how in is it of on or that the this to was were what when where which who why will with".split())
 # Characters that count as one token each (CJK and Hangul).
 WIDE = "[\\u3000-\\u9FFF\\uAC00-\\uD7AF]"
 
@@ -35,13 +37,49 @@ def html_text(html: Column) -> Column:
     return collapse(plain)
 
 
+# What separates the words of a query, and what is cut off their ends.
+TERM = "[^\\s\"“”‘’，。；：！？、（）]+"
+EDGE = "'.,;:!?()[]{}"
+
+
 def query_terms(query: str) -> list[str]:
     """Words of a query, without stop words unless nothing else remains.  A literal: evaluated by the driver."""
-    words = [w.strip(".,;:!?()[]{}\"'") for w in query.split()]
-    words = list(dict.fromkeys(w for w in words if w))
+    words = [w for w in (m.strip(EDGE) for m in re.findall(TERM, query)) if w]
     return [w for w in words if w.lower() not in STOP_WORDS] or words
 
 
+def terms_of(query: Column) -> Column:
+    """``query_terms`` of a column."""
+    cut = "[" + re.escape(EDGE) + "]+"
+    words = F.filter(F.transform(F.regexp_extract_all(query, F.lit(TERM), 0), lambda w: F.regexp_replace(w, f"^{cut}|{cut}$", "")), lambda w: w != "")
+    content = F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS))
+    return F.when(F.size(content) > 0, content).otherwise(words)
+
+
+def highlight(body: Column, terms: list[str], width: int = 160) -> Column:
+    """The first ``width`` characters from a third of that before the first hit, all hits marked, cuts shown by dots."""
+    at = F.least(*[F.nullif(F.locate(t.lower(), F.lower(body)), F.lit(0)) for t in [*terms, *terms[:1]]])
+    start = F.greatest(F.lit(0), at - 1 - width // 3)
+    any_term = "|".join(re.escape(t) for t in sorted(set(terms), key=len, reverse=True))
+    marked = F.regexp_replace(F.substring(body, start + 1, F.lit(width)), f"(?i){any_term}", "\u0002$0\u0003")
+    dots = F.when(start + width < F.length(body), "…").otherwise("")
+    first = F.concat(F.left(body, F.lit(width)), F.when(F.length(body) > width, "…").otherwise(""))
+    return F.when(at.isNull(), first).otherwise(F.concat(F.when(start > 0, "…").otherwise(""), marked, dots))
+
+
+def sentences(text: Column) -> Column:
+    """Pieces that end with a stop and white space, or a wide stop."""
+    return F.filter(F.split(text, "(?<=[.!?;])\\s+|(?<=[。！？；])"), lambda s: s != "")
+
+
+# Fixed value: bracketed groups of block ids inside a text.
+INLINE_IDS = "\\s*[\\[【(（]\\s*(?:(?:d_[0-9a-fA-F]+#)?[bB][_-]?[0-9]+[\\s,，、;；]*)+[\\]】)）]"
+
+
+def without_ids(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, INLINE_IDS, ""))
+
+
 def occurrences(text: Column, term: str) -> Column:
     """Number of times a lower-cased term occurs, not overlapping."""
     low = F.lower(text)

@@ -5,6 +5,10 @@ Every window is partitioned by document, so a shuffle by doc_id serves all of th
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -42,17 +46,20 @@ def with_section(blocks: DataFrame) -> DataFrame:
 def section_parents(blocks: DataFrame) -> DataFrame:
     """Headings with the latest earlier heading of a smaller level: one pass with the latest ordinal of each level."""
     heads = blocks.where(is_heading())
-    levels = [_last(F.col("ord"), F.col("level") == n, earlier()) for n in (1, 2)]
-    parent = F.when(F.col("level") == 2, levels[0]).when(F.col("level") == 3, F.greatest(*levels))
+    levels = [_last(F.col("ord"), F.col("level") == n, earlier()) for n in range(1, K.MOST_LEVELS)]
+    parent = F.when(F.col("level") == 2, levels[0])
+    for n in range(3, K.MOST_LEVELS + 1):
+        parent = parent.when(F.col("level") == n, F.greatest(*levels[: n - 1]))
     return heads.select("doc_id", "ord", "level", parent.alias("parent"))
 
 
 def section_roots(parents: DataFrame) -> DataFrame:
-    """The root of each section: a chain has at most three levels, so two self joins climb it."""
-    up = parents.select("doc_id", F.col("ord").alias("parent"), F.col("parent").alias("grand"))
-    once = parents.join(up, ["doc_id", "parent"], "left")
-    again = once.join(up.select("doc_id", F.col("parent").alias("grand"), F.col("grand").alias("great")), ["doc_id", "grand"], "left")
-    return again.select("doc_id", "ord", F.coalesce("great", "grand", "parent", "ord").alias("root"))
+    """The root of each section: levels fall along a chain, so it has at most ``MOST_LEVELS`` of them and joins climb it."""
+    up = parents.select("doc_id", F.col("ord").alias("top"), F.col("parent").alias("above"))
+    out = parents.select("doc_id", "ord", F.coalesce("parent", "ord").alias("top"))
+    for _ in range(K.MOST_LEVELS - 2):
+        out = out.join(up, ["doc_id", "top"], "left").select("doc_id", "ord", F.coalesce("above", "top").alias("top"))
+    return out.select("doc_id", "ord", F.col("top").alias("root"))
 
 
 def section_ranges(blocks: DataFrame) -> DataFrame:
@@ -81,23 +88,85 @@ def mark_references(blocks: DataFrame, word: str) -> DataFrame:
 
 
 def chunks(blocks: DataFrame, size: int = K.CHUNK_TOKENS, most: int = K.CHUNK_MAX) -> DataFrame:
-    """Greedy packing of neighbouring blocks, a fold over each document's blocks; blocks over ``most`` stand alone.
-
-    The fold keeps (chunk, fill); it runs on the JVM over one document's array, whose size is that of the document.
-    """
-    rows = blocks.where("type <> 'heading'").withColumn("tokens", T.approx_tokens(F.col("text")))
-    folded = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("b"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("fill"), F.expr("CAST(array() AS ARRAY<INT>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        opens = (s["chunk"] < 0) | (s["fill"] + x["tokens"] > size) | (x["tokens"] > most)
-        chunk = F.when(opens, s["chunk"] + 1).otherwise(s["chunk"])
-        fill = F.when(opens, x["tokens"]).otherwise(s["fill"] + x["tokens"])
-        return F.struct(chunk.alias("chunk"), fill.alias("fill"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    zipped = folded.select("doc_id", F.arrays_zip("b", F.aggregate("b", start, step, lambda s: s["out"]).alias("chunk")).alias("z"))
-    placed = zipped.select("doc_id", F.explode("z").alias("z")).select("doc_id", F.col("z.b.ord").alias("ord"), F.col("z.b.tokens").alias("tokens"), F.col("z.chunk").alias("chunk"))
-    return placed.groupBy("doc_id", "chunk").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.sum("tokens").alias("tokens"))
+    """Greedy packing of neighbouring blocks of a section, a fold over each document's blocks; blocks over ``most`` stand alone."""
+    rows = with_section(blocks).where("type <> 'heading'").select("doc_id", "ord", F.coalesce("section", F.lit(-1)).alias("section"), T.approx_tokens(F.col("text")).alias("tokens"))
+    by_doc = rows.groupBy("doc_id").applyInArrow(_packer(size, most), "doc_id long, chunk int, first_ord int, last_ord int, tokens long")
+    return by_doc
+
+
+def _packer(size: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    """Chunks of a document's blocks: a new one opens at another section or when the fill would exceed ``size``."""
+
+    def run(doc: pa.Table) -> pa.Table:
+        doc = doc.sort_by("ord")
+        out, section, closed = [], None, True
+        for o, s, n in zip(*(doc.column(c).to_pylist() for c in ("ord", "section", "tokens")), strict=True):
+            if closed or s != section or n > most or out[-1][2] + n > size:
+                out.append([o, o, 0])
+            out[-1][1:] = [o, out[-1][2] + n]
+            section, closed = s, n > most
+        first, last, tokens = zip(*out, strict=True)
+        return pa.table({"doc_id": pa.array([doc.column("doc_id")[0].as_py()] * len(out), pa.int64()), "chunk": pa.array(range(len(out)), pa.int32()), "first_ord": pa.array(first, pa.int32()), "last_ord": pa.array(last, pa.int32()), "tokens": pa.array(tokens, pa.int64())})
+
+    return run
+
+
+def tokens_of(text: str) -> int:
+    """``approx_tokens`` of one text."""
+    wide = sum("\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7af" for c in text)
+    return wide + (len(text) - wide + 3) // 4
+
+
+def split_long(text: str, size: int, most: int) -> list[str]:
+    """Sentences packed to ``size`` tokens; one over ``most`` is cut at equal steps of about that many."""
+    pieces, held = [], ""
+    for s in filter(None, re.split(r"(?<=[.!?;])\s+|(?<=[。！？；])", text)):
+        n = tokens_of(s)
+        if held and tokens_of(held) + n > size:
+            pieces.append(held)
+            held = ""
+        if n > most:
+            step = max(1, len(s) * size // n)
+            pieces += [s[i : i + step] for i in range(0, len(s), step)]
+        else:
+            held = f"{held} {s}".strip()
+    return [*pieces, held] if held else pieces
+
+
+def chunk_texts(blocks: DataFrame, size: int = K.CHUNK_TOKENS, most: int = K.CHUNK_MAX) -> DataFrame:
+    """doc_id, chunk, ords, text of each chunk as it is embedded: its section's title, then its blocks; long blocks in pieces."""
+    placed = with_section(blocks)
+    titles = placed.where(is_heading()).select("doc_id", F.col("ord").alias("section"), F.col("text").alias("title"))
+    rows = placed.where(~is_heading() & (F.trim("text") != "")).join(titles, ["doc_id", "section"], "left").select("doc_id", "ord", F.coalesce("section", F.lit(-1)).alias("section"), F.coalesce("title", F.lit("")).alias("title"), F.trim("text").alias("body"))
+
+    def run(doc: pa.Table) -> pa.Table:
+        out: list[tuple[list[int], str]] = []
+        held, parts, fill, section, title = [], [], 0, None, ""
+
+        def flush() -> None:
+            nonlocal held, parts, fill
+            if held:
+                emit(held, "\n".join(parts))
+            held, parts, fill = [], [], 0
+
+        def emit(ords: list[int], body: str) -> None:
+            out.append((ords, f"{title}\n{body}" if title and title != body else body))
+
+        for r in doc.sort_by("ord").to_pylist():
+            n = tokens_of(r["body"])
+            if r["section"] != section or fill + n > size:
+                flush()
+                section, title = r["section"], r["title"]
+            if n > most:
+                flush()
+                for piece in split_long(r["body"], size, most):
+                    emit([r["ord"]], piece)
+            else:
+                held, parts, fill = [*held, r["ord"]], [*parts, r["body"]], fill + n
+        flush()
+        return pa.table({"doc_id": pa.array([doc.column("doc_id")[0].as_py()] * len(out), pa.int64()), "chunk": pa.array(range(len(out)), pa.int32()), "ords": pa.array([o for o, _ in out], pa.list_(pa.int32())), "text": pa.array([t for _, t in out], pa.string())})
+
+    return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, chunk int, ords array<int>, text string")
 
 
 def repeated_edges(anchored: DataFrame) -> DataFrame:

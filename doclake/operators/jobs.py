@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake import constants as K
+from doclake.sources.shared import saved
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
@@ -26,8 +27,22 @@ def admitted(claims: DataFrame, running: DataFrame, limits: dict[str, int], most
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("kind")), F.lit(1))
     busy = running.groupBy("kind").agg(F.count(F.lit(1)).alias("busy"))
     per = F.row_number().over(Window.partitionBy("kind").orderBy("created", "job"))
+    free = F.greatest(F.lit(0), most - F.coalesce(F.sum("busy"), F.lit(0)))
     fits = claims.withColumn("rn", per).join(busy, "kind", "left").where(F.col("rn") <= limit - F.coalesce("busy", F.lit(0)))
-    return fits.orderBy("created", "job").limit(most).select("job", "kind")
+    first = fits.orderBy("created", "job").limit(most).withColumn("place", F.row_number().over(Window.orderBy("created", "job")))  # ``most`` rows
+    return first.crossJoin(F.broadcast(busy.agg(free.alias("free")))).where("place <= free").select("job", "kind")  # one row
+
+
+def cancelled(states: DataFrame) -> DataFrame:
+    """Queued jobs that wait for a failed one, directly or through other queued jobs; rounds until one adds none."""
+    queued = states.where("status = 'queued'").select("job", "depends_on")
+    front, out = states.where("status = 'failed'").select("job"), None
+    while True:
+        hit = queued.join(front.select(F.col("job").alias("depends_on")), "depends_on", "left_semi").select("job")
+        front = saved(hit if out is None else hit.join(out, "job", "left_anti"), "cancelled")
+        if front.isEmpty():
+            return front if out is None else out
+        out = front if out is None else out.unionByName(front)
 
 
 def usage(calls: DataFrame) -> DataFrame:

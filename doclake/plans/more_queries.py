@@ -29,7 +29,7 @@ def search_rrf(spark, d):
 @query
 def context_neighbours(spark, d):
     """Blocks next to a hit within the same section."""
-    rows = B.with_section(_blocks(spark, d)).select("doc_id", "ord", F.coalesce("section", F.lit(-1)).alias("section"), (F.col("ord") % 8 == 3).alias("hit"))
+    rows = B.with_section(_blocks(spark, d)).select("doc_id", "ord", F.coalesce("section", F.lit(-1)).alias("section"), F.contains("text", F.lit("tion")).alias("hit"))
     near = rows.where("hit").select("doc_id", "section", F.col("ord").alias("hit_ord"), F.explode(F.array(F.col("ord") - 1, F.col("ord") + 1)).alias("ord"))
     return near.join(rows.select("doc_id", "section", "ord"), ["doc_id", "section", "ord"]).select("doc_id", "hit_ord", "ord")
 
@@ -43,10 +43,9 @@ def context_budget(spark, d):
 
 @query
 def placeholder_check(spark, d):
-    """Numbers of a text against those of its edited copy, as multisets."""
-    a = _blocks(spark, d).where("ord < 3").select("doc_id", "ord", F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("k"), F.lit(1).alias("n"))
-    b = a.where("ord <> 1 or k <> 'the'").withColumn("n", F.lit(-1))
-    gap = a.unionByName(b).groupBy("doc_id", "ord", "k").agg(F.sum("n").alias("n")).where("n <> 0")
+    """Words of a block against those of a copy that lost its articles, as multisets: what is missing of each."""
+    words = lambda t, n: _blocks(spark, d).select("doc_id", "ord", F.explode(F.regexp_extract_all(t, F.lit("([a-z]+)"), 1)).alias("k"), F.lit(n).alias("n"))
+    gap = words(F.col("text"), 1).unionByName(words(F.regexp_replace("text", "\\bthe\\b", ""), -1)).groupBy("doc_id", "ord", "k").agg(F.sum("n").alias("n")).where("n <> 0")
     return gap.groupBy("doc_id").agg(F.sum("n").alias("missing"), F.count(F.lit(1)).alias("kinds"))
 
 
@@ -61,10 +60,16 @@ def version_diff(spark, d):
 
 @query
 def annotation_relocate(spark, d):
-    """A quote (the start of every fifth block) goes to the one block of its document that contains it, or is stale."""
+    """A quote (a whole block) goes to the one block of its document's next version that contains it, or is stale.
+
+    Quotes and blocks meet on two neighbouring words, so a block is only read against quotes that begin in it.
+    """
     b = _blocks(spark, d)
-    quotes = b.where("ord % 5 = 0 and length(text) > 20").select("doc_id", F.col("ord").alias("at"), F.left("text", F.lit(20)).alias("quote"))
-    hit = quotes.join(S.new_version(b), "doc_id").where(F.contains("text", F.col("quote"))).groupBy("doc_id", "at").agg(F.count(F.lit(1)).alias("n"), F.min("new_ord").alias("new_ord"))
+    two = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1))
+    quotes = b.where("length(text) > 20 and size(split(text, ' ')) >= 3").select("doc_id", F.col("ord").alias("at"), F.col("text").alias("quote"), two(F.split("text", " "), F.lit(1)).alias("key"))
+    words = F.split("text", " ")
+    starts = S.new_version(b).where("size(split(text, ' ')) >= 3").select("doc_id", "new_ord", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: two(words, i)))).alias("key"))
+    hit = quotes.join(starts, ["doc_id", "key"]).where(F.contains("text", F.col("quote"))).groupBy("doc_id", "at").agg(F.count(F.lit(1)).alias("n"), F.min("new_ord").alias("new_ord"))
     return quotes.join(hit, ["doc_id", "at"], "left").select("doc_id", "at", F.when(F.col("n") == 1, F.col("new_ord")).alias("new_ord"))
 
 
@@ -141,11 +146,7 @@ def kg_visible(spark, d):
 @query
 def job_cancel_closure(spark, d):
     """Queued jobs that wait for a failed one, directly or through other queued jobs."""
-    s = J.latest_state(S.jobs(S.table(spark, d, "events"))).select("job", "status", "depends_on")
-    gone = s.where("status = 'failed'").select("job")
-    for _ in range(3):  # a chain of dependencies has at most two links here
-        gone = gone.unionByName(s.where("status = 'queued'").join(gone.select(F.col("job").alias("depends_on")), "depends_on", "left_semi").select("job")).distinct()
-    return s.where("status = 'queued'").join(gone, "job", "left_semi").select("job")
+    return J.cancelled(J.latest_state(S.jobs(S.table(spark, d, "events"))))
 
 
 @query
@@ -158,7 +159,7 @@ def job_queue_positions(spark, d):
 @query
 def model_routing(spark, d):
     """The provider of a task: its own, or that of the task it falls back to."""
-    own = S.calls(S.table(spark, d, "events")).where("input > 50").groupBy("task").agg(F.min("prompt").alias("route"))
+    own = S.calls(S.table(spark, d, "events")).groupBy("task").agg(F.min("prompt").alias("route"))
     tasks = spark.createDataFrame([("click", "view"), ("view", "purchase"), ("signup", "view"), ("error", "click"), ("purchase", None)], "task string, fallback string")
     one = tasks.join(own, "task", "left").join(own.select(F.col("task").alias("fallback"), F.col("route").alias("second")), "fallback", "left")
     return one.select("task", F.coalesce("route", "second").alias("route"))
@@ -174,7 +175,7 @@ def inflight_dedupe(spark, d):
 @query
 def display_strings(spark, d):
     """Short titles and years as a list shows them."""
-    short = T.collapse(F.left("text", F.lit(200)))
+    short = T.collapse(F.col("text"))
     return S.table(spark, d, "documents").select("doc_id", F.when(F.length(short) > 40, F.concat(F.left(short, F.lit(39)), F.lit("…"))).otherwise(short).alias("title"), F.nullif(F.regexp_extract("text", "([0-9]{4})", 1), F.lit("")).alias("year"))
 
 

@@ -99,11 +99,12 @@ SELECT doc_id, ord, CASE WHEN coalesce(heading, -1) < before THEN before END AS
     "reference_mark": f"""WITH {BLOCKS}, h AS (SELECT b.doc_id, b.type, (SELECT contains(lower(arg_max(x.text, x.ord)), 'the') FROM blocks x WHERE x.doc_id = b.doc_id AND x.type = 'heading' AND x.ord <= b.ord) AS flag FROM blocks b)
 SELECT doc_id, CASE WHEN type = 'paragraph' AND coalesce(flag, false) THEN 'reference_entry' ELSE type END AS type, count(*) AS n FROM h GROUP BY ALL""",
     "chunk_pack": f"""WITH RECURSIVE {BLOCKS},
-c AS (SELECT doc_id, ord, ({TOKENS})::INT AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM blocks WHERE type <> 'heading'),
-f AS (SELECT doc_id, ord, tokens, n, 0 AS chunk, tokens AS fill FROM c WHERE n = 1
-  UNION ALL SELECT c.doc_id, c.ord, c.tokens, c.n,
-    CASE WHEN f.fill + c.tokens > 256 OR c.tokens > 480 THEN f.chunk + 1 ELSE f.chunk END,
-    CASE WHEN f.fill + c.tokens > 256 OR c.tokens > 480 THEN c.tokens ELSE f.fill + c.tokens END
+s AS (SELECT *, coalesce(max(CASE WHEN type = 'heading' THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord), -1) AS section FROM blocks),
+c AS (SELECT doc_id, ord, section, ({TOKENS})::INT AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM s WHERE type <> 'heading'),
+f AS (SELECT doc_id, ord, section, tokens, n, 0 AS chunk, tokens AS fill FROM c WHERE n = 1
+  UNION ALL SELECT c.doc_id, c.ord, c.section, c.tokens, c.n,
+    CASE WHEN f.fill + c.tokens > 256 OR c.tokens > 480 OR f.tokens > 480 OR c.section <> f.section THEN f.chunk + 1 ELSE f.chunk END,
+    CASE WHEN f.fill + c.tokens > 256 OR c.tokens > 480 OR f.tokens > 480 OR c.section <> f.section THEN c.tokens ELSE f.fill + c.tokens END
   FROM f JOIN c ON c.doc_id = f.doc_id AND c.n = f.n + 1)
 SELECT doc_id, chunk, min(ord) AS first_ord, max(ord) AS last_ord, sum(tokens)::BIGINT AS tokens FROM f GROUP BY doc_id, chunk""",
     "chunk_text_hash": f"WITH {BLOCKS} SELECT doc_id, block_id, sha256(text) AS text_hash FROM blocks",
@@ -169,8 +170,6 @@ m AS (SELECT doc_id % 5 AS shift, count(*) AS matched, count(*) FILTER (g_type =
 SELECT n.shift, gold, coalesce(matched, 0) AS matched, coalesce(rights, 0) AS "right", round(coalesce(matched, 0) / gold, 4) AS recall, CASE WHEN matched > 0 THEN round(rights / matched, 4) END AS type_accuracy FROM n LEFT JOIN m ON n.shift = m.shift""",
     "kendall_tau_pages": f"""WITH {ANCHORS}, r AS (SELECT doc_id || ':' || page AS key, ord AS x, length(text) AS y FROM anchored),
 t AS (SELECT a.key, sum(sign(b.y - a.y))::BIGINT AS s, count(*) AS pairs FROM r a JOIN r b ON a.key = b.key AND a.x < b.x GROUP BY a.key) SELECT key, s, pairs, round(s / pairs, 6) AS tau FROM t""",
-    "levenshtein_ned": f"""WITH {BLOCKS}, p AS (SELECT a.doc_id, left(regexp_replace(a.text, '[^ -~]', '', 'g'), 100) AS a, left(regexp_replace(b.text, '[^ -~]', '', 'g'), 100) AS b FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.ord = 0 AND b.ord = 1)
-SELECT doc_id, CASE WHEN a = '' AND b = '' THEN 0.0::DOUBLE ELSE round(levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS ned FROM p""",
     "category_rollup": """WITH j AS (SELECT d.*, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id), t AS (SELECT 'all' AS category, quality, n_chars FROM j UNION ALL SELECT lang, quality, n_chars FROM j UNION ALL SELECT source, quality, n_chars FROM j)
 SELECT category, count(*) AS n, round(avg(quality), 6) AS quality, median(n_chars)::DOUBLE AS median_chars FROM t GROUP BY category""",
     "consensus_votes": """WITH v AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_returnflag) AS rn FROM v)
@@ -179,7 +178,8 @@ SELECT l_partkey, l_returnflag AS vote, n >= 2 AS agreed FROM r WHERE rn = 1""",
     "usage_report": f"WITH {CALLS} SELECT task, prompt, count(*) AS n, sum(cache_hit::INT)::BIGINT AS hits, sum(input)::BIGINT AS input, sum(cached)::BIGINT AS cached, round(sum(cache_hit::INT) / count(*), 6) AS hit_share FROM calls GROUP BY GROUPING SETS ((task, prompt), ())",
     "job_latest_state": f"WITH {STATES} SELECT job, kind, status, depends_on, event_id FROM states",
     "job_claimable": f"WITH {STATES} SELECT s.job, s.kind FROM states s LEFT JOIN states d ON d.job = s.depends_on WHERE s.status = 'queued' AND (s.depends_on IS NULL OR d.status = 'done')",
-    "job_admission": f"""WITH {STATES}, q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created, job) AS k FROM states WHERE status = 'queued')
-SELECT job, kind FROM q WHERE k <= CASE kind WHEN 'k1' THEN 2 ELSE 1 END ORDER BY created, job LIMIT 4""",
+    "job_admission": f"""WITH {STATES}, b AS (SELECT kind, count(*) AS busy FROM states WHERE status = 'running' GROUP BY kind), q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created, job) AS k FROM states WHERE status = 'queued')
+SELECT job, kind FROM q LEFT JOIN b USING (kind) WHERE k <= CASE WHEN kind IN ('k0', 'k1', 'k2') THEN 1000 ELSE 1 END - coalesce(busy, 0)
+ORDER BY created, job LIMIT (SELECT greatest(0, 1000 - coalesce(sum(busy), 0))::BIGINT FROM b)""",
     "usage_windows": f"WITH {CALLS} SELECT date_trunc('hour', ts) AS hour, task, count(*) AS n, sum(input)::BIGINT AS input FROM calls GROUP BY ALL",
 }

@@ -131,6 +131,12 @@ def chunk_pack(spark, d):
     return B.chunks(_blocks(spark, d))
 
 
+@query
+def chunk_texts(spark, d):
+    """Chunks as they are embedded, by the hash of their text."""
+    return B.chunk_texts(_blocks(spark, d)).select("doc_id", "chunk", F.size("ords").alias("n_blocks"), F.sha2("text", 256).alias("text_hash"))
+
+
 @query
 def chunk_text_hash(spark, d):
     return _blocks(spark, d).select("doc_id", "block_id", F.sha2("text", 256).alias("text_hash"))
@@ -406,8 +412,7 @@ def kendall_tau_pages(spark, d):
 
 @query
 def levenshtein_ned(spark, d):
-    ascii_ = F.regexp_replace("text", "[^ -~]", "")
-    b = _blocks(spark, d).where("type in ('title', 'abstract')").withColumn("text", ascii_).groupBy("doc_id").agg(F.max(F.when(F.col("type") == "title", F.left("text", F.lit(100)))).alias("a"), F.max(F.when(F.col("type") == "abstract", F.left("text", F.lit(100)))).alias("b")).where("a is not null and b is not null")
+    b = _blocks(spark, d).where("type in ('title', 'abstract')").groupBy("doc_id").agg(F.max(F.when(F.col("type") == "title", F.col("text"))).alias("a"), F.max(F.when(F.col("type") == "abstract", F.col("text"))).alias("b")).where("a is not null and b is not null")
     return b.select("doc_id", F.when((F.length("a") == 0) & (F.length("b") == 0), 0.0).otherwise(F.round(F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 6)).alias("ned"))
 
 
@@ -454,7 +459,7 @@ def job_claimable(spark, d):
 @query
 def job_admission(spark, d):
     states = J.latest_state(S.jobs(S.table(spark, d, "events")))
-    return J.admitted(states.where("status = 'queued'"), states.where("status = 'none'"), {"k1": 2}, K.MAX_RUNNING)
+    return J.admitted(states.where("status = 'queued'"), states.where("status = 'running'"), {"k0": 1000, "k1": 1000, "k2": 1000}, 1000)
 
 
 @query

@@ -7,6 +7,8 @@ import pytest
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
 
+#: Held against brute force on small fixtures instead (test_operators).
+WITHOUT_SQL = {"levenshtein_ned", "chunk_texts"}
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
@@ -16,10 +18,10 @@ def values(names, rows):
 
 
 def test_each_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows(spark, duck, data, name):
     df = QUERIES[name](spark, data)
     found = duck.execute(ORACLES[name])
