@@ -8,34 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import language_id, minhash, mixing, packing, pii
-from doclake.llm.common import saved, table
+from doclake.llm.common import place_of, plain, saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a recognised language."""
-    found = language_id.predict(docs, language_id.fit(docs))
-    return found.where(language_id.accepted()).select(docs.columns)
+    """Drop the documents without a recognised language: those without a letter, a null text among them."""
+    found = language_id.predict(plain(docs), language_id.fit(docs), place_of(docs, "text"))
+    return found.where(language_id.accepted()).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
+    """Of each group of near-duplicates, the document with the smallest id stays, one with a null id only if there is no other; equal rows are copies."""
     return minhash.kept(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write a placeholder in place of each span of personal data."""
+    """Write a placeholder in place of each span of personal data; null texts stay null."""
     return pii.redact(docs, pii.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources take their target shares."""
+    """Repeat or leave out documents so that sources take their target shares; a null source is one of its own, a text without words goes."""
     return mixing.mixed(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2048 tokens."""
+    """Pieces of documents in windows of 2048 tokens; a null text is the end token alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
