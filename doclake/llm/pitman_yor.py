@@ -18,7 +18,7 @@ distinct pairs, summed by context and sent back after every pass.  Within a pass
 Probabilities are taken with the sums of the very arrangement that they are made of, so those of a context add up to 1.
 
 Texts are tokenised once, in blocks; a block sends each shard the distinct pairs that it needs with its training counts,
-packed, and gets their probabilities back.  Contexts are known by 48 bits of their hash.  Everything that depends on the
+packed, and gets their probabilities back.  Contexts are known by 40 bits of their hash.  Everything that depends on the
 size of the vocabulary or of the corpus stays in such shards and blocks.
 
 Defined cases: a null text is empty and has the end token alone; without training rows every token is unknown and has
@@ -27,6 +27,7 @@ probability 1; equal rows are scored alike; a null key counts as the empty text
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -80,16 +81,27 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def _pack48(a: np.ndarray) -> bytes:
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack40(a: np.ndarray) -> bytes:
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+def _unpack40(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
+def _pack_halves(a: np.ndarray) -> bytes:
+    """Numbers below 2**32 that are mostly small: low halves, then high halves."""
+    a = a.astype(np.uint32)
+    return _pack(np.concatenate([a & 0xFFFF, a >> 16]).astype(np.uint16))
+
+
+def _unpack_halves(b: bytes) -> np.ndarray:
+    low, high = _unpack(b, np.uint16).reshape(2, -1).astype(np.int64)
+    return low | high << 16
+
+
 # --- blocks of texts -------------------------------------------------------------------------------------------------
 
 _BLOCK_ROW = "block long, ids array<long>, held array<boolean>, words binary, count binary, token binary"
@@ -101,9 +113,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def one(block: int, ids: list, held: list[bool], texts: list[str]) -> pa.RecordBatch:
         hashes, count = (np.concatenate(x) for x in zip(*(tokens(texts[lo:hi]) for lo, hi in chunks_of(texts)), strict=True))
-        words, token = np.unique(hashes, return_inverse=True)
+        words, token, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # frequent words have small numbers
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words, token = words[order], rank[token]
         row = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_()))]
-        row += [pa.array([x], pa.binary()) for x in (words.tobytes(), _pack(count.astype(np.uint32)), _pack(token.astype(np.uint32)))]
+        row += [pa.array([x], pa.binary()) for x in (words.tobytes(), _pack(count.astype(np.uint32)), _pack_halves(token))]
         return pa.RecordBatch.from_arrays(row, ["block", "ids", "held", "words", "count", "token"])
 
     block, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
@@ -134,7 +150,11 @@ class Block:
 
     @staticmethod
     def of(row: dict, shards: int, hot: np.ndarray) -> Block:
-        words, sizes, token = np.frombuffer(row["words"], np.uint64), _unpack(row["count"], np.uint32).astype(np.int64), _unpack(row["token"], np.uint32).astype(np.int64)
+        words, sizes = np.frombuffer(row["words"], np.uint64), _unpack(row["count"], np.uint32).astype(np.int64)
+        order = np.argsort(words)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words, token = words[order], rank[_unpack_halves(row["token"])]
         before = np.concatenate([[np.searchsorted(words, END)], token[:-1]])  # after an end token: the start of a text
         codes, pair = np.unique(token * len(words) + before, return_inverse=True)
         word, context = codes // len(words), codes % len(words)
@@ -163,7 +183,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with a share of at least 1 / (2 * HOT) of a block's tokens; and the number of those (word 0)."""
     for batch in batches:
         for row in batch.to_pylist():
-            n = np.bincount(_unpack(row["token"], np.uint32))
+            n = np.bincount(_unpack_halves(row["token"]))
             some = np.flatnonzero(n * 2 * HOT >= n.sum())
             words = np.frombuffer(row["words"], np.uint64)[some].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([words, [0]]), pa.int64()), pa.array(np.concatenate([n[some], [n.sum()]]), pa.int64())], ["word", "n"])
@@ -182,7 +202,7 @@ def _asks(shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
                 for s in np.flatnonzero(np.diff(b.cut)):
                     words, per = b.part(s)
                     mine = slice(b.cut[s], b.cut[s + 1])
-                    out.append({"shard": int(s), "block": row["block"], "words": b.words[words].tobytes(), "per": _pack(per.astype(np.uint32)), "contexts": _pack48(b.words[b.context[mine]] >> np.uint64(16)), "train": _pack(b.train[mine])})
+                    out.append({"shard": int(s), "block": row["block"], "words": b.words[words].tobytes(), "per": _pack(per.astype(np.uint32)), "contexts": _pack40(b.words[b.context[mine]] >> np.uint64(24)), "train": _pack(b.train[mine])})
                 yield _batch(out, _ASK)
 
     return run
@@ -317,6 +337,13 @@ class Sums:
         return (np.maximum(0.0, customers - self.discounts[1] * tables) + self.new_at_root()) / (STRENGTH + self.customers)
 
 
+def _within(per: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Numbers that ascend within each word, from their steps."""
+    total = np.cumsum(steps)
+    first = np.cumsum(per) - per
+    return total - np.repeat(total[first] - steps[first], per)
+
+
 @dataclass(frozen=True)
 class Shard:
     """The pairs of a shard that some block asks for."""
@@ -331,11 +358,13 @@ class Shard:
     @staticmethod
     def of(row: dict) -> Shard:
         per = _unpack(row["a"], np.uint32).astype(np.int64)
-        return Shard(row["shard"], np.frombuffer(row["b"], np.uint64), np.repeat(np.arange(len(per)), per), _unpack48(row["c"]), _unpack(row["d"], np.uint32).astype(np.int64), _unpack(row["e"], np.uint32).astype(np.int64))
+        return Shard(row["shard"], np.frombuffer(row["b"], np.uint64), np.repeat(np.arange(len(per)), per), _unpack40(row["c"]), _within(per, _unpack_halves(row["d"])), _unpack(row["e"], np.uint32).astype(np.int64))
 
     def row(self) -> dict:
         per = np.bincount(self.word, minlength=len(self.words)).astype(np.uint32)
-        return _row(SHARD, self.number, a=_pack(per), b=self.words.tobytes(), c=_pack48(self.contexts), d=_pack(self.context.astype(np.uint32)), e=_pack(self.count.astype(np.uint32)))
+        first = np.concatenate([[True], self.word[1:] != self.word[:-1]])
+        steps = np.where(first, self.context, np.diff(self.context, prepend=0))
+        return _row(SHARD, self.number, a=_pack(per), b=self.words.tobytes(), c=_pack40(self.contexts), d=_pack_halves(steps), e=_pack(self.count.astype(np.uint32)))
 
 
 #: Kinds of rows: a shard's pairs, what a block asks, an arrangement, tables by context (of a shard; summed), numbers to add up.
@@ -358,14 +387,14 @@ def _gather(group: pa.Table) -> pa.Table:
     """A shard's pairs from what blocks ask, and each block's pairs as places among them."""
     rows = group.to_pylist()
     words, word_at = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), return_inverse=True)
-    contexts, context = np.unique(np.concatenate([_unpack48(r["contexts"]) for r in rows]), return_inverse=True)
+    contexts, context = np.unique(np.concatenate([_unpack40(r["contexts"]) for r in rows]), return_inverse=True)
     per = np.concatenate([_unpack(r["per"], np.uint32) for r in rows]).astype(np.int64)
     codes, at = np.unique(np.repeat(word_at, per) * len(contexts) + context, return_inverse=True)
     count = np.bincount(at, np.concatenate([_unpack(r["train"], np.uint32) for r in rows]), len(codes)).astype(np.int64)
     shard = Shard(rows[0]["shard"], words, codes // len(contexts), contexts, codes % len(contexts), count)
-    ends = np.concatenate([[0], np.cumsum([len(r["contexts"]) // 6 for r in rows])])
-    steps = [np.diff(at[a:b], prepend=0).astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return _messages([shard.row(), *(_row(ASKED, shard.number, r["block"], a=_pack(s)) for r, s in zip(rows, steps, strict=True))])
+    ends = np.concatenate([[0], np.cumsum([len(r["contexts"]) // 5 for r in rows])])
+    steps = [np.diff(at[a:b], prepend=0) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return _messages([shard.row(), *(_row(ASKED, shard.number, r["block"], a=_pack_halves(s)) for r, s in zip(rows, steps, strict=True))])
 
 
 class Restaurants:
@@ -421,11 +450,11 @@ class Restaurants:
     def messages(self, shards: int) -> list[dict]:
         """The arrangement, and its sums for others."""
         customers, tables = self.by_context()
-        ranges = np.searchsorted(_shard_of(self.shard.contexts << np.uint64(16), shards), np.arange(shards + 1))
+        ranges = np.searchsorted(_shard_of(self.shard.contexts << np.uint64(24), shards), np.arange(shards + 1))
         out = [self.row()]
         for s in np.flatnonzero(np.diff(ranges)):
             mine = slice(ranges[s], ranges[s + 1])
-            out.append(_row(TABLES, int(s), self.shard.number, a=_pack48(self.shard.contexts[mine]), b=_pack(customers[mine].astype(np.uint32)), c=_pack(tables[mine].astype(np.uint32))))
+            out.append(_row(TABLES, int(s), self.shard.number, a=_pack40(self.shard.contexts[mine]), b=_pack(customers[mine].astype(np.uint32)), c=_pack(tables[mine].astype(np.uint32))))
         out.append(_row(NUMBERS, 0, ROOT, self.root.customers.sum(), self.root.tables.sum()))
         hot = self._root_customers()
         counts = np.bincount(self.shard.word, self.shard.count, len(self.shard.words))
@@ -441,9 +470,9 @@ class Restaurants:
 def _context_sums(group: pa.Table) -> pa.Table:
     """Customers and tables of each context of a range over all shards, for each shard in the order it sent them."""
     rows = group.sort_by("other").to_pylist()
-    contexts, at = np.unique(np.concatenate([_unpack48(r["a"]) for r in rows]), return_inverse=True)
+    contexts, at = np.unique(np.concatenate([_unpack40(r["a"]) for r in rows]), return_inverse=True)
     customers, tables = (np.bincount(at, np.concatenate([_unpack(r[c], np.uint32) for r in rows]), len(contexts)).astype(np.uint64) for c in "bc")
-    ends = np.concatenate([[0], np.cumsum([len(r["a"]) // 6 for r in rows])])
+    ends = np.concatenate([[0], np.cumsum([len(r["a"]) // 5 for r in rows])])
     return _messages([_row(SUMMED, r["other"], r["shard"], b=_pack(customers[at[a:b]]), c=_pack(tables[at[a:b]])) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)])
 
 
@@ -453,13 +482,15 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([_unpack(r[c], np.uint64) for r in rows]).astype(float) for c in "bc")
 
 
-def _start(shards: int, hot: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+def _start(shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One table for each dish."""
     none = np.zeros(len(hot))
 
-    def run(group: pa.Table) -> pa.Table:
-        at = Restaurants(Shard.of(group.to_pylist()[0]), Sums((0.5, 0.5), 0, 0, 0.0, 0.0, hot, none, none, none), np.random.default_rng(0))
-        return _messages(at.messages(shards) + at.first_numbers())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                at = Restaurants(Shard.of(batch.slice(i, 1).to_pylist()[0]), Sums((0.5, 0.5), 0, 0, 0.0, 0.0, hot, none, none, none), np.random.default_rng(0))
+                yield from _messages(at.messages(shards) + at.first_numbers()).to_batches()
 
     return run
 
@@ -501,7 +532,7 @@ def _answers(samples: list[Sums]) -> Callable[[pa.Table], pa.Table]:
         out = []
         for r in rows:
             if r["kind"] == ASKED:
-                place = np.cumsum(_unpack(r["a"], np.int32))
+                place = np.cumsum(_unpack_halves(r["a"]))
                 out.append({"block": r["other"], "shard": shard.number, "log": log[place].astype(np.float32).tobytes(), "count": _pack(count[np.unique(shard.word[place])].astype(np.uint64))})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("log", pa.binary()), ("count", pa.binary())]))
 
@@ -573,10 +604,17 @@ class Model:
             rows = rows.unionByName(a.unionByName(b).withColumn("sample", F.lit(n)))
         return rows.groupBy("shard").applyInArrow(_answers(self.sums), "block long, shard long, log binary, count binary")
 
+    def drop(self) -> None:
+        """Delete the tables of the model."""
+        for made in (self.pairs, *self.seated, *self.summed):
+            drop_saved(made)
+
 
 def _forget(spark) -> None:
-    """Let the driver's collector find shuffles that nothing refers to, whose files are then deleted."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver's collector find shuffles that nothing refers to, whose files are then deleted; it takes two rounds."""
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def learn(blocks: DataFrame, shards: int, seed: int = 1) -> Model:
@@ -590,25 +628,29 @@ def learn(blocks: DataFrame, shards: int, seed: int = 1) -> Model:
     _forget(spark)
     own = pairs.where(F.col("kind") == SHARD)
 
-    def arranged(rows: DataFrame, f: Callable[[pa.Table], pa.Table], n: int, before: Sums | None) -> tuple[DataFrame, DataFrame, DataFrame, Sums]:
-        messages = saved(rows.groupBy("shard").applyInArrow(f, _MESSAGE_ROW), "arrangement")
+    def arranged(made: DataFrame, n: int, before: Sums | None) -> tuple[DataFrame, DataFrame, Sums]:
+        """An arrangement, its tables by context and its sums."""
+        messages = saved(made, "messages")
         summed = saved(messages.where(F.col("kind") == TABLES).groupBy("shard").applyInArrow(_context_sums, _MESSAGE_ROW), "contexts")
+        seated = saved(messages.where(F.col("kind") == SEATED), "seated")
         sums = _numbers(messages, hot, seed + n, before)
+        drop_saved(messages)
         _forget(spark)
-        return messages, messages.where(F.col("kind") == SEATED), summed, sums
+        return seated, summed, sums
 
-    now = arranged(own, _start(shards, hot), 0, None)
+    now = arranged(own.mapInArrow(_start(shards, hot), _MESSAGE_ROW), 0, None)
     samples = []
-    for n in range(1, BURN_IN + SAMPLES + 1 if now[3].tokens else 1):
-        after = arranged(own.unionByName(now[1]).unionByName(now[2]), _pass(shards, now[3], seed + n), n, now[3])
+    for n in range(1, BURN_IN + SAMPLES + 1 if now[2].tokens else 1):
+        rows = own.unionByName(now[0]).unionByName(now[1])
+        after = arranged(rows.groupBy("shard").applyInArrow(_pass(shards, now[2], seed + n), _MESSAGE_ROW), n, now[2])
         if n > BURN_IN:
             samples.append(after)
         if n - 1 <= BURN_IN:
             drop_saved(now[0])
-            drop_saved(now[2])
+            drop_saved(now[1])
         now = after
     samples = samples or [now]
-    return Model(shards, hot, pairs, [s[1] for s in samples], [s[2] for s in samples], [s[3] for s in samples])
+    return Model(shards, hot, pairs, *map(list, zip(*samples, strict=True)))
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", seed: int = 1) -> DataFrame:
@@ -617,4 +659,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("t"))
     blocks = saved(rows.mapInArrow(_blocks, _BLOCK_ROW), "blocks")
     model = learn(blocks, shards, seed)
-    return blocks.groupBy("block").cogroup(model.answers().groupBy("block")).applyInArrow(_score(shards, model.hot, model.sums[0].tokens, model.sums[0].vocabulary), _ROW)
+    answers = saved(model.answers(), "answers")
+    model.drop()
+    _forget(docs.sparkSession)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, model.hot, model.sums[0].tokens, model.sums[0].vocabulary), _ROW)
