@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from doclake.llm.common import chunks_of, drop_saved, mix, run_hashes, runs, saved, strings
 
 #: Characters of a block, and of the corpus for each shard.
-BLOCK_CHARS, SHARD_CHARS = 4_000_000, 16_000_000
+BLOCK_CHARS, SHARD_CHARS = 4_000_000, 12_000_000
 STRENGTH = 1.0
 HOT = 4096
 #: Most customers of a dish whose tables are drawn at once; groups in which the customers of larger ones move.
