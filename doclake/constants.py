@@ -14,3 +14,11 @@ PAGE_WIDTH, PAGE_HEIGHT, LINES_PER_PAGE = 612, 792, 10
 MOST_LEVELS = 4
 KIND_LIMITS = {"purchase": 2}
 MAX_RUNNING = 4
+PREAMBLE, CONTINUED = "标题与摘要", "（续）"
+ABSTRACT_SHARE = 0.25
+EXTRACT_CHARS, LEAST_BODY = 12000, 40
+MOST_NAME, MOST_DESCRIPTION, MOST_EVIDENCE, MOST_ALIASES, MOST_VALUE = 200, 300, 200, 10, 40
+CONFIDENCE, UNSUPPORTED = 0.8, 0.7
+ENTITY_TYPES = ("Task", "Method", "Dataset", "Metric", "Model", "Concept")
+RELATION_TYPES = ("proposes", "uses", "improves_on", "evaluated_on", "achieves", "compares_with", "part_of")
+SAME_COLUMN = 150
