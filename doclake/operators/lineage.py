@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake import constants as K
@@ -34,3 +34,82 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     """Best pairs first, both sides once.  A group is one page of one document."""
     kind = dict(pairs.dtypes)
     return pairs.groupBy("doc_id", "page").applyInPandas(_greedy, f"doc_id {kind['doc_id']}, old {kind['old']}, new {kind['new']}")
+
+
+# --- what refers to blocks moves along; ``mapping``: doc_id, old, new ---
+
+
+def _lookup(rows: DataFrame, key: list[str], ids: Column, mapping: DataFrame) -> DataFrame:
+    """``rows`` with a map from each of their ids that moves to its new one."""
+    wanted = rows.select("doc_id", *key, F.explode(F.array_distinct(ids)).alias("old"))
+    moves = wanted.join(mapping, ["doc_id", "old"]).groupBy("doc_id", *key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("moves"))
+    empty = F.create_map().cast("map<string, string>")
+    return rows.join(moves, ["doc_id", *key], "left").withColumn("moves", F.coalesce("moves", empty))
+
+
+def _moved(ids: Column) -> Column:
+    return F.filter(F.transform(ids, lambda i: F.element_at("moves", i)), lambda i: i.isNotNull())
+
+
+def moved_points(points: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Points (doc_id, summary, point, block_ids) with moved ids; ``untraced`` without any, ``lost`` if some are gone."""
+    rows = _lookup(points, ["summary", "point"], F.col("block_ids"), mapping).withColumn("moved", _moved(F.col("block_ids")))
+    return rows.select("doc_id", "summary", "point", F.col("moved").alias("block_ids"), (F.size("moved") == 0).alias("untraced"), (F.size("moved") < F.size("block_ids")).alias("lost"))
+
+
+def summary_status(points: DataFrame) -> DataFrame:
+    """Of moved points: a summary that lost an id is stale; its coverage is counted anew."""
+    cited = F.count_if(~F.col("untraced"))
+    return points.groupBy("doc_id", "summary").agg(F.count(F.lit(1)).alias("points"), cited.alias("cited_points"), F.round(cited / F.count(F.lit(1)), 4).alias("coverage"), F.when(F.max("lost"), "stale").otherwise("ok").alias("status"))
+
+
+MARK = "\\[(b_[0-9]+)\\]"
+
+
+def moved_answers(answers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Answers (doc_id, answer, text, citations) with marks and citations rewritten; marks that don't move vanish."""
+    marks = F.regexp_extract_all("text", F.lit(MARK), 1)
+    rows = _lookup(answers, ["answer"], F.concat(marks, F.col("citations")), mapping)
+    between = F.split("text", MARK, -1)
+    shown = F.transform(marks, lambda i: F.coalesce(F.concat(F.lit("["), F.element_at("moves", i), F.lit("]")), F.lit("")))
+    text = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    lost = (F.size(_moved(marks)) < F.size(marks)) | (F.size(_moved(F.col("citations"))) < F.size("citations"))
+    return rows.select("doc_id", "answer", text.alias("text"), _moved(F.col("citations")).alias("citations"), F.when(lost, "stale").otherwise("ok").alias("status"))
+
+
+def moved_mentions(mentions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mentions (doc_id, block_id, ...) in blocks that move; the others are dropped."""
+    return mentions.withColumnRenamed("block_id", "old").join(mapping, ["doc_id", "old"]).drop("old").withColumnRenamed("new", "block_id")
+
+
+def moved_relations(relations: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Relations (doc_id, block_id, ...) with moved sources; without one they stay, stale."""
+    rows = relations.withColumnRenamed("block_id", "old").join(mapping, ["doc_id", "old"], "left")
+    return rows.withColumns({"status": F.when(F.col("new").isNull(), "stale").otherwise("ok"), "block_id": F.coalesce("new", "old")}).drop("old", "new")
+
+
+def moved_annotations(annotations: DataFrame, mapping: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Annotations (doc_id, note, block_id, start, stop, quote) in a new version (doc_id, block_id, text).
+
+    A whole block (``start`` null) takes the new text as its quote.  A quote stays at its offsets if it is there, else goes to
+    its nearest occurrence in the mapped block (the earlier of two), else to the only block of the document that has it.
+    """
+    to = mapping.select("doc_id", F.col("old").alias("block_id"), F.col("new").alias("target"))
+    texts = blocks.select("doc_id", F.col("block_id").alias("target"), F.col("text").alias("body"))
+    rows = annotations.join(to, ["doc_id", "block_id"], "left").join(texts, ["doc_id", "target"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+    whole, n = F.col("start").isNull(), F.length("quote")
+    places = F.filter(F.sequence(F.lit(0), F.length("body")), lambda i: F.substring(F.col("body"), i + 1, n) == F.col("quote"))
+    near = F.array_min(F.transform(places, lambda i: F.struct(F.abs(i - F.col("start")).alias("far"), i.alias("at"))))["at"]
+    same = F.substring(F.col("body"), F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("quote")
+    quoted = F.col("target").isNotNull() & (F.col("quote") != "")
+    at = F.when(quoted & same, F.col("start")).when(quoted & F.contains("body", "quote"), near)
+    placed = rows.withColumn("at", at)
+    lost = placed.where(~whole & F.col("at").isNull() & (F.col("quote") != "")).select("doc_id", "note", "quote")
+    hits = lost.join(blocks.select("doc_id", F.col("block_id").alias("only"), "text"), "doc_id").where(F.contains("text", "quote"))
+    unique = hits.groupBy("doc_id", "note").agg(F.count(F.lit(1)).alias("n"), F.first("only").alias("only"), (F.min(F.expr("locate(quote, text)")) - 1).alias("there")).where("n = 1").drop("n")
+    out = placed.join(unique, ["doc_id", "note"], "left").withColumn("at", F.coalesce("at", "there"))
+    ok = (whole & F.col("target").isNotNull()) | F.col("at").isNotNull()
+    return out.select(
+        "doc_id", "note", F.coalesce("only", "target", "block_id").alias("block_id"), F.when(ok, F.col("at")).otherwise(F.col("start")).alias("start"), F.when(ok, F.col("at") + n).otherwise(F.col("stop")).alias("stop"),
+        F.when(whole & F.col("target").isNotNull(), F.col("body")).otherwise(F.col("quote")).alias("quote"), F.when(ok, "ok").otherwise("stale").alias("status"),
+    )

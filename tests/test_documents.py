@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from doclake.functions import udfs
-from doclake.operators import context, extraction
+from doclake.operators import consensus, context, extraction, lineage
 from doclake.operators.blocks import tokens_of
 
 PLACED = "doc_id long, ord int, block_id string, type string, text string, root int, title string"
@@ -103,3 +103,55 @@ def test_few_concepts_stay(spark):
     edges = spark.createDataFrame([(1, 0, 7)], "doc_id long, src int, dst int")
     kept, _ = extraction.pruned(nodes, edges, most=4, concepts=1)
     assert {r["entity"]: r["score"] for r in kept.select("entity", F.col("score").cast("int").alias("score")).collect()} == {0: 4, 7: 3, 2: 2, 4: 2}
+
+
+# --- a new version of a document ---
+
+
+def mapping(spark):
+    return spark.createDataFrame([(1, "b_0000", "b_0001"), (1, "b_0002", "b_0003")], "doc_id long, old string, new string")
+
+
+def test_points_and_answers_move(spark):
+    points = spark.createDataFrame([(1, 7, 0, ["b_0000", "b_0001"]), (1, 7, 1, ["b_0009"]), (1, 8, 0, ["b_0002", "b_0000"]), (2, 9, 0, [])], "doc_id long, summary int, point int, block_ids array<string>")
+    moved = lineage.moved_points(points, mapping(spark))
+    got = {(r["summary"], r["point"]): (r["block_ids"], r["untraced"]) for r in moved.collect()}
+    assert got == {(7, 0): (["b_0001"], False), (7, 1): ([], True), (8, 0): (["b_0003", "b_0001"], False), (9, 0): ([], True)}
+    assert {r["summary"]: (r["cited_points"], r["coverage"], r["status"]) for r in lineage.summary_status(moved).collect()} == {7: (1, 0.5, "stale"), 8: (1, 1.0, "ok"), 9: (0, 0.0, "ok")}
+    answers = spark.createDataFrame([(1, 0, "[b_0000] so [b_0002].", ["b_0000"]), (1, 1, "x [b_0009] y", []), (1, 2, "no mark", ["b_0009"])], "doc_id long, answer int, text string, citations array<string>")
+    assert {r["answer"]: (r["text"], r["citations"], r["status"]) for r in lineage.moved_answers(answers, mapping(spark)).collect()} == {0: ("[b_0001] so [b_0003].", ["b_0001"], "ok"), 1: ("x  y", [], "stale"), 2: ("no mark", [], "stale")}
+
+
+def test_graph_moves(spark):
+    rows = spark.createDataFrame([(1, "b_0000", "a"), (1, "b_0001", "b")], "doc_id long, block_id string, name string")
+    assert [(r["block_id"], r["name"]) for r in lineage.moved_mentions(rows, mapping(spark)).collect()] == [("b_0001", "a")]
+    assert {(r["block_id"], r["name"], r["status"]) for r in lineage.moved_relations(rows, mapping(spark)).collect()} == {("b_0001", "a", "ok"), ("b_0001", "b", "stale")}
+
+
+def test_annotations_move(spark):
+    blocks = spark.createDataFrame([(1, "b_0001", "the cat and the dog and the cow"), (1, "b_0003", "only here: fox"), (1, "b_0004", "fish fish"), (1, "b_0005", "fish")], "doc_id long, block_id string, text string")
+    notes = [
+        (1, 0, "b_0000", 4, 7, "cat"), (1, 1, "b_0000", 18, 21, "the"), (1, 2, "b_0000", 0, 3, "fox"), (1, 3, "b_0000", 0, 4, "fish"), (1, 4, "b_0002", None, None, "old text"),
+        (1, 5, "b_0008", None, None, "gone"), (1, 6, "b_0008", 3, 6, "cow"),
+    ]
+    got = {r["note"]: (r["block_id"], r["start"], r["stop"], r["quote"], r["status"]) for r in lineage.moved_annotations(spark.createDataFrame(notes, "doc_id long, note int, block_id string, start int, stop int, quote string"), mapping(spark), blocks).collect()}
+    assert got == {
+        0: ("b_0001", 4, 7, "cat", "ok"), 1: ("b_0001", 12, 15, "the", "ok"), 2: ("b_0003", 11, 14, "fox", "ok"), 3: ("b_0001", 0, 4, "fish", "stale"),
+        4: ("b_0003", None, None, "only here: fox", "ok"), 5: ("b_0008", None, None, "gone", "stale"), 6: ("b_0001", 28, 31, "cow", "ok"),
+    }
+
+
+# --- several parsers ---
+
+
+def test_consensus(spark):
+    box = lambda y: (0.0, float(y), 100.0, y + 10.0)
+    rows = [(1, 0, "a", 0, "heading", *box(0), "Title"), (1, 0, "a", 1, "paragraph", *box(20), "one"), (1, 0, "a", 2, "paragraph", *box(40), "two"), (1, 0, "b", 0, "heading", *box(1), "Title"), (1, 0, "b", 1, "list_item", *box(41), "twoo"), (1, 0, "c", 0, "paragraph", *box(2), "Titl"), (1, 0, "c", 1, "paragraph", *box(60), "three")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, engine string, ord int, type string, x0 double, y0 double, x1 double, y1 double, text string")
+    got = consensus.consensus_pages(df, ["a", "b", "c"]).orderBy("ord").collect()
+    assert [(r["type"], r["support"], r["agreed"], r["text"], r["y0"]) for r in got] == [("heading", 3, True, "Title", 1.0), ("paragraph", 1, False, "one", 20.0), ("paragraph", 2, False, "twoo", 40.5), ("paragraph", 1, False, "three", 60.0)]
+    assert {r["leader"] for r in got} == {"a"} and consensus.medoid(["abc", "abd", "xbd"]) == "abd" and consensus.medoid([None, ""]) == ""
+    golden = spark.createDataFrame([(1, 0, 0.0, "heading", "t"), (1, 0, 1.0, "paragraph", "p"), (1, 0, 2.0, "other", "x")], "doc_id long, page int, ord double, type string, text string")
+    drops, types = golden.where("ord = 2").select("doc_id", "page", "ord"), golden.where("ord = 1").select("doc_id", "page", "ord", F.lit("abstract").alias("new_type"))
+    added = spark.createDataFrame([(1, 0, 0.5, "author", "n")], golden.schema)
+    assert [(r["ord"], r["type"]) for r in consensus.corrected(golden, drops, types, added).orderBy("ord").collect()] == [(0, "heading"), (1, "author"), (2, "abstract")]
