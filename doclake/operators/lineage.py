@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,22 @@ def moved_relations(relations: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(F.col("new").isNull(), "stale").otherwise("ok"), "block_id": F.coalesce("new", "old")}).drop("old", "new")
 
 
+def _holders(lost: pa.Table, blocks: pa.Table) -> pa.Table:
+    """The quotes that only one block of a document has, with the first place there: one pass over its texts."""
+    quotes = ahocorasick.Automaton()
+    for q in set(lost.column("quote").to_pylist()):
+        quotes.add_word(q, q)
+    found: dict[str, dict[str, int]] = {}
+    if len(quotes):
+        quotes.make_automaton()
+        for block, text in zip(blocks.column("block_id").to_pylist(), blocks.column("text").to_pylist(), strict=True):
+            for end, q in quotes.iter(text or ""):
+                found.setdefault(q, {}).setdefault(block, end + 1 - len(q))
+    once = [(q, *next(iter(at.items()))) for q, at in found.items() if len(at) == 1]
+    doc = lost.column("doc_id")[:1].to_pylist() * len(once)
+    return pa.table({"doc_id": pa.array(doc, lost.schema.field("doc_id").type), **{c: pa.array([o[i] for o in once], k) for i, (c, k) in enumerate((("quote", pa.string()), ("only", pa.string()), ("there", pa.int32())))}})
+
+
 def moved_annotations(annotations: DataFrame, mapping: DataFrame, blocks: DataFrame) -> DataFrame:
     """Annotations (doc_id, note, block_id, start, stop, quote) in a new version (doc_id, block_id, text).
 
@@ -98,15 +116,18 @@ def moved_annotations(annotations: DataFrame, mapping: DataFrame, blocks: DataFr
     texts = blocks.select("doc_id", F.col("block_id").alias("target"), F.col("text").alias("body"))
     rows = annotations.join(to, ["doc_id", "block_id"], "left").join(texts, ["doc_id", "target"], "left").withColumn("body", F.coalesce("body", F.lit("")))
     whole, n = F.col("start").isNull(), F.length("quote")
-    places = F.filter(F.sequence(F.lit(0), F.length("body")), lambda i: F.substring(F.col("body"), i + 1, n) == F.col("quote"))
-    near = F.array_min(F.transform(places, lambda i: F.struct(F.abs(i - F.col("start")).alias("far"), i.alias("at"))))["at"]
+    after = F.expr("locate(quote, body, start + 1)") - 1
+    back = F.expr("locate(reverse(quote), reverse(body), greatest(length(body) - start - length(quote), 0) + 1)")
+    before = F.when(back > 0, F.length("body") - n - back + 1)
+    near = F.when((after < 0) | (F.col("start") - before <= after - F.col("start")), before).otherwise(after)
     same = F.substring(F.col("body"), F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("quote")
     quoted = F.col("target").isNotNull() & (F.col("quote") != "")
     at = F.when(quoted & same, F.col("start")).when(quoted & F.contains("body", "quote"), near)
     placed = rows.withColumn("at", at)
     lost = placed.where(~whole & F.col("at").isNull() & (F.col("quote") != "")).select("doc_id", "note", "quote")
-    hits = lost.join(blocks.select("doc_id", F.col("block_id").alias("only"), "text"), "doc_id").where(F.contains("text", "quote"))
-    unique = hits.groupBy("doc_id", "note").agg(F.count(F.lit(1)).alias("n"), F.first("only").alias("only"), (F.min(F.expr("locate(quote, text)")) - 1).alias("there")).where("n = 1").drop("n")
+    kinds = dict(annotations.dtypes)
+    where = lost.groupBy("doc_id").cogroup(blocks.select("doc_id", "block_id", "text").groupBy("doc_id")).applyInArrow(_holders, f"doc_id {kinds['doc_id']}, quote string, only string, there int")
+    unique = lost.join(where, ["doc_id", "quote"]).select("doc_id", "note", "only", "there")
     out = placed.join(unique, ["doc_id", "note"], "left").withColumn("at", F.coalesce("at", "there"))
     ok = (whole & F.col("target").isNotNull()) | F.col("at").isNotNull()
     return out.select(

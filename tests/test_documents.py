@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -155,3 +156,18 @@ def test_consensus(spark):
     drops, types = golden.where("ord = 2").select("doc_id", "page", "ord"), golden.where("ord = 1").select("doc_id", "page", "ord", F.lit("abstract").alias("new_type"))
     added = spark.createDataFrame([(1, 0, 0.5, "author", "n")], golden.schema)
     assert [(r["ord"], r["type"]) for r in consensus.corrected(golden, drops, types, added).orderBy("ord").collect()] == [(0, "heading"), (1, "author"), (2, "abstract")]
+
+
+def test_edit_distance():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abcé") for _ in range(draw.randint(0, 90))) for _ in range(2))
+        assert abs(consensus._distance(a, b) * max(len(a), len(b), 1) - plain(a, b)) < 1e-9
