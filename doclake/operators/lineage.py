@@ -121,7 +121,7 @@ def moved_annotations(annotations: DataFrame, mapping: DataFrame, blocks: DataFr
     before = F.when(back > 0, F.length("body") - n - back + 1)
     near = F.when((after < 0) | (F.col("start") - before <= after - F.col("start")), before).otherwise(after)
     same = F.substring(F.col("body"), F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("quote")
-    quoted = F.col("target").isNotNull() & (F.col("quote") != "")
+    quoted = ~whole & F.col("target").isNotNull() & (F.col("quote") != "")
     at = F.when(quoted & same, F.col("start")).when(quoted & F.contains("body", "quote"), near)
     placed = rows.withColumn("at", at)
     lost = placed.where(~whole & F.col("at").isNull() & (F.col("quote") != "")).select("doc_id", "note", "quote")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
+import doclake.plans  # noqa: F401  registers the queries
 from doclake.functions import udfs
 from doclake.operators import consensus, context, extraction, lineage
 from doclake.operators.blocks import tokens_of
+from doclake.plans.queries import QUERIES
 
 PLACED = "doc_id long, ord int, block_id string, type string, text string, root int, title string"
 SHOWN = "doc_id long, ord int, block_id string, type string, text string, section int, title string"
@@ -171,3 +175,82 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(draw.choice("abcé") for _ in range(draw.randint(0, 90))) for _ in range(2))
         assert abs(consensus._distance(a, b) * max(len(a), len(b), 1) - plain(a, b)) < 1e-9
+
+
+# --- queries without SQL, on the smallest tables ---
+
+
+def lines(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null").collect()
+    return {r["doc_id"]: r["text"].split("\n") for r in docs}
+
+
+def kind_of(i, text):
+    return "title" if i == 0 else "abstract" if i == 1 else "heading" if len(text) < 80 else "paragraph"
+
+
+def test_annotation_query(spark, data):
+    want = {}
+    for doc, old in lines(spark, data).items():
+        new = [t + (" (edited)" if i % 11 == 5 else "") for i, t in enumerate(old) if i % 7 != 3]
+        free = {}
+        for j, t in enumerate(new):
+            free.setdefault(t, []).append(j)
+        for i, t in enumerate(old):
+            to = free[t].pop(0) if free.get(t) else None
+            if i == 0:
+                want[doc, i] = (0 if to is None else to, None, t if to is None else new[to], "stale" if to is None else "ok")
+                continue
+            quote, at = t[5:20], (5 if to is not None and t[5:20] else None)
+            if at is None and quote:
+                holders = [j for j, n in enumerate(new) if quote in n]
+                if len(holders) == 1:
+                    to, at = holders[0], new[holders[0]].find(quote)
+            want[doc, i] = (i if to is None else to, 5 if at is None else at, quote, "stale" if at is None else "ok")
+    rows = QUERIES["annotation_migrate"](spark, data).where("note < 10000").collect()
+    got = {(r["doc_id"], r["note"]): (int(r["block_id"][2:]), r["start"], r["quote"], r["status"]) for r in rows}
+    assert got == want and any(v[3] == "stale" for v in want.values())
+
+
+def test_graph_query(spark, data):
+    """Entities and relations of the stand-in's replies, counted in plain Python."""
+    types, want = ["Task", "Method", "Dataset", "Metric", "Model", "Concept"], {}
+    for doc, old in lines(spark, data).items():
+        groups, section = {}, -1
+        for i, t in enumerate(old):
+            section = i if kind_of(i, t) == "heading" else section
+            if kind_of(i, t) != "heading":
+                groups.setdefault(section, []).append((i, t))
+        entities, edges = {}, {}
+        for section in sorted(groups):
+            words = list(dict.fromkeys(re.findall("[A-Za-z]{7,}", groups[section][0][1])))[:5]
+            local = []
+            for w in words:
+                key = (types[len(w) % 6], udfs.normal_name(w))
+                spots = {i for i, t in groups[section] if udfs.surface_of([w], t)} | {groups[section][0][0]}
+                entities.setdefault(key, set()).update(spots)
+                local.append(key)
+            for n, key in enumerate(local):
+                if key != local[0]:
+                    pair = (local[0], key, groups[section][0][0])
+                    edges[pair] = max(edges.get(pair, 0), round(1 - n / 10, 3))
+        if entities:
+            want[doc] = (len(entities), sum(map(len, entities.values())), len(edges))
+    got = {r["doc_id"]: (r["entities"], r["mentions"], r["relations"]) for r in QUERIES["kg_extract"](spark, data).collect()}
+    assert got == want
+
+
+def test_totals_of_queries(spark, data):
+    shown = {d: sum(bool(t) and kind_of(i, t) != "heading" for i, t in enumerate(old)) for d, old in lines(spark, data).items()}
+    groups = QUERIES["section_groups_budget"](spark, data).groupBy("doc_id").agg(F.sum("blocks").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in groups} == {d: n for d, n in shown.items() if n}
+    contexts = QUERIES["context_assembled"](spark, data).collect()
+    assert {r["doc_id"] for r in contexts} == {d for d, n in shown.items() if n} and all(r["tokens"] <= 1000 and r["blocks"] <= shown[r["doc_id"]] for r in contexts)
+    read = sum((i % 6 != 5) + 1 + (i % 5 != 3) for old in lines(spark, data).values() for i in range(len(old)))
+    assert QUERIES["consensus_pages"](spark, data).agg(F.sum("support")).first()[0] == read
+    pages = spark.read.parquet(f"{data}/pages.parquet").where("html is not null").collect()
+    tags = {r["page_id"]: r["digest"] for r in QUERIES["table_tags"](spark, data).collect()}
+    for r in pages:
+        bare = re.sub(r"<\s*/?\s*(?!(?:table|thead|tbody|tr|td|th|math|sup|sub|b|i)(?![A-Za-z0-9]))[A-Za-z0-9]+[^>]*>", "", r["html"], flags=re.I)
+        if "<" not in re.sub(r"</?(tr|td|th|b|i|table)>", "", bare):
+            assert tags[r["page_id"]] == (hashlib.md5(bare.strip().encode()).hexdigest() if bare.strip() else None)
