@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, topk, toxicity
+from doclake.llm import audit, bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, prefix_bpe, topk, toxicity
 from doclake.llm.common import key_mod, table
 
 
@@ -58,3 +58,12 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"), key_mod("doc_id", 7) == 2)
+
+
+def op12_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")

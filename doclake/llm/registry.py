@@ -30,4 +30,17 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS both_ FROM m
 links AS (SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE both_ / (x.n + y.n - both_) >= 0.8),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT a AS doc_id, min(b) AS component_id, a = min(b) AS kept FROM reach GROUP BY a""",
+    "op12_filter_cube": r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) = 1 AS good, coalesce(bad, 0) = 1 AS bad,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || e.x || f.x AS filter_order FROM x a, x b, x c, x e, x f WHERE len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5),
+g AS (SELECT d.*, filter_order, coalesce(list_min(list_filter(range(1, 6), lambda p: contains(fails, substr(filter_order, p, 1)))), 6) AS gone FROM d, o),
+s AS (SELECT part, filter_order, step::INT AS step, substr(filter_order, step, 1) AS f, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+  count(*) FILTER (gone < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, count(*) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+  count(*) FILTER (gone = step AND good) AS good_lost, count(*) FILTER (gone = step AND bad) AS toxic_lost FROM g, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM s""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import sys
@@ -18,6 +19,23 @@ KEPT_BYTES = 320 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _PIECES = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|()\"-]+\n?|\n")
 _OPEN: dict[str, TextTokenizer] = {}
+#: The rules, as files write them, of which it is known that no token spans the place before a space that
+#: follows something else than white space, and that letters, digits and punctuation are apart.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KNOWN_RULES = [
+    {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    },
+]
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether the file's rules are known to cut texts before spaces."""
+    with open(path, encoding="utf-8") as source:
+        rules = json.load(source)
+    return {k: rules[k] for k in ("normalizer", "pre_tokenizer")} in _KNOWN_RULES and not any(" " in t["content"] for t in rules["added_tokens"])
 
 
 class TextTokenizer:
@@ -27,14 +45,18 @@ class TextTokenizer:
     a white-space-dropping BPE spans such a place, so the ids of the text are those of its parts, and each distinct
     part is encoded once.  Texts with other white space before a space are cut by a slower pattern.  A new part such as
     ``word.\nWord,`` is put together from its runs of letters and digits and its punctuation, between which these
-    pre-tokenizers cut as well (an apostrophe may start a contraction, so such parts are encoded whole).
+    pre-tokenizers cut as well (an apostrophe may start a contraction, so such parts are encoded whole).  With a file of
+    other rules, each text is encoded as a whole.
     """
 
+    kept_bytes = KEPT_BYTES
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuts_at_spaces(path)
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.bytes = 0
@@ -75,7 +97,9 @@ class TextTokenizer:
                 gc.enable()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if self.bytes > KEPT_BYTES:
+        if not self.cuts:
+            return self._encode(texts)
+        if self.bytes > self.kept_bytes:
             keep = {w for t in texts for w in t.split(" ")}
             self.heads, self.tails = {}, {w: self.tails[w] for w in keep if w in self.tails}
             self.bytes = sum(map(len, self.tails)) + 200 * len(self.tails)
