@@ -59,9 +59,11 @@ class Merges:
         self.born: dict[int, int] = {}
         for place, (left, right) in enumerate(merges):
             pair, made = (vocab[left], vocab[right]), vocab[left + right]
-            if made in self.halves or max(self.born.get(pair[0], -1), self.born.get(pair[1], -1)) >= place:
+            if made in self.halves:
                 raise ValueError(f"the merge of {left!r} and {right!r} is not the only one of its token")
             self.rank[pair], self.halves[made], self.born[made] = place, pair, place
+        if any(self.born.get(part, -1) > self.born[made] for made, pair in self.halves.items() for part in pair):
+            raise ValueError("a merge comes before those of its parts")
         self._edges: tuple[dict, dict] = ({}, {})
         self.kept: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()

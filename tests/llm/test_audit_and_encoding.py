@@ -108,8 +108,10 @@ def test_one_last_token_for_each_prefix(prefixes):
 
 
 def test_files_the_method_cannot_take():
+    with pytest.raises(ValueError, match="before those of its parts"):
+        prefix_bpe.Merges({"a": 0, "b": 1, "ab": 2, "abab": 3}, [("ab", "ab"), ("a", "b")])
     with pytest.raises(ValueError, match="not the only one"):
-        prefix_bpe.Merges({"a": 0, "b": 1, "ab": 2, "abab": 3, "aba": 4}, [("ab", "ab"), ("a", "b")])
+        prefix_bpe.Merges({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [("a", "b"), ("b", "a"), ("ab", "a"), ("a", "ba")])
     with pytest.raises(ValueError, match="byte-level"):
         prefix_bpe.PrefixTokenizer(public_tokenizers.path("word_bpe_49k.json"))
 
