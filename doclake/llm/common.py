@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 _OWN_DIR: list[str] = []
 
@@ -54,7 +54,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return saved(plain(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def with_made(docs: DataFrame, text: str, made: list[tuple[str, str]], f: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def with_made(docs: DataFrame, text: str, made: list[tuple[str, str | DataType]], f: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """``docs`` with columns made of each text: (name, type) of each; a column that has the name already is replaced."""
     names = [n for n, _ in made]
     kept = [i for i, c in enumerate(docs.columns) if c not in names]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from doclake.llm.common import chunks_of, strings, with_made
 from doclake.llm.tokens import TextTokenizer
@@ -211,7 +212,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in known(strings(column))]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([known.decode(x.tolist()) for x in ids], pa.string())]
 
-    return with_made(docs, text, [("ids", "array<int>"), ("decoded", "string")], made)
+    return with_made(docs, text, [("ids", ArrayType(IntegerType())), ("decoded", "string")], made)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import audit, bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, prefix_bpe, topk, toxicity
+from doclake.llm import alignment, audit, bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, prefix_bpe, topk, toxicity
 from doclake.llm.common import key_mod, table
 
 
@@ -60,6 +60,10 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"), key_mod("doc_id", 7) == 2)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
