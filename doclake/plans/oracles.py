@@ -159,7 +159,7 @@ SELECT term, t AS target FROM (SELECT *, row_number() OVER (PARTITION BY term OR
     "kg_scores": f"WITH {SCORES} SELECT node, score FROM scores",
     "kg_prune": f"""WITH {SCORES}, c AS (SELECT node, score, node[1] = 's' AS concept, row_number() OVER (PARTITION BY node[1] = 's' ORDER BY score DESC, node) AS rn FROM scores)
 SELECT node, score, concept FROM c WHERE NOT concept OR rn <= 15 ORDER BY score DESC, node LIMIT 60""",
-    "kg_relation_dedupe": f"WITH {REL} SELECT src, dst, type, block, seq, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, type, block ORDER BY confidence DESC, seq) AS rn FROM rel) WHERE rn = 1",
+    "kg_relations_best": f"WITH {REL} SELECT src, dst, type, block, seq, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, type, block ORDER BY confidence DESC, seq) AS rn FROM rel) WHERE rn = 1",
     "kg_link_bundle": f"WITH {REL} SELECT src, dst, type, count(*) AS n, round(max(confidence), 6) AS confidence, CASE WHEN count(*) > 1 THEN type || ' ×' || count(*) ELSE type END AS label FROM rel GROUP BY src, dst, type",
     "kg_numbers_in_text": "WITH f AS (SELECT doc_id, regexp_extract_all(text, '(^|[^A-Za-z0-9_.])([0-9]+)', 2) AS x FROM documents) SELECT doc_id, len(x)::INT AS n, coalesce(list_sum(list_transform(x, lambda y: length(y))), 0)::INT AS digits FROM f",
     "map_blocks_exact": f"WITH {BLOCKS}{NEW} SELECT doc_id, ord, new_ord FROM mapped",

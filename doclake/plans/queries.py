@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    if f.__name__ in QUERIES:
+        raise ValueError(f"there is a query {f.__name__} already")
     QUERIES[f.__name__] = f
     return f
 
@@ -356,7 +358,7 @@ def kg_prune(spark, d):
 
 
 @query
-def kg_relation_dedupe(spark, d):
+def kg_relations_best(spark, d):
     return G.best_relations(S.relations(S.table(spark, d, "lineitem"))).select("src", "dst", "type", "block", "seq", F.round("confidence", 6).alias("confidence"))
 
 
