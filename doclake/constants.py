@@ -9,11 +9,9 @@ EDGE_Y, EDGE_X = 0.10, 0.08
 DECORATION_PAGES = 2
 BM25_K1, BM25_B = 1.2, 0.75
 KG_MAX, KG_CONCEPTS = 60, 15
-MAP_IOU, MAP_SIMILARITY = 0.5, 0.9
+MAP_IOU, MAP_LIKE, MAP_SIMILARITY = 0.5, 0.5, 0.9
 PAGE_WIDTH, PAGE_HEIGHT, LINES_PER_PAGE = 612, 792, 10
 MOST_LEVELS = 4
-KIND_LIMITS = {"purchase": 2}
-MAX_RUNNING = 4
 PREAMBLE, CONTINUED = "标题与摘要", "（续）"
 ABSTRACT_SHARE = 0.25
 EXTRACT_CHARS, LEAST_BODY = 12000, 40
@@ -22,3 +20,5 @@ CONFIDENCE, UNSUPPORTED = 0.8, 0.7
 ENTITY_TYPES = ("Task", "Method", "Dataset", "Metric", "Model", "Concept")
 RELATION_TYPES = ("proposes", "uses", "improves_on", "evaluated_on", "achieves", "compares_with", "part_of")
 SAME_COLUMN = 150
+BLOCK_TERMS = 24
+FIGURE_GAP = 20.0

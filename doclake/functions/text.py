@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,44 @@ STOP_WORDS = frozenset("a an and are as at be by can did do does for from how in
 WIDE = "[\\u3000-\\u9FFF\\uAC00-\\uD7AF]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` worked out once, however often a lambda asks for it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def runs_of(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters, in order."""
+    joined = lambda c, i: F.concat(*[F.get(c, i + k) for k in range(n)])
+    return let(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - (n - 1), F.lit(0))), lambda _, i: joined(c, i)))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+# A number that is no part of a name, with its sign.
+NUMBER = "(?<![A-Za-z0-9_.])(?<![A-Za-z][-‐])[-+−]?[0-9]+(?:[.,][0-9]+)*"
+
+
+def number_value(raw: Column) -> Column:
+    """A written number: commas between groups of three are dropped, a single one is a decimal comma, others give null."""
+    plain = F.replace(raw, F.lit("−"), F.lit("-"))
+    groups = plain.rlike("^[^,]*(,[^,]{3})*,[^,.]{3}$")
+    shown = F.when(groups, F.replace(plain, F.lit(","), F.lit(""))).when(plain.rlike("^[^,.]*,[^,.]*$"), F.replace(plain, F.lit(","), F.lit("."))).when(~F.contains(plain, F.lit(",")), plain)
+    return shown.try_cast("double")
+
+
+def numbers_in(text: Column) -> Column:
+    """The values of the numbers in a text, in order."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), 0), number_value), lambda v: v.isNotNull())
+
+
+def has_value(value: Column, text: Column) -> Column:
+    """Whether a text states a value, to a part in a thousand million."""
+    return F.exists(numbers_in(text), lambda v: F.abs(v - value) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(value)))
+
+
 def wide_count(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, WIDE, ""))
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,54 +119,70 @@ def tokens_of(text: str) -> int:
     return wide + (len(text) - wide + 3) // 4
 
 
+def _whole(sentences: list[str], i: int, j: int) -> str:
+    return sentences[i] if j == i + 1 else " ".join(sentences[i:j]).strip()
+
+
+def _reach(sentences: list[str], i: int, stop: int, size: int) -> int:
+    """The end of the longest stretch from ``i`` that has at most ``size`` tokens as one text; one sentence at least."""
+    far = 1
+    while i + far < stop and tokens_of(_whole(sentences, i, i + far + 1)) <= size:
+        far = min(2 * far, stop - i) if tokens_of(_whole(sentences, i, min(i + 2 * far, stop))) <= size else far + 1
+    return i + far
+
+
 def split_long(text: str, size: int, most: int) -> list[str]:
-    """Sentences packed to ``size`` tokens; one over ``most`` is cut at equal steps of about that many."""
-    pieces, held = [], ""
-    for s in filter(None, re.split(r"(?<=[.!?;])\s+|(?<=[。！？；])", text)):
-        n = tokens_of(s)
-        if held and tokens_of(held) + n > size:
-            pieces.append(held)
-            held = ""
-        if n > most:
-            step = max(1, len(s) * size // n)
-            pieces += [s[i : i + step] for i in range(0, len(s), step)]
-        else:
-            held = f"{held} {s}".strip()
-    return [*pieces, held] if held else pieces
+    """Stretches of sentences of up to ``size`` tokens each, measured as the text they make; a sentence over ``most`` is cut at equal steps of about that many."""
+    sentences = [s for s in re.split(r"(?<=[.!?;])\s+|(?<=[。！？；])", text) if s.strip()]
+    cost = [tokens_of(s) for s in sentences]
+    walls = [i for i, n in enumerate(cost) if n > max(size, most)] + [len(sentences)]
+    pieces, at = [], 0
+    for wall in walls:
+        while at < wall:
+            end = _reach(sentences, at, wall, size)
+            pieces.append(_whole(sentences, at, end))
+            at = end
+        if wall < len(sentences):
+            long = sentences[wall]
+            step = max(1, len(long) * size // cost[wall])
+            pieces += [long[i : i + step] for i in range(0, len(long), step)]
+        at = wall + 1
+    return pieces
+
+
+def _starts(sizes: np.ndarray, breaks: np.ndarray, size: int) -> np.ndarray:
+    """Where chunks start: at every break, and where the running sum since the last start would pass ``size``."""
+    upto = np.cumsum(sizes)
+    next_break = np.append(np.flatnonzero(breaks), len(sizes))
+    starts, at = [], 0
+    while at < len(sizes):
+        starts.append(at)
+        full = int(np.searchsorted(upto, upto[at] - sizes[at] + size, "right"))
+        at = min(max(full, at + 1), int(next_break[np.searchsorted(next_break, at, "right")]))
+    return np.array(starts, np.int64)
 
 
 def chunk_texts(blocks: DataFrame, size: int = K.CHUNK_TOKENS, most: int = K.CHUNK_MAX) -> DataFrame:
-    """doc_id, chunk, ords, text of each chunk as it is embedded: its section's title, then its blocks; long blocks in pieces."""
+    """doc_id, chunk, ords, text of each chunk as it is embedded: its section's title, then its blocks; long blocks in pieces.
+
+    A chunk ends where its section does, before and after a block of over ``most`` tokens, and where the next block would
+    take it over ``size``.
+    """
     placed = with_section(blocks)
     titles = placed.where(is_heading()).select("doc_id", F.col("ord").alias("section"), F.col("text").alias("title"))
-    rows = placed.where(~is_heading() & (F.trim("text") != "")).join(titles, ["doc_id", "section"], "left").select("doc_id", "ord", F.coalesce("section", F.lit(-1)).alias("section"), F.coalesce("title", F.lit("")).alias("title"), F.trim("text").alias("body"))
+    body = T.stripped(F.col("text"))
+    rows = placed.where(~is_heading() & (body != "")).join(titles, ["doc_id", "section"], "left").select("doc_id", "ord", F.coalesce("section", F.lit(-1)).alias("section"), F.coalesce("title", F.lit("")).alias("title"), body.alias("body"), T.approx_tokens(body).alias("tokens"))
 
     def run(doc: pa.Table) -> pa.Table:
-        out: list[tuple[list[int], str]] = []
-        held, parts, fill, section, title = [], [], 0, None, ""
-
-        def flush() -> None:
-            nonlocal held, parts, fill
-            if held:
-                emit(held, "\n".join(parts))
-            held, parts, fill = [], [], 0
-
-        def emit(ords: list[int], body: str) -> None:
-            out.append((ords, f"{title}\n{body}" if title and title != body else body))
-
-        for r in doc.sort_by("ord").to_pylist():
-            n = tokens_of(r["body"])
-            if r["section"] != section or fill + n > size:
-                flush()
-                section, title = r["section"], r["title"]
-            if n > most:
-                flush()
-                for piece in split_long(r["body"], size, most):
-                    emit([r["ord"]], piece)
-            else:
-                held, parts, fill = [*held, r["ord"]], [*parts, r["body"]], fill + n
-        flush()
-        return pa.table({"doc_id": pa.array([doc.column("doc_id")[0].as_py()] * len(out), pa.int64()), "chunk": pa.array(range(len(out)), pa.int32()), "ords": pa.array([o for o, _ in out], pa.list_(pa.int32())), "text": pa.array([t for _, t in out], pa.string())})
+        doc = doc.sort_by("ord")
+        sizes, section = (doc.column(c).to_numpy().astype(np.int64) for c in ("tokens", "section"))
+        ords, titles_, bodies = (doc.column(c).to_pylist() for c in ("ord", "title", "body"))
+        long = sizes > most
+        breaks = np.append(True, (section[1:] != section[:-1]) | long[1:] | long[:-1])
+        bounds = np.append(_starts(sizes, breaks, size), len(sizes)).tolist()
+        made = [(ords[a:b], titles_[a], text) for a, b in pairwise(bounds) for text in (split_long(bodies[a], size, most) if long[a] else ["\n".join(bodies[a:b])])]
+        texts = [f"{title}\n{text}" if title not in ("", text) else text for _, title, text in made]
+        return pa.table({"doc_id": doc.column("doc_id")[:1].take(pa.array([0] * len(made), pa.int64())), "chunk": pa.array(range(len(made)), pa.int32()), "ords": pa.array([o for o, _, _ in made], pa.list_(pa.int32())), "text": pa.array(texts, pa.string())})
 
     return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, chunk int, ords array<int>, text string")
 

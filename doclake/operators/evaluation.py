@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions.geometry import iou
+from doclake.operators.matching import one_to_one
 
 
 def predictions(gold: DataFrame) -> DataFrame:
@@ -23,20 +23,8 @@ def overlapping(gold: DataFrame, pred: DataFrame, least: float) -> DataFrame:
 
 
 def matched(pairs: DataFrame) -> DataFrame:
-    """One to one by falling overlap, both ends free, the higher ordinals winning ties: greedy on the pairs of each page."""
-
-    def run(page: pa.Table) -> pa.Table:
-        page = page.sort_by([("iou", "descending"), ("g", "descending"), ("p", "descending")])
-        taken_g, taken_p, keep = set(), set(), []
-        for g, p in zip(page.column("g").to_pylist(), page.column("p").to_pylist(), strict=True):
-            free = g not in taken_g and p not in taken_p
-            keep.append(free)
-            if free:
-                taken_g.add(g)
-                taken_p.add(p)
-        return page.filter(pa.array(keep))
-
-    return pairs.groupBy("doc_id", "page").applyInArrow(run, pairs.schema)
+    """One to one by falling overlap, both ends free, the higher ordinals winning ties, on the pairs of each page."""
+    return one_to_one(pairs, ["doc_id", "page"], "g", "p", [F.desc("iou"), F.desc("g"), F.desc("p")])
 
 
 def kendall(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:

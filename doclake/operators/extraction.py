@@ -6,13 +6,18 @@ whose result depends on the order, is a fold over the norms of a document's enti
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from doclake import constants as K
 from doclake.functions import text as T
 from doclake.functions import udfs
+from doclake.operators.dictionary import Finder
+from doclake.sources.shared import saved
 
 REPLY = (
     "entities array<struct<id string, key string, type string, name string, aliases array<string>, description string, block_ids array<string>>>, "
@@ -32,10 +37,24 @@ def _quoteless(text: Column, most: int) -> Column:
     return F.left(F.regexp_replace(T.collapse(F.coalesce(text, F.lit(""))), "^[\"'“”‘’ ]+|[\"'“”‘’ ]+$", ""), F.lit(most))
 
 
+def _distinct(forms: Column) -> Column:
+    """The first form of each norm, as many as are kept."""
+    norms = F.transform(forms, lambda f: f["norm"])
+    return F.slice(F.filter(forms, lambda f, i: F.array_position(F.slice(norms, 1, i + 1), f["norm"]) == i + 1), 1, K.MOST_ALIASES)
+
+
+@pandas_udf(StringType())
+def surface(names: pd.Series, texts: pd.Series) -> pd.Series:
+    """The longest of some names that a text contains; of Latin letters, as a word of its own."""
+    found = (Finder((a for a in n if len(a) > 1), plural=False).of(t) for n, t in zip(names, texts, strict=True))
+    return pd.Series([next(iter(f), None) for f in found])
+
+
 def entities(replies: DataFrame) -> DataFrame:
     """doc_id, grp, pos, type, name, aliases, ids, ...: every item of the replies; ``ok`` if its type and name are known."""
     items = replies.select(*GROUP, F.from_json("reply", REPLY).alias("r")).select(*GROUP, F.posexplode("r.entities").alias("pos", "e"))
-    named = items.withColumn("forms", udfs.aliases(F.left(F.col("e.name"), F.lit(K.MOST_NAME)), "e.aliases")).withColumn("type", _among(F.col("e.type"), K.ENTITY_TYPES))
+    names = F.concat(F.array(F.left(F.col("e.name"), F.lit(K.MOST_NAME))), F.coalesce("e.aliases", F.array().cast("array<string>")))
+    named = items.withColumn("every", udfs.name_forms(names)).withColumn("forms", _distinct(F.col("every"))).drop("every").withColumn("type", _among(F.col("e.type"), K.ENTITY_TYPES))
     name = F.col("forms")[0]["alias"]
     usable = F.col("type").isNotNull() & (F.size("forms") > 0) & F.col("e.name").rlike("[\\p{L}\\p{N}]")
     return named.select(*GROUP, "pos", "type", name.alias("name"), F.coalesce(F.nullif("e.id", F.lit("")), F.nullif("e.key", F.lit("")), name).alias("key"), "forms", _quoteless(F.col("e.description"), K.MOST_DESCRIPTION).alias("description"), T.normal_ids(F.array_join(F.coalesce("e.block_ids", F.array().cast("array<string>")), ",")).alias("claimed"), F.coalesce(usable, F.lit(False)).alias("ok"))
@@ -54,7 +73,7 @@ def mentions(found: DataFrame, blocks: DataFrame) -> DataFrame:
     near = forms.where(latin).withColumn("word", word).join(words, [*GROUP, "word"]).select(*GROUP, "pos", "block_id")
     other = forms.where(~latin).join(blocks.select(*GROUP, "block_id", "text"), GROUP).where(F.contains(F.lower(F.regexp_replace("text", "\\s+", "")), F.lower(F.regexp_replace("alias", "\\s+", "")))).select(*GROUP, "pos", "block_id")
     pairs = near.unionByName(other).distinct().join(blocks.select(*GROUP, "block_id", "text"), [*GROUP, "block_id"]).join(found.select(*GROUP, "pos", names.alias("names")), [*GROUP, "pos"])
-    seen = pairs.select(*GROUP, "pos", "block_id", udfs.surface("names", "text").alias("surface")).where("surface is not null")
+    seen = pairs.select(*GROUP, "pos", "block_id", surface("names", "text").alias("surface")).where("surface is not null")
     claimed = found.select(*GROUP, "pos", "name", F.explode("claimed").alias("block_id")).join(blocks.select(*GROUP, "block_id"), [*GROUP, "block_id"]).select(*GROUP, "pos", "block_id", F.col("name").alias("surface"))
     return _first(seen, claimed)
 
@@ -80,15 +99,21 @@ def relations(replies: DataFrame, found: DataFrame, blocks: DataFrame) -> DataFr
     src, dst = (ends.select(*GROUP, F.col("k").alias(f"{e}_key"), F.col("pos").alias(e)) for e in ("src", "dst"))
     rows = items.withColumns({"src_key": F.col("x.src"), "dst_key": F.col("x.dst")}).join(src, [*GROUP, "src_key"], "left").join(dst, [*GROUP, "dst_key"], "left").join(source, [*GROUP, "rel"], "left")
     named = rows.withColumns({"type": _among(F.regexp_replace(F.trim("x.type"), "[ -]", "_"), K.RELATION_TYPES), "evidence": _quoteless(F.col("x.evidence"), K.MOST_EVIDENCE)})
-    seen = named.withColumn("c", udfs.checked("evidence", F.element_at("x.attrs", F.lit("value")), "s.text"))
+    stated = T.collapse(F.coalesce(F.element_at("x.attrs", F.lit("value")), F.lit("")))
+    stated = F.regexp_replace(stated, "^[\"'“”‘’ ]+|[\"'“”‘’ ]+$", "")
+    first = F.regexp_extract(stated, f"({T.NUMBER})", 1)
+    shown = F.when(F.length(stated) <= K.MOST_VALUE, stated).otherwise(first)
+    number = named.withColumns({"quoted": udfs.quoted("evidence", "s.text"), "number": T.number_value(first), "shown": shown})
+    there = T.has_value(F.col("number"), F.col("s.text"))
+    seen = number.withColumn("c", F.struct("quoted", F.when(there, F.col("number")).alias("value"), F.when(there, F.col("shown")).alias("value_text")))
     bad = F.col("type").isNull() | F.col("src").isNull() | F.col("dst").isNull() | (F.col("src") == F.col("dst"))
     valued = F.col("type") == "achieves"
     fault = F.when(bad, "bad_relations").when(F.col("s").isNull(), "no_source").when(valued & F.col("c.value").isNull(), "unverified_values")
     unsupported = (F.col("evidence") != "") & ~F.col("c.quoted")
-    stated = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x.confidence"))), F.lit(K.CONFIDENCE))
+    sure = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x.confidence"))), F.lit(K.CONFIDENCE))
     attrs = [F.when(valued, F.nullif(_quoteless(F.element_at("x.attrs", F.lit(a)), K.MOST_NAME), F.lit(""))).alias(a) for a in ATTRS]
     return seen.select(
-        *GROUP, "rel", "src", "dst", "type", F.col("s.block_id").alias("block_id"), F.when(unsupported, "").otherwise(F.col("evidence")).alias("evidence"), F.round(stated * F.when(unsupported, K.UNSUPPORTED).otherwise(1.0), 3).alias("confidence"),
+        *GROUP, "rel", "src", "dst", "type", F.col("s.block_id").alias("block_id"), F.when(unsupported, "").otherwise(F.col("evidence")).alias("evidence"), F.round(sure * F.when(unsupported, K.UNSUPPORTED).otherwise(1.0), 3).alias("confidence"),
         F.when(valued, F.col("c.value")).alias("value"), F.when(valued, F.col("c.value_text")).alias("value_text"), *attrs, fault.alias("fault"), (unsupported & F.coalesce(~fault.isin("bad_relations", "no_source"), F.lit(True))).alias("unsupported"),
     )
 
@@ -114,19 +139,21 @@ def document_graph(replies: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Da
     """Entities, relations and counts of what was dropped, of each document.
 
     Entities: doc_id, entity, type, name, aliases, description, block_ids; relations: doc_id, src, dst, type, block_id, ...
-    Entities without any source are dropped.  Of relations that agree in ends, type and block, the most confident stays.
+    What several branches read is written once (replies, blocks, entities, relations, mentions, who is who), so that no
+    branch works it out anew.  Entities without any source are dropped.  Of relations that agree in ends, type and block, the most confident stays.
     """
-    items = entities(replies)
+    replies, blocks = saved(replies, "replies"), saved(blocks, "blocks")
+    items = saved(entities(replies), "entities")
     found = items.where("ok")
-    checked = relations(replies, found, blocks)
+    checked = saved(relations(replies, found, blocks), "relations")
     good = checked.where("fault is null")
     ends = good.select(*GROUP, "block_id", F.explode(F.array("src", "dst")).alias("pos")).distinct()
     linked = ends.join(found.select(*GROUP, "pos", "name"), [*GROUP, "pos"]).select(*GROUP, "pos", "block_id", F.col("name").alias("surface"))
-    shown = _first(mentions(found, blocks), linked)
+    shown = saved(_first(mentions(found, blocks), linked), "mentions")
     sourced = found.join(shown.select(*GROUP, "pos").distinct(), [*GROUP, "pos"], "left_semi")
     kinds = dict(found.dtypes)
     keys = sourced.select(*GROUP, "pos", "type", F.transform("forms", lambda f: f["norm"]).alias("norms"))
-    same = keys.groupBy("doc_id").applyInArrow(_same, f"doc_id {kinds['doc_id']}, grp {kinds['grp']}, pos int, entity int")
+    same = saved(keys.groupBy("doc_id").applyInArrow(_same, f"doc_id {kinds['doc_id']}, grp {kinds['grp']}, pos int, entity int"), "same")
     placed = sourced.join(same, [*GROUP, "pos"])
     first = F.struct("grp", "pos")
     forms = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("grp", "pos", "forms"))), lambda x: x["forms"]))

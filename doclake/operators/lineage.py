@@ -3,39 +3,64 @@
 from __future__ import annotations
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake import constants as K
 from doclake.functions.geometry import iou
-from doclake.functions.udfs import similarity
+from doclake.functions.udfs import outline, similarity
+from doclake.operators.matching import one_to_one
+from doclake.sources.shared import saved
 
 
-def fuzzy_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Candidates of a page that overlap and read alike, or read almost the same; both sides are what exact matching left."""
-    boxes = ("x0", "y0", "x1", "y1")
-    a = old.select("doc_id", "page", F.col("id").alias("old"), F.col("text").alias("a_text"), *[F.col(c).alias(f"a_{c}") for c in boxes])
-    b = new.select("doc_id", "page", F.col("id").alias("new"), F.col("text").alias("b_text"), *[F.col(c).alias(f"b_{c}") for c in boxes])
-    scored = a.join(b, ["doc_id", "page"]).withColumns({"overlap": iou("a_", "b_"), "alike": similarity("a_text", "b_text")})
-    return scored.where(((F.col("overlap") >= K.MAP_IOU) & (F.col("alike") >= 0.5)) | (F.col("alike") >= K.MAP_SIMILARITY)).select("doc_id", "page", "old", "new", (F.col("alike") + F.col("overlap")).alias("score"))
+BOXES = ("x0", "y0", "x1", "y1")
+
+
+def page_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The pairs of blocks of a page, how much they overlap, how alike they must read, and how alike they can be at most.
+
+    Of two texts with t characters in all, of which matching blocks cover m on either side, the ratio is 2m/t.  m is at
+    most the shorter length and at most what the texts share as multisets of letters.  Between two matching blocks lies
+    a letter that is in none, so there are at most t - 2m + 1 of them, and m less that many pairs of neighbours are
+    shared: 3m <= t + 1 + the shared pairs.
+    """
+    side = lambda df, name, p: df.select("doc_id", "page", F.col("id").alias(name), outline("text").alias(f"{p}o"), *[F.col(c).alias(f"{p}{c}") for c in BOXES])
+    both = side(old, "old", "a_").join(side(new, "new", "b_"), ["doc_id", "page"])
+    total = F.col("a_o.n") + F.col("b_o.n")
+    shared = lambda c: F.aggregate(F.zip_with(f"a_o.{c}", f"b_o.{c}", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    short = F.least("a_o.n", "b_o.n")
+    placed = both.withColumn("overlap", iou("a_", "b_")).withColumn("least", F.when(F.col("overlap") >= K.MAP_IOU, K.MAP_LIKE).otherwise(K.MAP_SIMILARITY))
+    close = placed.where(2 * short >= F.col("least") * total)
+    most = F.least(F.lit(1.0), 2 * shared("letters") / total, 2 * (total + 1 + shared("neighbours")) / (3 * total))
+    return close.withColumn("most", F.when(total > 0, most).otherwise(0.0))
+
 
+def fuzzy_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Candidates of a page that overlap and read alike, or read almost the same; both sides are what exact matching left.
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    used_old, used_new, kept = set(), set(), []
-    for r in pairs.sort_values(["score", "old", "new"], ascending=[False, True, True]).itertuples():
-        if r.old not in used_old and r.new not in used_new:
-            used_old.add(r.old)
-            used_new.add(r.new)
-            kept.append((r.doc_id, r.old, r.new))
-    return pd.DataFrame(kept, columns=["doc_id", "old", "new"])
+    Texts are compared letter by letter only where the bounds leave a chance.
+    """
+    asked = page_pairs(old, new).where(F.col("most") >= F.col("least")).withColumn("alike", similarity("a_o.text", "b_o.text"))
+    return asked.where(F.col("alike") >= F.col("least")).select("doc_id", "page", "old", "new", (F.col("alike") + F.col("overlap")).alias("score"))
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """Best pairs first, both sides once.  A group is one page of one document."""
-    kind = dict(pairs.dtypes)
-    return pairs.groupBy("doc_id", "page").applyInPandas(_greedy, f"doc_id {kind['doc_id']}, old {kind['old']}, new {kind['new']}")
+    """Best pairs of each page first, both sides once."""
+    return one_to_one(pairs, ["doc_id", "page"], "old", "new", [F.desc("score"), F.asc("old"), F.asc("new")]).select("doc_id", "old", "new")
+
+
+def mapped(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, old, new, kind): blocks of a document in its new version, by equal texts in turn, then by likeness on a page.
+
+    Both sides: doc_id, id, ord, page, text and a rectangle.  A text that is null is the empty text.
+    """
+    nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("ord", "id"))
+    keyed = lambda df, name: df.select("doc_id", F.col("id").alias(name), "ord", "id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).withColumn("k", nth).select("doc_id", name, "h", "k")
+    exact = saved(keyed(old, "old").join(keyed(new, "new"), ["doc_id", "h", "k"]).select("doc_id", "old", "new"), "exact")
+    rest = lambda df, name: df.join(exact.select("doc_id", F.col(name).alias("id")), ["doc_id", "id"], "left_anti")
+    fuzzy = greedy_matches(fuzzy_pairs(rest(old, "old"), rest(new, "new")))
+    return exact.withColumn("kind", F.lit("exact")).unionByName(fuzzy.withColumn("kind", F.lit("fuzzy")))
 
 
 # --- what refers to blocks moves along; ``mapping``: doc_id, old, new ---

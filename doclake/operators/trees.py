@@ -6,7 +6,7 @@ a node's ancestors are those it meets on its way round, once each and without it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.sources.shared import saved
@@ -30,3 +30,40 @@ def latest_leaf(turns: DataFrame) -> DataFrame:
     """For each conversation, the last node that has no child."""
     inner = turns.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
     return turns.join(inner, ["conv_id", "node"], "left_anti").groupBy("conv_id").agg(F.max("node").alias("leaf"))
+
+
+def preorder(nodes: DataFrame) -> DataFrame:
+    """(tree, id, depth, place): each tree's nodes as a sorted outline shows them; ``nodes``: tree, id, parent, name.
+
+    Children stand below their parent by name, then id; a node whose parent is unknown or null is a root.  What only a
+    cycle leads to is not shown.  Each round adds a level and is a table; a node's key is the path of names from its root.
+    """
+    step = F.struct("name", "id")
+    known = nodes.select("tree", F.col("id").alias("parent")).distinct()
+    roots = nodes.join(known, ["tree", "parent"], "left_anti").select("tree", "id", F.lit(0).alias("depth"), F.array(step).alias("path"))
+    inner = saved(nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "id", "parent", "name"), "children")
+    level = saved(roots, "level")
+    out = level
+    while True:
+        below = inner.join(level.select("tree", F.col("id").alias("parent"), "depth", "path"), ["tree", "parent"])
+        level = saved(below.select("tree", "id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(step)).alias("path")), "level")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.select("tree", "id", "depth", F.row_number().over(Window.partitionBy("tree").orderBy("path")).alias("place"))
+
+
+def climbed_roots(nodes: DataFrame) -> DataFrame:
+    """(tree, id, root): where climbing from each node ends; ``nodes``: tree, id, parent.
+
+    At a node without a parent, at a parent id that no node has, or where the way meets itself again: the nearest node
+    of the cycle, which is the node itself if it is on it.
+    """
+    up = ancestors(nodes.select(F.col("tree").alias("conv_id"), F.col("id").alias("node"), "parent")).withColumnRenamed("conv_id", "tree")
+    back = up.select("tree", F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
+    loops = nodes.where("parent = id").select("tree", F.col("id").alias("node")).unionByName(up.join(back, ["tree", "node", "ancestor"], "left_semi").select("tree", "node")).distinct()
+    onto = up.join(loops.select("tree", F.col("node").alias("ancestor")), ["tree", "ancestor"], "left_semi").groupBy("tree", "node").agg(F.min_by("ancestor", "distance").alias("entry"))
+    top = up.groupBy("tree", "node").agg(F.max_by("ancestor", "distance").alias("top"))
+    start = nodes.select("tree", F.col("id").alias("node")).distinct()
+    met = start.join(loops.withColumn("on", F.lit(True)), ["tree", "node"], "left").join(onto, ["tree", "node"], "left").join(top, ["tree", "node"], "left")
+    return met.select("tree", F.col("node").alias("id"), F.when(F.col("on"), F.col("node")).otherwise(F.coalesce("entry", "top", "node")).alias("root"))

@@ -13,6 +13,7 @@ import doclake.plans  # noqa: F401  registers the queries
 from doclake.functions import udfs
 from doclake.operators import consensus, context, extraction, lineage
 from doclake.operators.blocks import tokens_of
+from doclake.operators.dictionary import Finder
 from doclake.plans.queries import QUERIES
 
 PLACED = "doc_id long, ord int, block_id string, type string, text string, root int, title string"
@@ -69,13 +70,20 @@ def test_glossary_input(spark):
 
 def test_names_quotations_and_values():
     assert udfs.name_and_acronym("Bidirectional Encoder (BERT)") == ["Bidirectional Encoder", "BERT"] and udfs.name_and_acronym("x (two words)") == ["x (two words)"]
-    assert [a["alias"] for a in udfs.alias_set("ResNet-50", ["resnet 50", None, "RN50", "--"])] == ["ResNet-50", "RN50"]
-    assert udfs.surface_of(["BERT"], "RoBERTa is strong") is None and udfs.surface_of(["BERT", "BERT  base"], "the bert\nBase model") == "BERT  base" and udfs.surface_of(["保真度"], "同义保真度") == "保真度"
-    assert udfs.supported("achieves  85.3 … WMT", "It Achieves 85.3 BLEU on WMT14") and not udfs.supported("WMT … achieves", "achieves WMT") and not udfs.supported("…", "anything")
-    assert udfs.stated_value("< 85,3 %") == (85.3, "< 85,3 %") and udfs.stated_value("none") is None and udfs.stated_value("7 " + "x" * 50) == (7.0, "7")
+    longest = lambda names, text: next(iter(Finder([n for n in names if len(n) > 1], plural=False).of(text)), None)
+    assert longest(["BERT"], "RoBERTa is strong") is None and longest(["BERT", "BERT  base"], "the bert\nBase model") == "BERT  base" and longest(["保真度"], "同义保真度") == "保真度"
+    there = lambda e, t: (p := udfs.quotation(e)) is not None and p.search(udfs.bare(t)) is not None
+    assert there("achieves  85.3 … WMT", "It Achieves 85.3 BLEU on WMT14") and not there("WMT … achieves", "achieves WMT") and not there("…", "anything")
+    assert there("a‐b... Ｃ", "A-B\nc") and not there("a.b", "axb")
     assert udfs.table_only('<DIV><Table class="x"><tr><TD colspan="2" style=y rowspan=3>a<br>b</TD></tr></Table>') == '<table><tr><td colspan="2" rowspan="3">ab</td></tr></table>' and udfs.table_only("<p>") is None
 
 
+def test_forms_of_names(spark):
+    rows = spark.createDataFrame([(["ResNet-50", "resnet 50", None, "RN50", "--", "Bidirectional Encoder (BERT)", "bert"] + [f"n{i}" for i in range(12)],), ([],), (None,)], "names array<string>")
+    found = rows.withColumn("every", udfs.name_forms("names")).select(extraction._distinct(F.col("every")).alias("f")).collect()
+    assert [[a["alias"] for a in r["f"]] for r in found] == [["ResNet-50", "RN50", "Bidirectional Encoder", "BERT", "n0", "n1", "n2", "n3", "n4", "n5"], [], []]
+
+
 def test_graph_of_replies(spark):
     """What cannot be traced to a block, or states a number that isn't there, is dropped and counted."""
     reply = {
@@ -227,7 +235,7 @@ def test_graph_query(spark, data):
             local = []
             for w in words:
                 key = (types[len(w) % 6], udfs.normal_name(w))
-                spots = {i for i, t in groups[section] if udfs.surface_of([w], t)} | {groups[section][0][0]}
+                spots = {i for i, t in groups[section] if re.search(rf"(?<![A-Za-z0-9]){w}(?![A-Za-z0-9])", t, re.I)} | {groups[section][0][0]}
                 entities.setdefault(key, set()).update(spots)
                 local.append(key)
             for n, key in enumerate(local):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from doclake.functions import text as T
@@ -115,11 +118,49 @@ def test_chunk_texts(spark):
     assert (got[1, 0]["ords"], got[1, 0]["text"]) == ([1, 2], "Intro\nOne.\nTwo.") and (got[1, 1]["ords"], got[1, 1]["text"]) == ([4], "Method\nThree.")
     pieces = [r for (d, _), r in sorted(got.items()) if d == 2]
     assert " ".join(r["text"] for r in pieces if r["ords"] == [0]) == long and "".join(r["text"] for r in pieces if r["ords"] == [1]) == "x" * 4000
-    assert all(B.tokens_of(r["text"]) <= 300 for r in pieces) and len(pieces) > 8
+    assert all(B.tokens_of(r["text"]) <= 256 for r in pieces) and len(pieces) > 8
+    one = "a" * 511 + "."
+    assert B.split_long(f"{one} {one}", 256, 480) == [one, one] and B.split_long(f"{one[1:]} {one[1:]}", 256, 480) == [f"{one[1:]} {one[1:]}"]
+    middle = "b" * 1400 + "."  # over the target, not over the limit: whole
+    assert B.split_long(f"One. {middle} Two. Three.", 256, 480) == ["One.", middle, "Two. Three."]
     packed = {(r["doc_id"], r["chunk"]): (r["first_ord"], r["last_ord"]) for r in B.chunks(df).collect()}
     assert packed == {(1, 0): (1, 2), (1, 1): (4, 4), (2, 0): (0, 0), (2, 1): (1, 1)}
 
 
+def test_split_long_is_the_longest_prefix_each_time():
+    from doclake.operators import blocks as B
+
+    draw = random.Random(9)
+    for _ in range(300):
+        text = draw.choice([" ", ""]).join("".join(draw.choice("ab 漢") for _ in range(draw.randrange(1, 60))) + draw.choice([". ", "。", "! ", "。 ", "\n"]) for _ in range(draw.randrange(1, 12))).strip()
+        size, most = draw.choice([(8, 12), (5, 30), (20, 20)])
+        want, held = [], ""
+        for s in re.split(r"(?<=[.!?;])\s+|(?<=[。！？；])", text):
+            if not s.strip():
+                continue
+            longer = f"{held} {s}".strip() if held else s
+            if B.tokens_of(longer) <= size:
+                held = longer
+                continue
+            want += [held] if held else []
+            held = ""
+            if B.tokens_of(s) <= most:
+                held = s
+            else:
+                step = max(1, len(s) * size // B.tokens_of(s))
+                want += [s[i : i + step] for i in range(0, len(s), step)]
+        assert B.split_long(text, size, most) == want + ([held] if held else [])
+
+
+def test_numbers_of_texts(spark):
+    from doclake.functions import text as T
+
+    cases = {"ResNet-50 got 1,234.5 and 0,95 or -3 on B2, v1.2 and 7": [0.95, -3.0, 7.0], "12,345,678 +4 −2.5 为66.5h x‐9 1.2.3": [12345678.0, 4.0, -2.5, 66.5], "1,23,456": [], "": [], "F1 85.3%": [85.3], "5-3 (-5)": [5.0, 3.0, -5.0]}
+    found = spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.numbers_in(F.col("t")).alias("n"), T.has_value(F.lit(0.95), F.col("t")).alias("has")).collect()
+    assert {r["t"]: r["n"] for r in found} == cases
+    assert {r["t"] for r in found if r["has"]} == {t for t, n in cases.items() if 0.95 in n}
+
+
 def test_edit_distance_of_whole_texts(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -148,11 +189,6 @@ def test_placeholders():
     assert udfs.mark_difference("⟦A1⟧ ⟦A1⟧ ⟦B1⟧", "[[A1]] ⟦C1⟧") == (["⟦A1⟧", "⟦B1⟧"], ["⟦C1⟧"])
 
 
-def test_numbers():
-    assert udfs.numbers_in("ResNet-50 got 1,234.5 and 0,95 or -3 on B2, v1.2 and 7") == [1234.5, 0.95, -3.0, 7.0]
-    assert udfs.value_in_text(0.95, "about 0,95") and not udfs.value_in_text(50, "ResNet-50")
-
-
 def test_greedy_matching_takes_second_best(spark):
     rows = [(1, 0, 0, 0, 0.9), (1, 0, 0, 1, 0.8), (1, 0, 1, 0, 0.7), (1, 0, 1, 1, 0.6)]
     got = evaluation.matched(spark.createDataFrame(rows, "doc_id long, page int, g int, p int, iou double")).collect()

@@ -8,7 +8,7 @@ from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
 
 #: Held against results on small fixtures instead (test_operators, test_documents).
-WITHOUT_SQL = {"levenshtein_ned", "chunk_texts", "section_groups_budget", "context_assembled", "kg_extract", "kg_document_prune", "annotation_migrate", "consensus_pages", "table_tags"}
+WITHOUT_SQL = {"levenshtein_ned", "chunk_texts", "section_groups_budget", "context_assembled", "kg_extract", "kg_document_prune", "annotation_migrate", "consensus_pages", "table_tags", "map_blocks_fuzzy", "figure_merge"}
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
