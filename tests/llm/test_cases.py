@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from doclake.llm import bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, topk, toxicity
+from doclake.llm import alignment, bitplane, language_id, minhash, mixing, packing, pii, pitman_yor, pivots, prefix_bpe, topk, toxicity
 from doclake.llm.common import key_mod
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `__text` string, `a.b` string, `c0` int, `row` int, `m0` int, `__gone` int, `__key` int, `__copies` int, `x``y` string, `copies` int, `component_id` int"
@@ -19,6 +19,14 @@ def odd(spark):
     return spark.createDataFrame([(k, t, None if i == 5 else "en", None if i % 3 == 0 else "s", 0, "t", "dot", 1, 2, 3, 4, 5, 6, "q", 7, 8) for i, (k, t) in enumerate(texts)], SCHEMA).repartition(3)
 
 
+def test_every_operator_is_registered():
+    """The driver's entry leaves them out where they can't be imported; here they must be there."""
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
+
+
 def labels(spark):
     return spark.createDataFrame([(1, 1), (3, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
 
@@ -34,6 +42,8 @@ EACH = {
     "redact": (lambda s, d: pii.redact(d, pii.fit(d)), True),
     "near": (lambda s, d: minhash.near_duplicates(d), False),
     "copies": (lambda s, d: mixing.copies(d), False),
+    "aligned": (lambda s, d: alignment.align(d, BYTE, public_tokenizers.path("piece_bpe_32k.model")), False),
+    "encoded": (lambda s, d: prefix_bpe.digests(d, BYTE), True),
 }
 
 

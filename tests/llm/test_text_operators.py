@@ -27,12 +27,44 @@ def test_language(docs, rows):
 
 
 def test_language_counts_are_those_of_the_filter():
-    """Popcounts against plain sets, corrected by the fill rate."""
+    """Popcounts, correction, choice and score against plain sets, with a filter so small that it errs."""
+    draw = random.Random(21)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(1, 7)))
+    own = {"aa": "abcdefgh", "bb": "efghijklm", "cc": "stuvwxyzé", "dd": "abxyzäö"}
+    known = {k: set(language_id.ngrams([" ".join(word(v) for _ in range(60))])[0].tolist()) for k, v in own.items()}
+    n = 1024
+    places = lambda g: [(g >> 21 * i) % n for i in range(language_id.HASHES)]
+    filled = {k: {p for g in v for p in places(g)} for k, v in known.items()}
+    slots = np.zeros((n, 1), np.uint8)
+    for bit, k in enumerate(own):
+        slots[sorted(filled[k]), 0] |= 1 << bit
+    model = language_id.LanguageFilter(tuple(own), slots, 2)
+    texts = [" ".join(word(draw.choice(list(own.values()))) for _ in range(draw.randrange(1, 25))) for _ in range(300)] + ["", "12 ..", "ЖЖЖЖ", "The thing", "zwei über"]
+    names, scores = language_id.identify(texts, model)
+    errors = 0
+    for text, name, score in zip(texts, names, scores, strict=True):
+        grams = language_id.ngrams([text])[0].tolist() if any(c.isalpha() for c in text) else []
+        seen = {k: sum(all(p in filled[k] for p in places(g)) for g in grams) for k in own}
+        errors += sum(seen[k] - sum(g in known[k] for g in grams) for k in own)
+        wrong = {k: (len(filled[k]) / n) ** language_id.HASHES for k in own}
+        right = {k: max(0.0, (seen[k] - len(grams) * wrong[k]) / (1 - wrong[k])) for k in own}
+        if not grams:
+            assert (name, score) == ("und", 0.0)
+        elif not sum(right.values()):
+            assert (name, score) == ("cc", 0.0)  # the most common one
+        else:
+            assert name == max(own, key=lambda k: right[k]) and score == pytest.approx(right[name] / sum(right.values()), abs=1e-12)
+    assert errors > 50
+
+
+def test_ngrams_of_letters():
+    """Lower-cased pairs and triples with the boundary of words at their ends only, one hash each."""
     grams, owners, _ = language_id.ngrams(["the thing", "zwei über"])
     assert set(owners) == {0, 1}
     whole = set(language_id.ngrams(["the thing"])[0].tolist())
-    assert whole == set(grams[owners == 0].tolist())
-    assert set(language_id.ngrams(["THE thing"])[0].tolist()) == whole
+    assert whole == set(grams[owners == 0].tolist()) == set(language_id.ngrams(["THE, thing"])[0].tolist())
+    spelt = lambda t: {x[i : i + k] for k in language_id.SIZES for x in [f" {t} "] for i in range(len(x) - k + 1) if x[i : i + k].strip() and " " not in x[i + 1 : i + k - 1]}
+    assert len(whole) == len(spelt("the thing"))
 
 
 def test_language_empty(docs, empty):
