@@ -40,3 +40,16 @@ def same_hash(old: DataFrame, new: DataFrame) -> DataFrame:
     a = old.select("doc_id", F.sha2("text", 256).alias("h"), "ord").withColumn("k", number("ord"))
     b = new.select("doc_id", F.sha2("text", 256).alias("h"), "new_ord").withColumn("k", number("new_ord"))
     return a.join(b, ["doc_id", "h", "k"]).select("doc_id", "ord", "new_ord")
+
+
+def report(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(type, gold, pred, matched, precision, recall, f1): of each type, and of all under ``all``, where any type matches.
+
+    ``gold`` and ``pred`` have a row for each block with its type, ``pairs`` the matched ones (g_type, p_type).  A share of
+    nothing is null.
+    """
+    count = lambda df, name: df.groupBy("type").agg(F.count("*").alias(name)).unionByName(df.agg(F.count("*").alias(name)).select(F.lit("all").alias("type"), name))
+    right = pairs.where("g_type = p_type").groupBy(F.col("g_type").alias("type")).agg(F.count("*").alias("matched")).unionByName(pairs.agg(F.count("*").alias("matched")).select(F.lit("all").alias("type"), "matched"))
+    rows = count(gold, "gold").join(count(pred, "pred"), "type", "full").join(right, "type", "left").fillna(0, ["gold", "pred", "matched"])
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    return rows.select("type", "gold", "pred", "matched", share(F.col("matched"), F.col("pred")).alias("precision"), share(F.col("matched"), F.col("gold")).alias("recall"), share(2 * F.col("matched"), F.col("gold") + F.col("pred")).alias("f1"))

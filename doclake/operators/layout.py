@@ -158,3 +158,36 @@ def merged_figures(blocks: DataFrame) -> DataFrame:
     new = made.select(*PAGE, F.lit("figure").alias("type"), F.lit("").alias("text"), "x0", "y0", "x1", "y1", (F.col("caption") - 0.5).alias("at"))
     w = Window.partitionBy("doc_id").orderBy("page", "at")
     return kept.unionByName(new).withColumn("ord", F.row_number().over(w) - 1).drop("at")
+
+
+# --- places ---
+
+
+def located(points: DataFrame, boxes: DataFrame, most: float = 8.0) -> DataFrame:
+    """(the columns of points, ord, gap): the box of its page that a point is in, or the nearest at most ``most`` away.
+
+    ``points``: doc_id, page, x, y; ``boxes``: doc_id, page, ord, x0 to y1.  Of boxes around a point the smallest counts,
+    then the first; of others the nearest, then the last.  A point without either has no row.
+    """
+    out = lambda v, low, high: F.greatest(F.lit(0.0), F.col(low) - F.col(v), F.col(v) - F.col(high))
+    met = points.join(boxes.select(*PAGE, "ord", "x0", "y0", "x1", "y1"), PAGE).withColumns({"dx": out("x", "x0", "x1"), "dy": out("y", "y0", "y1")})
+    gap = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    near = met.withColumn("gap", gap).where(F.col("gap") <= most)
+    inside = F.col("gap") == 0
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    rank = F.struct((~inside).cast("int").alias("out"), F.when(inside, area).otherwise(F.col("gap")).alias("far"), F.when(inside, F.col("ord")).otherwise(-F.col("ord")).alias("turn"))
+    return near.groupBy(*points.columns).agg(F.min_by(F.struct("ord", "gap"), rank).alias("m")).select(*points.columns, "m.ord", "m.gap")
+
+
+def paired_captions(captions: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(doc_id, page, ord, target): the figure or table of its page that each caption belongs to.
+
+    Nearest by the gap between them on the page and twice the places between them in reading order; another kind than
+    the caption says (``says``: figure, table or null) costs a thousand.  The first of equals counts.
+    """
+    a = captions.select(*PAGE, "ord", "says", F.col("y0").alias("a0"), F.col("y1").alias("a1"))
+    b = bodies.select(*PAGE, F.col("ord").alias("target"), "type", "y0", "y1")
+    gap = F.greatest(F.lit(0.0), F.col("y0") - F.col("a1"), F.col("a0") - F.col("y1"))
+    wrong = F.when(F.col("says") != F.col("type"), 1000.0).otherwise(0.0)
+    cost = gap + 2 * F.abs(F.col("target") - F.col("ord")) + wrong
+    return a.join(b, PAGE).groupBy(*PAGE, "ord").agg(F.min_by("target", F.struct(cost.alias("cost"), "target")).alias("target"))

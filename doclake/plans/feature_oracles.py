@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from doclake.plans.oracles import BLOCKS, BM25, NEW, ORACLES
+from doclake.plans import wide_oracles  # noqa: F401  citation_validity
+from doclake.plans.oracles import ANCHORS, BLOCKS, BM25, NEW, ORACLES, PREDICTED
 
 
 def _scores(terms: list[str], rows: str = "blocks") -> str:
@@ -60,4 +61,23 @@ SELECT tree, id, cur AS root FROM w QUALIFY row_number() OVER (PARTITION BY tree
     "numbers_stated": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '([A-Za-z][-‐])[0-9]+', '\1_', 'g') AS t FROM documents), f AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(^|[^A-Za-z0-9_.])([-+−]?[0-9]+(?:[.,][0-9]+)*)', 2), lambda x: replace(x, '−', '-')) AS f FROM t),
 v AS (SELECT doc_id, list_filter(list_transform(f, lambda x: TRY_CAST(CASE WHEN regexp_full_match(x, '[^,]*(,[^,]{3})*,[^,.]{3}') THEN replace(x, ',', '') WHEN regexp_full_match(x, '[^,.]*,[^,.]*') THEN replace(x, ',', '.') WHEN NOT contains(x, ',') THEN x END AS DOUBLE)), lambda x: x IS NOT NULL) AS v FROM f)
 SELECT doc_id, len(v)::INT AS n, list_min(v) AS low, list_max(v) AS high FROM v""",
+    "detection_report": f"""WITH {PREDICTED}, shown AS (SELECT * FROM pred WHERE ord % 8 <> 6), q AS (SELECT * FROM good WHERE iou >= 0.5 AND p % 8 <> 6),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, g ORDER BY iou DESC, g DESC, p DESC) AS bg, row_number() OVER (PARTITION BY doc_id, page, p ORDER BY iou DESC, g DESC, p DESC) AS bp FROM q), m AS (SELECT * FROM r WHERE bg = 1 AND bp = 1),
+n AS (SELECT type, 1 AS g, 0 AS p, 0 AS m FROM anchored UNION ALL SELECT type, 0, 1, 0 FROM shown UNION ALL SELECT g_type, 0, 0, 1 FROM m WHERE g_type = p_type
+  UNION ALL SELECT 'all', 1, 0, 0 FROM anchored UNION ALL SELECT 'all', 0, 1, 0 FROM shown UNION ALL SELECT 'all', 0, 0, 1 FROM m),
+t AS (SELECT type, sum(g)::BIGINT AS gold, sum(p)::BIGINT AS pred, sum(m)::BIGINT AS matched FROM n GROUP BY type)
+SELECT type, gold, pred, matched, CASE WHEN pred > 0 THEN round(matched / pred, 4) END AS "precision", CASE WHEN gold > 0 THEN round(matched / gold, 4) END AS recall, CASE WHEN gold + pred > 0 THEN round(2 * matched / (gold + pred), 4) END AS f1 FROM t""",
+    "kendall_weighted": f"WITH k AS ({ORACLES['kendall_tau_pages']}) SELECT count(*) AS pages, sum(pairs)::BIGINT AS pairs, round(sum(s) / sum(pairs), 6) AS tau FROM k",
+    "citation_micro": f"WITH k AS ({ORACLES['citation_validity']}) SELECT sum(points)::BIGINT AS points, round(sum(cited_points) / sum(points), 4) AS coverage, round(sum(valid) / sum(valid + invalid), 4) AS validity FROM k",
+    "point_located": f"""WITH {ANCHORS}, r AS (SELECT doc_id, page, ord, x0, y0, 72.0::DOUBLE + ord % 5 * 90.0::DOUBLE + 60.0::DOUBLE AS x1, y1 + ord % 3 * 40.0::DOUBLE AS y1 FROM anchored),
+p AS (SELECT DISTINCT doc_id, page, (doc_id * 37 % 560)::DOUBLE AS x, ((doc_id * 53 + page * 17) % 792)::DOUBLE AS y FROM r),
+g AS (SELECT r.*, x, y, sqrt(pow(greatest(0.0::DOUBLE, x0 - x, x - x1), 2) + pow(greatest(0.0::DOUBLE, y0 - y, y - y1), 2)) AS gap FROM r JOIN p ON p.doc_id = r.doc_id AND p.page = r.page)
+SELECT doc_id, page, ord, round(gap, 6) AS gap FROM g WHERE gap <= 8 QUALIFY row_number() OVER (PARTITION BY doc_id, page, x, y ORDER BY gap > 0, CASE WHEN gap = 0 THEN (x1 - x0) * (y1 - y0) ELSE gap END, CASE WHEN gap = 0 THEN ord ELSE -ord END) = 1""",
+    "caption_pairs": f"""WITH {ANCHORS}, s AS (SELECT doc_id, page, ord, ord % 10 AS slot, y0, y1 FROM anchored),
+b AS (SELECT doc_id, page, ord, slot, CASE WHEN slot IN (2, 3) THEN 160.0::DOUBLE WHEN slot = 4 THEN 220.0::DOUBLE WHEN slot = 5 THEN 290.0::DOUBLE WHEN slot = 6 THEN 330.0::DOUBLE ELSE y0 END AS y0, CASE WHEN slot IN (2, 3) THEN 280.0::DOUBLE WHEN slot = 4 THEN 232.0::DOUBLE WHEN slot = 5 THEN 320.0::DOUBLE WHEN slot = 6 THEN 450.0::DOUBLE ELSE y1 END AS y1 FROM s),
+c AS (SELECT * FROM b WHERE slot IN (4, 5)), o AS (SELECT *, 'figure' AS kind FROM b WHERE slot IN (2, 3) OR (slot = 6 AND doc_id % 3 = 0) UNION ALL SELECT *, 'table' FROM b WHERE slot = 9)
+SELECT c.doc_id, c.page, c.ord, o.ord AS target FROM c JOIN o ON o.doc_id = c.doc_id AND o.page = c.page
+QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.page, c.ord ORDER BY greatest(0.0::DOUBLE, o.y0 - c.y1, c.y0 - o.y1) + 2 * abs(o.ord - c.ord) + CASE WHEN (c.page % 3 = 1) <> (kind = 'table') THEN 1000 ELSE 0 END, o.ord) = 1""",
+    "summary_points": f"""WITH {BLOCKS}, p AS (SELECT b.doc_id, b.ord, CASE b.ord % 3 WHEN 0 THEN 'goal' WHEN 1 THEN 'method' ELSE 'result' END AS section, (n.ord IS NOT NULL)::INT AS next FROM blocks b LEFT JOIN blocks n ON n.doc_id = b.doc_id AND n.ord = b.ord + 1 WHERE b.type = 'paragraph')
+SELECT doc_id, section, (row_number() OVER (PARTITION BY doc_id, section ORDER BY ord) - 1)::INT AS place, 'Line ' || ord AS text, 1 + next AS ids, (2 - next)::BIGINT AS invalid FROM p""",
 }

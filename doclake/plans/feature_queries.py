@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from doclake import constants as K
 from doclake.functions import text as T
 from doclake.operators import dictionary as D
+from doclake.operators import evaluation as E
 from doclake.operators import fulltext as X
 from doclake.operators import layout as L
 from doclake.operators import lineage as N
 from doclake.operators import offsets as O
 from doclake.operators import trees as Q
-from doclake.plans.queries import _blocks, query
+from doclake.operators.summaries import section_points
+from doclake.plans.queries import QUERIES, _blocks, query
 from doclake.sources import tables as S
 from doclake.sources.shared import shared_dir
 
@@ -157,3 +159,66 @@ def outline_roots(spark, d):
 def numbers_stated(spark, d):
     """How many numbers a document states, the least and the greatest."""
     return S.table(spark, d, "documents").select("doc_id", T.numbers_in(F.col("text")).alias("v")).select("doc_id", F.size("v").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high"))
+
+
+# --- evaluation ---
+
+
+@query
+def detection_report(spark, d):
+    """Precision, recall and F1 of a parser, over all types and of each."""
+    gold = S.anchors(_blocks(spark, d))
+    pred = E.predictions(gold).where("ord % 8 <> 6")
+    return E.report(gold, pred, E.matched(E.overlapping(gold, pred, K.MAP_IOU)))
+
+
+@query
+def kendall_weighted(spark, d):
+    """The mean concordance of all pages, weighted by their pairs of blocks."""
+    rows = S.anchors(_blocks(spark, d)).select(F.struct("doc_id", "page").alias("key"), "ord", F.length("text").alias("length"))
+    return E.kendall(rows, "key", "ord", "length").agg(F.count("*").alias("pages"), F.sum("pairs").alias("pairs"), F.round(F.sum("s") / F.sum("pairs"), 6).alias("tau"))
+
+
+@query
+def citation_micro(spark, d):
+    """Coverage and validity of all citations together: long documents count by what they cite."""
+    each = QUERIES["citation_validity"](spark, d)
+    return each.agg(F.sum("points").alias("points"), F.round(F.sum("cited_points") / F.sum("points"), 4).alias("coverage"), F.round(F.sum("valid") / F.sum(F.col("valid") + F.col("invalid")), 4).alias("validity"))
+
+
+@query
+def point_located(spark, d):
+    """A point on each page: the smallest block around it, or the nearest."""
+    rows = S.anchors(_blocks(spark, d)).withColumns({"x1": 72.0 + F.col("ord") % 5 * 90.0 + 60.0, "y1": F.col("y1") + F.col("ord") % 3 * 40.0})
+    points = rows.select("doc_id", "page", (F.col("doc_id") * 37 % 560).cast("double").alias("x"), ((F.col("doc_id") * 53 + F.col("page") * 17) % 792).cast("double").alias("y")).distinct()
+    return L.located(points, rows).select("doc_id", "page", "ord", F.round("gap", 6).alias("gap"))
+
+
+@query
+def caption_pairs(spark, d):
+    """Captions of the drawn pages with their figures; every third says table, of which a page has one at its foot."""
+    rows = drawn_pages(spark, d)
+    says = F.when(F.col("page") % 3 == 1, "table").otherwise("figure")
+    bodies = rows.where("type = 'figure'").unionByName(rows.where("ord % 10 = 9").withColumn("type", F.lit("table")))
+    return L.paired_captions(rows.where("type = 'caption'").withColumn("says", says), bodies)
+
+
+# --- summaries ---
+
+SECTIONS = [("goal", "What for"), ("method", "How"), ("result", "What came out")]
+
+
+@query
+def summary_points(spark, d):
+    """The points of summaries whose shape goes by document: sections listed, by key, alone, and under their names."""
+    blocks = _blocks(spark, d)
+    name = lambda n: F.concat(F.lit("b_"), F.lpad(n.cast("string"), 4, "0"))
+    point = F.struct(F.concat(F.lit("Line "), F.col("ord").cast("string"), F.lit(" ["), "block_id", F.lit("]")).alias("text"), F.array(name(F.col("ord") + 1), F.lit("b_99999")).alias("block_ids"))
+    own = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") % 3 == k, F.struct("ord", point.alias("p"))))), lambda x: x["p"])
+    said = blocks.where("type = 'paragraph'").groupBy("doc_id").agg(*[own(i).alias(k) for i, (k, _) in enumerate(SECTIONS)])
+    listed = lambda by: F.struct(F.array(*[F.struct(F.lit(by(k, n)).alias("key"), F.col(k).alias("points")) for k, n in SECTIONS]).alias("sections"))
+    keyed = F.struct(*[F.col(k) for k, _ in SECTIONS])
+    shape = F.col("doc_id") % 4
+    reply = F.when(shape == 0, F.to_json(listed(lambda k, _: k))).when(shape == 1, F.to_json(F.struct(keyed.alias("sections")))).when(shape == 2, F.to_json(keyed)).otherwise(F.to_json(listed(lambda _, n: n)))
+    found = section_points(said.select("doc_id", F.concat(F.lit("Here: "), reply, F.lit(" Done.")).alias("reply")), SECTIONS, blocks)
+    return found.select("doc_id", "section", "place", "text", F.size("block_ids").alias("ids"), "invalid")
