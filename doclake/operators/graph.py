@@ -15,11 +15,14 @@ def degrees(relations: DataFrame) -> DataFrame:
 
 
 def prune(scored: DataFrame, concept: str, most: int = K.KG_MAX, concepts: int = K.KG_CONCEPTS) -> DataFrame:
-    """Best nodes overall, of which at most so many concepts.  Top-k per class first, so the global rank sees few rows."""
-    kind = F.col("node").startswith(concept)
-    rows = scored.withColumn("concept", kind)
-    best = [rows.where(kind).orderBy(F.desc("score"), "node").limit(concepts), rows.where(~kind).orderBy(F.desc("score"), "node").limit(most)]
-    return best[0].unionByName(best[1]).orderBy(F.desc("score"), "node").limit(most).select("node", "score", "concept")
+    """Best nodes overall, of which at most so many concepts.
+
+    One pass over the scores: of each class at most ``max(most, concepts)`` rows leave a task, as the rank's limit does.
+    """
+    best = [F.desc("score"), F.asc("node")]
+    nth = F.row_number().over(Window.partitionBy("concept").orderBy(*best))
+    few = scored.withColumn("concept", F.col("node").startswith(concept)).withColumn("nth", nth).where(F.col("nth") <= max(most, concepts))
+    return few.where(~F.col("concept") | (F.col("nth") <= concepts)).orderBy(*best).limit(most).select("node", "score", "concept")
 
 
 def best_relations(relations: DataFrame) -> DataFrame:
