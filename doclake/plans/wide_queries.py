@@ -180,7 +180,8 @@ def display_fallbacks(spark, d):
 
 @query
 def markdown_quote(spark, d):
-    return S.table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.regexp_replace("text", "(?m)^", "> ")).alias("digest"))
+    """Each line, also an empty last one, behind a mark; only a line feed ends a line."""
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))).alias("digest"))
 
 
 # --- graph ---
