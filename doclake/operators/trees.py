@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.sources.shared import saved
+from doclake.sources.shared import saved, saved_large
 
 
 def ancestors(turns: DataFrame) -> DataFrame:
@@ -57,13 +57,32 @@ def climbed_roots(nodes: DataFrame) -> DataFrame:
     """(tree, id, root): where climbing from each node ends; ``nodes``: tree, id, parent.
 
     At a node without a parent, at a parent id that no node has, or where the way meets itself again: the nearest node
-    of the cycle, which is the node itself if it is on it.
+    of the cycle, which is the node itself if it is on it.  Of several parents of a node the least counts.
+
+    A row for each node says where it is after 1, 2, 4, ... steps.  Ways that stay open lead to cycles: once a round meets
+    as many places as the one before, the steps permute these, so they are the cycles' nodes, where a second climb ends.
     """
-    up = ancestors(nodes.select(F.col("tree").alias("conv_id"), F.col("id").alias("node"), "parent")).withColumnRenamed("conv_id", "tree")
-    back = up.select("tree", F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
-    loops = nodes.where("parent = id").select("tree", F.col("id").alias("node")).unionByName(up.join(back, ["tree", "node", "ancestor"], "left_semi").select("tree", "node")).distinct()
-    onto = up.join(loops.select("tree", F.col("node").alias("ancestor")), ["tree", "ancestor"], "left_semi").groupBy("tree", "node").agg(F.min_by("ancestor", "distance").alias("entry"))
-    top = up.groupBy("tree", "node").agg(F.max_by("ancestor", "distance").alias("top"))
-    start = nodes.select("tree", F.col("id").alias("node")).distinct()
-    met = start.join(loops.withColumn("on", F.lit(True)), ["tree", "node"], "left").join(onto, ["tree", "node"], "left").join(top, ["tree", "node"], "left")
-    return met.select("tree", F.col("node").alias("id"), F.when(F.col("on"), F.col("node")).otherwise(F.coalesce("entry", "top", "node")).alias("root"))
+    up = nodes.groupBy("tree", "id").agg(F.min("parent").alias("up"))
+    way = saved_large(up.select("tree", "id", F.coalesce("up", "id").alias("at"), F.col("up").isNotNull().alias("open")), "way")
+    before = None
+    while True:
+        n, places = way.where("open").agg(F.count("*"), F.countDistinct("tree", "at")).first()
+        if n == 0:
+            return way.select("tree", "id", F.col("at").alias("root"))
+        if places == before:
+            break
+        before, way = places, saved_large(_twice(way), "way")
+    lost = way.where("open").select("tree", "id", "at")
+    cycles = saved_large(lost.select("tree", F.col("at").alias("id")).distinct(), "cycles")
+    first = up.join(lost.select("tree", "id"), ["tree", "id"], "left_semi").join(cycles.withColumn("on", F.lit(True)), ["tree", "id"], "left")
+    found = saved_large(first.select("tree", "id", F.when(F.col("on"), F.col("id")).otherwise(F.col("up")).alias("at"), F.col("on").isNull().alias("open")), "found")
+    while not found.where("open").isEmpty():
+        found = saved_large(_twice(found), "found")
+    return way.where("not open").select("tree", "id", F.col("at").alias("root")).unionByName(found.select("tree", "id", F.col("at").alias("root")))
+
+
+def _twice(way: DataFrame) -> DataFrame:
+    """Ways (tree, id, at, open) of twice as many steps; one ends at an id that no node has."""
+    on = way.select("tree", F.col("id").alias("at"), F.col("at").alias("next"), F.col("open").alias("more"))
+    far = way.where("open").join(on, ["tree", "at"], "left").select("tree", "id", F.coalesce("next", "at").alias("at"), F.coalesce("more", F.lit(False)).alias("open"))
+    return way.where("not open").unionByName(far)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
+from doclake.operators import trees
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
 
@@ -35,3 +38,27 @@ def test_quotes_break_at_line_feeds_only(spark, against_sql):
     texts = ["", "\n", "a", "a\n", "a\nb\n\n", "a\r\nb", "a\rb", "a\u0085b c d", "\r\n\r", None]
     found, wanted = against_sql("markdown_quote", documents=documents(spark, texts))
     assert found == wanted and len(found) == 9
+
+
+def climbed(parents):
+    """Plain climbing, step by step."""
+    roots = {}
+    for start in parents:
+        at, seen = start, set()
+        while parents.get(at) is not None and at not in seen:
+            seen.add(at)
+            at = (at[0], parents[at])
+        roots[start] = at[1]
+    return sorted((t, i, r) for (t, i), r in roots.items())
+
+
+def test_roots_of_long_ways_and_cycles(spark):
+    draw = random.Random(5)
+    parents = {(0, i): i - 1 if i else None for i in range(150)}  # a chain
+    parents |= {(1, i): i - 1 if i else 60 for i in range(90)}  # a cycle of 61 and a way of 29 into it
+    parents |= {(2, i): draw.choice([None, -7, draw.randrange(40), draw.randrange(40), i]) for i in range(40)}
+    nodes = spark.createDataFrame([(t, i, p) for (t, i), p in parents.items()] * 2, "tree long, id long, parent long")
+    found = trees.climbed_roots(nodes)
+    assert sorted(map(tuple, found.collect())) == climbed(parents)
+    assert trees.climbed_roots(nodes.where("false")).count() == 0
+    assert "BroadcastHashJoin" not in trees._twice(trees.saved_large(found.withColumn("at", found.root).selectExpr("tree", "id", "at", "true AS open"), "way"))._jdf.queryExecution().sparkPlan().toString()
