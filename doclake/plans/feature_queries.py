@@ -82,7 +82,7 @@ def glossary_blocks(spark, d):
     """The glossary entries for each block: first words of benchmark texts for all, a document's own first word for itself."""
     heads = S.table(spark, d, "benchmark").select(F.lit(None).cast("long").alias("doc_id"), _words(F.col("text"), 1).alias("term")).where("term <> ''").distinct()
     own = S.table(spark, d, "documents").select("doc_id", _words(F.col("text"), 1).alias("term")).where("term <> ''")
-    entries = heads.withColumn("target", F.upper("term")).unionByName(own.withColumn("target", F.concat("term", F.lit("!"))))
+    entries = heads.withColumn("target", T.upper_by_letter(F.col("term"))).unionByName(own.withColumn("target", F.concat("term", F.lit("!"))))
     found = D.glossary(_blocks(spark, d).select("doc_id", "block_id", "text"), entries, K.BLOCK_TERMS)
     return found.groupBy("doc_id", "block_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term", "target"))), lambda x: F.concat(x["term"], F.lit("="), x["target"])), ";")).alias("digest"))
 

@@ -62,3 +62,10 @@ def test_roots_of_long_ways_and_cycles(spark):
     assert sorted(map(tuple, found.collect())) == climbed(parents)
     assert trees.climbed_roots(nodes.where("false")).count() == 0
     assert "BroadcastHashJoin" not in trees._twice(trees.saved_large(found.withColumn("at", found.root).selectExpr("tree", "id", "at", "true AS open"), "way"))._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_glossary_capitals_are_those_of_sql(spark, against_sql):
+    texts = ["ßa ŉb ﬁc ᾳd über x", "Straße fiel. ŉb"]
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(["ßa x", "ŉb", "ﬁc", "ᾳd", "über", "x"])], "item_id long, text string")
+    found, wanted = against_sql("glossary_blocks", documents=documents(spark, texts), benchmark=benchmark)
+    assert found == wanted and [r[2] for r in found] == [6, 2]
