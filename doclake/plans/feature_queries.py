@@ -68,13 +68,13 @@ def _terms(spark, d) -> DataFrame:
 @query
 def dictionary_terms(spark, d):
     """The documents that use names of parts or the first words of benchmark texts."""
-    return D.uses(S.table(spark, d, "documents").select("doc_id", "text"), _terms(spark, d)).select("doc_id", "term")
+    return D.uses(S.table(spark, d, "documents").select("doc_id", "text"), _terms(spark, d), keep_text=False)
 
 
 @query
 def dictionary_terms_joined(spark, d):
     """The same through the join that any number of terms can take."""
-    return D.uses(S.table(spark, d, "documents").select("doc_id", "text"), _terms(spark, d), most_terms=0).select("doc_id", "term")
+    return D.uses(S.table(spark, d, "documents").select("doc_id", "text"), _terms(spark, d), most_terms=0, keep_text=False)
 
 
 @query

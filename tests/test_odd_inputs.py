@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from doclake.operators import trees
+from doclake.operators import dictionary, trees
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
 
@@ -69,3 +69,28 @@ def test_glossary_capitals_are_those_of_sql(spark, against_sql):
     benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(["ßa x", "ŉb", "ﬁc", "ᾳd", "über", "x"])], "item_id long, text string")
     found, wanted = against_sql("glossary_blocks", documents=documents(spark, texts), benchmark=benchmark)
     assert found == wanted and [r[2] for r in found] == [6, 2]
+
+
+def test_own_terms_are_looked_up_in_their_documents_only(spark, monkeypatch):
+    asked = []
+    uses = dictionary.uses
+    monkeypatch.setattr(dictionary, "uses", lambda texts, terms, *a, **b: asked.extend(r["term"] for r in terms.collect()) or uses(texts, terms, *a, **b))
+    texts = spark.createDataFrame([(d, "b", "aa bb") for d in range(3)], "doc_id long, block_id string, text string")
+    terms = spark.createDataFrame([(0, "aa", "x"), (1, "bb", "y"), (None, "aa", "z")], "doc_id long, term string, target string")
+    found = sorted(map(tuple, dictionary.glossary(texts, terms, 9).collect()))
+    assert found == [(0, "b", "aa", "x", 1), (1, "b", "aa", "z", 1), (1, "b", "bb", "y", 2), (2, "b", "aa", "z", 1)] and asked == ["aa"]
+
+
+@pytest.mark.parametrize("most", [0, 9])
+def test_texts_stay_in_tasks(spark, most):
+    texts = spark.createDataFrame([(1, "a ß é", 7), (2, None, 8)], "id long, text string, n int")
+    terms = spark.createDataFrame([("ß",), ("a",)], "term string")
+    found = dictionary.uses(texts, terms, most_terms=most, keep_text=False)
+    assert found.columns == ["id", "n", "term"] and sorted(map(tuple, found.collect())) == [(1, 7, "a"), (1, 7, "ß")]
+
+
+def test_what_no_term_wants_does_not_leave_a_task(spark):
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500)) + " needle")], "id long, text string")
+    plan = dictionary.uses(texts, spark.createDataFrame([("needle",)], "term string"), most_terms=0)
+    assert plan.count() == 1
+    assert dictionary._anchors("Boxes", True) >= {"wbox", "wboxe", "wboxes", "cb", "cbo"} and dictionary._anchor("a needle") == "wneedle" and dictionary._anchor(" é t") == "cé "
