@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -131,6 +133,47 @@ def _holders(lost: pa.Table, blocks: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc, lost.schema.field("doc_id").type), **{c: pa.array([o[i] for o in once], k) for i, (c, k) in enumerate((("quote", pa.string()), ("only", pa.string()), ("there", pa.int32())))}})
 
 
+def _relocated(quotes: list[dict], blocks: list[dict]) -> list[int | None]:
+    """The number of the only block that has a quote, for each of ``quotes``; rows of one ``at`` count together."""
+    finder = ahocorasick.Automaton()
+    for q in {q["quote"] for q in quotes}:
+        finder.add_word(q, q)
+    finder.make_automaton()
+    n: dict[str, int] = {}
+    first: dict[str, int] = {}
+    for b in blocks:
+        for q in {q for _, q in finder.iter(b["text"])}:
+            n[q] = n.get(q, 0) + 1
+            first[q] = min(first.get(q, b["new_ord"]), b["new_ord"])
+    found: dict[int, int] = {}
+    for q in quotes:
+        found[q["at"]] = found.get(q["at"], 0) + n.get(q["quote"], 0)
+    place = {q["at"]: first[q["quote"]] for q in quotes if q["quote"] in first}
+    return [place[q["at"]] if found[q["at"]] == 1 else None for q in quotes]
+
+
+def relocated(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, at, new_ord): quotes (doc_id, at, quote) go to the one block (doc_id, new_ord, text) of their document that has them.
+
+    A document's quotes and blocks meet in one row, and each block is passed once.  Null documents have no blocks.
+    """
+    listed = lambda df, name: df.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))
+    met = listed(quotes.where("quote <> ''"), "quotes").join(listed(blocks.where("text IS NOT NULL"), "blocks"), "doc_id", "left")
+    kinds = dict(quotes.dtypes) | dict(blocks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                rows = batch.slice(lo, 256)
+                asked = rows.column(1).to_pylist()
+                number = [i for i, q in enumerate(asked) for _ in q]
+                at = [q["at"] for qs in asked for q in qs]
+                new = [n for q, b in zip(asked, rows.column(2).to_pylist(), strict=True) for n in _relocated(q, b or [])]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(number, pa.int64())), pa.array(at, rows.schema.field(1).type.value_type.field("at").type), pa.array(new, pa.int32())], ["doc_id", "at", "new_ord"])
+
+    return met.mapInArrow(run, f"doc_id {kinds['doc_id']}, at {kinds['at']}, new_ord int")
+
+
 def moved_annotations(annotations: DataFrame, mapping: DataFrame, blocks: DataFrame) -> DataFrame:
     """Annotations (doc_id, note, block_id, start, stop, quote) in a new version (doc_id, block_id, text).
 

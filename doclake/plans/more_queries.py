@@ -11,6 +11,7 @@ from doclake.operators import blocks as B
 from doclake.operators import evaluation as E
 from doclake.operators import graph as G
 from doclake.operators import jobs as J
+from doclake.operators import lineage as N
 from doclake.plans.queries import _blocks, query
 from doclake.sources import tables as S
 
@@ -60,17 +61,10 @@ def version_diff(spark, d):
 
 @query
 def annotation_relocate(spark, d):
-    """A quote (a whole block) goes to the one block of its document's next version that contains it, or is stale.
-
-    Quotes and blocks meet on two neighbouring words, so a block is only read against quotes that begin in it.
-    """
+    """A quote (a whole block) goes to the one block of its document's next version that contains it, or is stale."""
     b = _blocks(spark, d)
-    two = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1))
-    quotes = b.where("length(text) > 20 and size(split(text, ' ')) >= 3").select("doc_id", F.col("ord").alias("at"), F.col("text").alias("quote"), two(F.split("text", " "), F.lit(1)).alias("key"))
-    words = F.split("text", " ")
-    starts = S.new_version(b).where("size(split(text, ' ')) >= 3").select("doc_id", "new_ord", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: two(words, i)))).alias("key"))
-    hit = quotes.join(starts, ["doc_id", "key"]).where(F.contains("text", F.col("quote"))).groupBy("doc_id", "at").agg(F.count(F.lit(1)).alias("n"), F.min("new_ord").alias("new_ord"))
-    return quotes.join(hit, ["doc_id", "at"], "left").select("doc_id", "at", F.when(F.col("n") == 1, F.col("new_ord")).alias("new_ord"))
+    quotes = b.where("length(text) > 20 and size(split(text, ' ')) >= 3").select("doc_id", F.col("ord").alias("at"), F.col("text").alias("quote"))
+    return N.relocated(quotes, S.new_version(b).select("doc_id", "new_ord", "text"))
 
 
 @query

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from doclake.operators import dictionary, trees
+from doclake.operators import dictionary, lineage, trees
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
 
@@ -94,3 +94,15 @@ def test_what_no_term_wants_does_not_leave_a_task(spark):
     plan = dictionary.uses(texts, spark.createDataFrame([("needle",)], "term string"), most_terms=0)
     assert plan.count() == 1
     assert dictionary._anchors("Boxes", True) >= {"wbox", "wboxe", "wboxes", "cb", "cbo"} and dictionary._anchor("a needle") == "wneedle" and dictionary._anchor(" é t") == "cé "
+
+
+def test_quotes_meet_each_text_once(spark, against_sql):
+    line = lambda *words: " ".join(f"word{w}" for w in words)
+    texts = ["\n".join([line(*range(9)), line(3, 4, 5), line(1, 1, 1), line(1, 1, 1, 1), "short", line(*range(60))]), "\n".join(line(i, i + 1, i + 2, i) for i in range(30)), None, ""]
+    docs = documents(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1").selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars"))
+    found, wanted = against_sql("annotation_relocate", documents=docs)
+    assert found == wanted and len(found) > 60
+    quotes = spark.createDataFrame([(0, 0, "abc")], "doc_id long, at int, quote string")
+    plan = lineage.relocated(quotes, spark.createDataFrame([(0, 0, "abcabc")], "doc_id long, new_ord int, text string"))
+    assert plan.collect()[0]["new_ord"] == 0 and "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
