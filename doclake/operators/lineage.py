@@ -13,7 +13,7 @@ from doclake import constants as K
 from doclake.functions.geometry import iou
 from doclake.functions.udfs import outline, similarity
 from doclake.operators.matching import one_to_one
-from doclake.sources.shared import saved
+from doclake.sources.shared import saved_large
 
 
 BOXES = ("x0", "y0", "x1", "y1")
@@ -28,7 +28,7 @@ def page_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     shared: 3m <= t + 1 + the shared pairs.
     """
     side = lambda df, name, p: df.select("doc_id", "page", F.col("id").alias(name), outline("text").alias(f"{p}o"), *[F.col(c).alias(f"{p}{c}") for c in BOXES])
-    both = side(old, "old", "a_").join(side(new, "new", "b_"), ["doc_id", "page"])
+    both = side(old, "old", "a_").hint("merge").join(side(new, "new", "b_"), ["doc_id", "page"])
     total = F.col("a_o.n") + F.col("b_o.n")
     shared = lambda c: F.aggregate(F.zip_with(f"a_o.{c}", f"b_o.{c}", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     short = F.least("a_o.n", "b_o.n")
@@ -59,7 +59,7 @@ def mapped(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("ord", "id"))
     keyed = lambda df, name: df.select("doc_id", F.col("id").alias(name), "ord", "id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).withColumn("k", nth).select("doc_id", name, "h", "k")
-    exact = saved(keyed(old, "old").join(keyed(new, "new"), ["doc_id", "h", "k"]).select("doc_id", "old", "new"), "exact")
+    exact = saved_large(keyed(old, "old").join(keyed(new, "new"), ["doc_id", "h", "k"]).select("doc_id", "old", "new"), "exact")
     rest = lambda df, name: df.join(exact.select("doc_id", F.col(name).alias("id")), ["doc_id", "id"], "left_anti")
     fuzzy = greedy_matches(fuzzy_pairs(rest(old, "old"), rest(new, "new")))
     return exact.withColumn("kind", F.lit("exact")).unionByName(fuzzy.withColumn("kind", F.lit("fuzzy")))

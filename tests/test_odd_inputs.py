@@ -6,9 +6,10 @@ import random
 
 import pytest
 
-from doclake.operators import dictionary, lineage, trees
+from doclake.operators import dictionary, extraction, lineage, trees
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
+from doclake.sources import tables as S
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,3 +107,17 @@ def test_quotes_meet_each_text_once(spark, against_sql):
     quotes = spark.createDataFrame([(0, 0, "abc")], "doc_id long, at int, quote string")
     plan = lineage.relocated(quotes, spark.createDataFrame([(0, 0, "abcabc")], "doc_id long, new_ord int, text string"))
     assert plan.collect()[0]["new_ord"] == 0 and "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_large_tables_do_not_go_through_the_driver(spark, data):
+    blocks = S.blocks(S.table(spark, data, "documents"))
+    old = S.anchors(blocks).withColumn("id", blocks.block_id)
+    assert "BroadcastHashJoin" not in plan_of(lineage.mapped(old, old))
+    rows = blocks.selectExpr("doc_id", "0 AS grp", "ord", "block_id", "text")
+    replies = rows.groupBy("doc_id", "grp").agg({"block_id": "min"}).selectExpr("doc_id", "grp", """'{"entities": [], "relations": []}' AS reply""")
+    nodes, edges, faults = extraction.document_graph(replies, rows)
+    assert not any("BroadcastHashJoin" in plan_of(df) for df in (nodes, edges, faults, *extraction.pruned(nodes, edges)))
