@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,60 +19,51 @@ PAGE = ["doc_id", "page"]
 # --- tables ---
 
 
-def _places(cells: DataFrame) -> DataFrame:
-    """A row for each place of the grid that a cell covers, its first one included."""
-    wide = cells.withColumn("at_row", F.explode(F.sequence("row", F.greatest("row", F.col("row_end") - 1))))
-    return wide.withColumn("at_col", F.explode(F.sequence("col", F.greatest("col", F.col("col_end") - 1))))
-
-
-def shown_cells(cells: DataFrame) -> DataFrame:
-    """The cells that a table shows: reading row by row, one that starts where a shown one lies is left out, and covers nothing.
+def _html(cells: list[dict], rows: int, cols: int) -> str:
+    """The grid of one table: reading row by row, a cell that starts where a shown one lies is left out, and covers nothing.
 
-    Of cells that start at one place the last in ``text`` order counts.  A round decides all cells whose earlier
-    neighbours are decided; tables without overlaps take one.
+    Of cells that start at one place the last in ``text`` order counts.
     """
-    one = Window.partitionBy("table_id", "row", "col").orderBy(F.desc("text"), F.desc("row_end"), F.desc("col_end"))
-    open_ = saved(cells.select(*CELL).withColumn("n", F.row_number().over(one)).where("n = 1").drop("n"), "cells")
-    shown = None
-    key = ["table_id", "row", "col"]
-    while True:
-        over = _places(open_).select("table_id", F.col("row").alias("by_row"), F.col("col").alias("by_col"), "at_row", "at_col")
-        met = open_.join(over.withColumnsRenamed({"at_row": "row", "at_col": "col"}), key).where("by_row < row OR (by_row = row AND by_col < col)")
-        sure = saved(open_.join(met.select(*key).distinct(), key, "left_anti"), "shown")
-        hidden = _places(sure).where("at_row <> row OR at_col <> col").select("table_id", F.col("at_row").alias("row"), F.col("at_col").alias("col")).distinct()
-        shown = sure if shown is None else shown.unionByName(sure)
-        left = saved(open_.join(sure.select(*key), key, "left_anti").join(hidden, key, "left_anti"), "cells")
-        if left.isEmpty():
-            return shown
-        open_ = left
+    begun: dict[tuple[int, int], dict] = {}
+    order = lambda c: [(v is not None, v) for v in (c["text"], c["row_end"], c["col_end"])]
+    for c in cells:
+        at = c["row"], c["col"]
+        if None not in at and (at not in begun or order(begun[at]) < order(c)):
+            begun[at] = c
+    shown: dict[tuple[int, int], str] = {}
+    covered: set[tuple[int, int]] = set()
+    for row, col in sorted(begun):
+        if (row, col) in covered:
+            continue
+        c, tag = begun[row, col], "th" if begun[row, col]["header"] else "td"
+        down, across = (max(1, c[k] - at) if c[k] is not None else 1 for k, at in (("row_end", row), ("col_end", col)))
+        spans = "".join(f' {name}="{n}"' for name, n in (("rowspan", down), ("colspan", across)) if n > 1)
+        shown[row, col] = f"<{tag}{spans}>{html.escape(c['text'] or '')}</{tag}>"
+        if down * across > 1:
+            covered.update((i, j) for i in range(row, row + down) for j in range(col, col + across))
+    place = lambda at: shown.get(at) or ("" if at in covered else "<td></td>")
+    return "<table>" + "".join("<tr>" + "".join(place((i, j)) for j in range(cols)) + "</tr>" for i in range(rows)) + "</table>"
 
 
 def table_html(cells: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(table_id, html): the grid of each table; ``cells`` hold half-open spans, ``sizes`` (table_id, rows, cols) may widen it.
 
     Places that no cell covers become empty cells; those under a span are left out.
+    The cells of a table move once, into one row, and nothing is written on the way.
     """
-    size = cells.groupBy("table_id").agg(F.max("row_end").alias("rows"), F.max("col_end").alias("cols"))
+    cell = F.struct(*[F.col(c) for c in CELL[1:]])
+    size = cells.groupBy("table_id").agg(F.max("row_end").cast("int").alias("rows"), F.max("col_end").cast("int").alias("cols"), F.collect_list(cell).alias("cells"))
     if sizes is not None:
-        size = size.join(sizes.select("table_id", F.col("rows").alias("r"), F.col("cols").alias("c")), "table_id", "left").select("table_id", F.coalesce("r", "rows").alias("rows"), F.coalesce("c", "cols").alias("cols"))
-    grid = size.select("table_id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("at_row"), "cols").select("table_id", "at_row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("at_col"))
-    held = _places(shown_cells(cells))
-    met = grid.join(held, ["table_id", "at_row", "at_col"], "left")
-    span = lambda a, b, name: F.when(F.col(b) - F.col(a) > 1, F.concat(F.lit(f' {name}="'), (F.col(b) - F.col(a)).cast("string"), F.lit('"'))).otherwise("")
-    tag = F.when(F.col("header"), "th").otherwise("td")
-    full = F.concat(F.lit("<"), tag, span("row", "row_end", "rowspan"), span("col", "col_end", "colspan"), F.lit(">"), escaped(F.coalesce("text", F.lit(""))), F.lit("</"), tag, F.lit(">"))
-    first = (F.col("at_row") == F.col("row")) & (F.col("at_col") == F.col("col"))
-    shown = met.select("table_id", "at_row", "at_col", F.when(F.col("row").isNull(), "<td></td>").when(first, full).alias("cell"))
-    in_order = lambda at, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda x: x[what]), "")
-    rows = shown.groupBy("table_id", "at_row").agg(in_order("at_col", "cell").alias("line")).withColumn("line", F.concat(F.lit("<tr>"), "line", F.lit("</tr>")))
-    return rows.groupBy("table_id").agg(F.concat(F.lit("<table>"), in_order("at_row", "line"), F.lit("</table>")).alias("html"))
-
-
-def escaped(text: Column) -> Column:
-    """With the five signs of markup written as entities."""
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        text = F.replace(text, F.lit(sign), F.lit(name))
-    return text
+        size = size.join(sizes.select("table_id", F.col("rows").alias("r"), F.col("cols").alias("c")), "table_id", "left").select("table_id", F.coalesce("r", "rows").cast("int").alias("rows"), F.coalesce("c", "cols").cast("int").alias("cols"), "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows, cols, held = (part.column(i).to_pylist() for i in (1, 2, 3))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_html, held, rows, cols), pa.string())], ["table_id", "html"])
+
+    return size.where("rows > 0 AND cols > 0").mapInArrow(run, f"table_id {dict(cells.dtypes)['table_id']}, html string")
 
 
 # --- figures ---

@@ -105,13 +105,17 @@ def map_blocks_fuzzy(spark, d):
 def table_grid(spark, d):
     """The lines of an order as a table: headers of one or two rows, some bodies, and a footer across."""
     first = [F.min(c).alias(c) for c in ("l_quantity", "l_suppkey", "l_returnflag", "l_linestatus")]
-    lines = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).cast("int").alias("col")).agg(*first).withColumn("row_end", F.col("l_quantity").cast("int") % 2 + 1)
-    cell = lambda df, row, end, col, col_end, header, text: df.select("table_id", F.lit(row).alias("row"), col.alias("col"), end.alias("row_end"), col_end.alias("col_end"), F.lit(header).alias("header"), text.alias("text"))
-    at, one = F.col("col"), F.lit(1)
-    heads = cell(lines, 0, F.col("row_end"), at, at + one, True, F.col("l_returnflag"))
-    bodies = cell(lines.where("row_end = 1 AND l_suppkey % 3 <> 0"), 1, F.lit(2), at, at + one, False, F.concat("l_linestatus", F.lit("<"), at.cast("string")))
-    foot = cell(lines.groupBy("table_id").agg(F.max("col").alias("last")), 2, F.lit(3), F.lit(0), F.col("last") + one, False, F.lit("& all"))
-    return L.table_html(heads.unionByName(bodies).unionByName(foot)).select("table_id", F.length("html").alias("n"), F.md5("html").alias("digest"))
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).cast("int").alias("col"), "l_quantity", "l_suppkey", "l_returnflag", "l_linestatus").repartition("table_id")  # moves once
+    lines = rows.groupBy("table_id", "col").agg(*first).withColumn("row_end", F.col("l_quantity").cast("int") % 2 + 1)
+    tables = lines.groupBy("table_id").agg(F.collect_list(F.struct("col", "row_end", "l_suppkey", "l_returnflag", "l_linestatus")).alias("lines"), F.max("col").alias("last"))
+
+    def cell(row: int, col: Column, row_end: Column, col_end: Column, header: bool, text: Column) -> Column:
+        return F.struct(F.lit(row).alias("row"), col.alias("col"), row_end.alias("row_end"), col_end.alias("col_end"), F.lit(header).alias("header"), text.alias("text"))
+
+    heads = F.transform("lines", lambda x: cell(0, x["col"], x["row_end"], x["col"] + 1, True, x["l_returnflag"]))
+    bodies = F.transform(F.filter("lines", lambda x: (x["row_end"] == 1) & (x["l_suppkey"] % 3 != 0)), lambda x: cell(1, x["col"], F.lit(2), x["col"] + 1, False, F.concat(x["l_linestatus"], F.lit("<"), x["col"].cast("string"))))
+    foot = F.array(cell(2, F.lit(0), F.lit(3), F.col("last") + 1, False, F.lit("& all")))
+    return L.table_html(tables.select("table_id", F.inline(F.concat(heads, bodies, foot)))).select("table_id", F.length("html").alias("n"), F.md5("html").alias("digest"))
 
 
 def drawn_pages(spark, d) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
-from doclake.operators import dictionary, extraction, lineage, trees
+from doclake.operators import dictionary, extraction, layout, lineage, trees
 from doclake.plans.oracles import ORACLES
 from doclake.plans.queries import QUERIES
 from doclake.sources import tables as S
@@ -121,3 +122,21 @@ def test_large_tables_do_not_go_through_the_driver(spark, data):
     replies = rows.groupBy("doc_id", "grp").agg({"block_id": "min"}).selectExpr("doc_id", "grp", """'{"entities": [], "relations": []}' AS reply""")
     nodes, edges, faults = extraction.document_graph(replies, rows)
     assert not any("BroadcastHashJoin" in plan_of(df) for df in (nodes, edges, faults, *extraction.pruned(nodes, edges)))
+
+
+def test_a_table_is_one_row_and_no_table_is_written(spark, monkeypatch):
+    monkeypatch.setattr(layout, "saved", lambda *_: pytest.fail("a table is written"))
+    cells = [("a", 0, 0, 2, 2, True, "x<"), ("a", 0, 2, 1, 3, None, "'"), ("a", 1, 1, 2, 2, False, "under"), ("a", 2, 0, None, 2, False, None), ("a", 0, 0, 9, 9, True, None), ("b", 1, 1, 2, 2, False, "z")]
+    frame = spark.createDataFrame(cells, "table_id string, row int, col int, row_end int, col_end int, header boolean, text string")
+    found = dict(map(tuple, layout.table_html(frame.where("coalesce(row_end, 0) < 9")).collect()))
+    assert found["a"] == '<table><tr><th rowspan="2" colspan="2">x&lt;</th><td>&#x27;</td></tr><tr><td></td></tr></table>'
+    assert found["b"] == "<table><tr><td></td><td></td></tr><tr><td></td><td>z</td></tr></table>"
+    assert dict(map(tuple, layout.table_html(frame.where("table_id = 'b'"), spark.createDataFrame([("b", 3, 1)], "table_id string, rows int, cols int")).collect()))["b"] == "<table><tr><td></td></tr><tr><td></td></tr><tr><td></td></tr></table>"
+
+
+def test_texts_move_once(spark, data):
+    """What a context or a table is made of is dealt out by its document or order, and not again."""
+    for name in ("context_assembled", "table_grid"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        keys = {k.split("#")[0] for k in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)}
+        assert keys == ({"doc_id"} if name == "context_assembled" else {"table_id"}) and "," not in "".join(re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan))
